@@ -47,13 +47,14 @@ def _uniform(*parts: Column) -> Column:
 
 
 def _fold(items: Column, seed: int) -> Column:
-    """Run the pivotal method along an array of (rank, doc_id, size, x).
+    """Run the pivotal method along an array of (size, rank, doc_id, x), largest documents first.
 
     Two documents with copy probabilities strictly inside (0, 1) meet; words move from one to the other until one
     probability is 0 or 1, in the direction that keeps both expectations. The one that is left goes on to the next.
-    The sum of size * x never changes. Result: ``decided`` (doc_id, size, extra) and the residual ``rest``.
+    The sum of size * x never changes. A large document meets smaller ones until it is settled, so what is left in the
+    end is small. Result: ``decided`` (doc_id, size, extra) and the residual ``rest``.
     """
-    item = "struct<rank:bigint,doc_id:bigint,size:bigint,x:double>"
+    item = "struct<size:bigint,rank:bigint,doc_id:bigint,x:double>"
     done = "array<struct<doc_id:bigint,size:bigint,extra:int>>"
     start = F.struct(F.lit(None).cast(item).alias("rest"), F.array().cast(done).alias("decided"))
 
@@ -72,7 +73,7 @@ def _fold(items: Column, seed: int) -> Column:
             new_i = F.when(rise, i["x"] + down_j / i["size"]).otherwise(i["x"] - up_j / i["size"])
             pick = lambda p, q: F.when(i_ends, p).otherwise(q)
             clip = F.greatest(F.lit(0.0), F.least(F.lit(1.0), pick(new_j, new_i)))
-            rest = F.struct(pick(j["rank"], i["rank"]).alias("rank"), pick(j["doc_id"], i["doc_id"]).alias("doc_id"), pick(j["size"], i["size"]).alias("size"), clip.alias("x"))
+            rest = F.struct(pick(j["size"], i["size"]).alias("size"), pick(j["rank"], i["rank"]).alias("rank"), pick(j["doc_id"], i["doc_id"]).alias("doc_id"), clip.alias("x"))
             decided = F.struct(pick(i["doc_id"], j["doc_id"]).alias("doc_id"), pick(i["size"], j["size"]).alias("size"), extra.alias("extra"))
             return F.struct(rest.alias("rest"), F.concat(acc["decided"], F.array(decided)).alias("decided"))
 
@@ -105,11 +106,11 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int
     open_ = rows.filter(split).select(
         *key,
         F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.ceil(F.col("n_sized") / FAN_IN)).alias("node"),
-        F.struct(rank.alias("rank"), "doc_id", "size", F.col("part").alias("x")).alias("item"),
+        F.struct("size", rank.alias("rank"), "doc_id", F.col("part").alias("x")).alias("item"),
     )
     parts, nodes, level = [sure], max(1, -(-most // FAN_IN)), 0
     while True:
-        folded = open_.groupBy(*key, "node").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        folded = open_.groupBy(*key, "node").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
         folded = cut(folded.select(*key, "node", _fold(F.col("items"), seed + 2 + level).alias("f")))
         parts.append(folded.select(*key, F.inline("f.decided")))
         rest = F.col("f.rest")
