@@ -1,0 +1 @@
+"""Market time-series analytics and training-data operators on Spark DataFrames."""
