@@ -66,7 +66,7 @@ def _fold(items: Column, seed: int) -> Column:
             up_i, down_i = (1 - i["x"]) * i["size"], i["x"] * i["size"]
             up_j, down_j = (1 - j["x"]) * j["size"], j["x"] * j["size"]
             a, b = F.least(up_i, down_j), F.least(down_i, up_j)
-            rise = v < b / (a + b)
+            rise = v < F.coalesce(F.try_divide(b, a + b), F.lit(0.0))
             i_ends = F.when(rise, up_i <= down_j).otherwise(down_i <= up_j)
             extra = F.when(rise == i_ends, F.lit(1)).otherwise(F.lit(0))
             new_j = F.when(rise, j["x"] - up_i / j["size"]).otherwise(j["x"] + down_i / j["size"])
@@ -96,7 +96,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int
     sized = cut(sizes(docs))
     targets = cut(source_targets(sized, weights))
     most = targets.agg(F.max("n_sized")).head()[0] or 0
-    x = F.col("target") / F.col("source_size")
+    x = F.try_divide(F.col("target"), F.col("source_size").cast("double"))  # null for a source without words
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "n_sized", F.floor(x).alias("whole"), (x - F.floor(x)).alias("part"))
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     split = (F.col("size") > 0) & (F.col("part") > 0)
