@@ -60,8 +60,9 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
 def tile(doc: np.ndarray, test: np.ndarray, least: int = SEED_TOKENS) -> list[tuple[int, int, int]]:
     """Greedy string tiles (place in doc, place in test, length), each token of either side in at most one tile.
 
-    Running Karp-Rabin: unmarked runs of the search length are matched by rolling hashes and extended token by token;
-    of the matches found, the longest are marked first, and the search length falls until it is the least tile.
+    Running Karp-Rabin: unmarked runs of the search length are matched by rolling hashes and extended token by token.
+    The longest matches are marked, in the order of their places, and the search is repeated; when nothing of the
+    search length is left it falls, down to the least tile.
     """
     used_d, used_t = np.zeros(len(doc), bool), np.zeros(len(test), bool)
     tiles: list[tuple[int, int, int]] = []
@@ -72,18 +73,14 @@ def tile(doc: np.ndarray, test: np.ndarray, least: int = SEED_TOKENS) -> list[tu
         if longest > 2 * size:
             size = longest
             continue
-        for p, q, n in sorted(found, key=lambda m: (-m[2], m[0], m[1])):
+        for p, q, n in sorted(m for m in found if m[2] == longest):
             if not used_d[p : p + n].any() and not used_t[q : q + n].any():
                 used_d[p : p + n] = used_t[q : q + n] = True
                 tiles.append((p, q, n))
-            else:
-                # What an earlier tile left of it is found again while it is long enough.
-                found = None
-        if found is None and _matches(doc, test, used_d, used_t, size):
-            continue
-        if size == least:
-            return tiles
-        size = max(least, size // 2)
+        if not found:
+            if size == least:
+                return tiles
+            size = max(least, size // 2)
 
 
 def _matches(doc: np.ndarray, test: np.ndarray, used_d: np.ndarray, used_t: np.ndarray, size: int) -> list[tuple[int, int, int]]:
