@@ -59,3 +59,14 @@ def scrub(x: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once."""
     return F.transform(F.array(value), body)[0]
+
+
+def corr(x: Column | str, y: Column | str, w: WindowSpec | None = None) -> Column:
+    """Correlation over a group or a window; null where a side does not vary (the built-in raises there in ANSI mode)."""
+    parts = [F.covar_pop(x, y), F.stddev_pop(F.when(_col(y).isNotNull(), _col(x))), F.stddev_pop(F.when(_col(x).isNotNull(), _col(y)))]
+    cov, sx, sy = parts if w is None else [p.over(w) for p in parts]
+    return F.try_divide(cov, sx * sy)
+
+
+def _col(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x

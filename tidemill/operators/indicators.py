@@ -7,49 +7,47 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import before, change, full, lagged, last, ordered, ratio, so_far
-
-C, H, L, O, V = (F.col(x) for x in ("close", "high", "low", "open", "volume"))  # noqa: E741
+from ..functions.frames import before, change, corr, full, lagged, last, ordered, ratio, so_far
 
 
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
     """Mean, bands at k population deviations, width and place of the close between the bands."""
-    d = bars.withColumns({"bb_mid": full(n, C, F.avg(C)), "_sd": full(n, C, F.stddev_pop(C))})
+    d = bars.withColumns({"bb_mid": full(n, F.col("close"), F.avg(F.col("close"))), "_sd": full(n, F.col("close"), F.stddev_pop(F.col("close")))})
     d = d.withColumns({"bb_upper": F.col("bb_mid") + k * F.col("_sd"), "bb_lower": F.col("bb_mid") - k * F.col("_sd")})
     span = F.col("bb_upper") - F.col("bb_lower")
-    return d.withColumns({"bb_width": ratio(span, F.col("bb_mid")), "bb_pct": ratio(C - F.col("bb_lower"), span)}).drop("_sd")
+    return d.withColumns({"bb_width": ratio(span, F.col("bb_mid")), "bb_pct": ratio(F.col("close") - F.col("bb_lower"), span)}).drop("_sd")
 
 
 def stochastic(bars: DataFrame, n: int = 14, smooth: int = 3) -> DataFrame:
     """%K over n bars and its mean over ``smooth``."""
-    low, high = full(n, L, F.min(L)), full(n, H, F.max(H))
-    d = bars.withColumn("stoch_k", 100 * ratio(C - low, high - low))
+    low, high = full(n, F.col("low"), F.min(F.col("low"))), full(n, F.col("high"), F.max(F.col("high")))
+    d = bars.withColumn("stoch_k", 100 * ratio(F.col("close") - low, high - low))
     return d.withColumn("stoch_d", full(smooth, F.col("stoch_k"), F.avg("stoch_k")))
 
 
 def volume_profile(bars: DataFrame, n: int = 20) -> DataFrame:
     """Mean and sample deviation of volume, and the ratio of volume to the mean."""
-    d = bars.withColumns({"vol_sma": full(n, V, F.avg(V)), "vol_std": full(n, V, F.stddev_samp(V))})
-    return d.withColumn("vol_ratio", ratio(V, F.col("vol_sma")))
+    d = bars.withColumns({"vol_sma": full(n, F.col("volume"), F.avg(F.col("volume"))), "vol_std": full(n, F.col("volume"), F.stddev_samp(F.col("volume")))})
+    return d.withColumn("vol_ratio", ratio(F.col("volume"), F.col("vol_sma")))
 
 
 def on_balance_volume(bars: DataFrame) -> DataFrame:
     """Running volume, added when the close does not fall, else subtracted; the first bar adds."""
-    sign = F.when(C < lagged("close", 1), -V).otherwise(V)
+    sign = F.when(F.col("close") < lagged("close", 1), -F.col("volume")).otherwise(F.col("volume"))
     d = bars.withColumn("_signed", sign)
     return d.withColumn("obv", F.sum("_signed").over(so_far())).drop("_signed")
 
 
 def amihud(bars: DataFrame, n: int = 20) -> DataFrame:
     """Mean absolute return for each unit of traded value, and its scaled logarithm."""
-    d = bars.withColumn("_x", F.abs(change("close", 1)) / (C * V + 1e-10))
+    d = bars.withColumn("_x", F.abs(change("close", 1)) / (F.col("close") * F.col("volume") + 1e-10))
     d = d.withColumn("amihud", full(n, F.col("_x"), F.avg("_x"))).drop("_x")
     return d.withColumn("amihud_log", F.log1p(F.col("amihud") * 1e9))
 
 
 def range_volatility(bars: DataFrame, n: int = 20) -> DataFrame:
     """Garman-Klass and Parkinson volatility."""
-    hl, co = F.log(H / L), F.log(C / O)
+    hl, co = F.log(F.col("high") / F.col("low")), F.log(F.col("close") / F.col("open"))
     gk = F.greatest(F.lit(0.0), 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co)
     d = bars.withColumns({"_g": gk, "_p": hl * hl / (4 * math.log(2))})
     return d.withColumns({"gk_vol": F.sqrt(full(n, F.col("_g"), F.avg("_g"))), "parkinson_vol": F.sqrt(full(n, F.col("_p"), F.avg("_p")))}).drop("_g", "_p")
@@ -65,10 +63,10 @@ def returns(bars: DataFrame, lags: tuple[int, ...] = (1, 5, 20), n: int = 20) ->
 
 def candle_shape(bars: DataFrame) -> DataFrame:
     """Range, body and shadows as shares."""
-    span = H - L
+    span = F.col("high") - F.col("low")
     return bars.withColumns({
-        "high_low_range": ratio(span, C), "close_open_range": ratio(C - O, O), "upper_shadow": ratio(H - F.greatest(O, C), span),
-        "lower_shadow": ratio(F.least(O, C) - L, span), "body": ratio(F.abs(C - O), span),
+        "high_low_range": ratio(span, F.col("close")), "close_open_range": ratio(F.col("close") - F.col("open"), F.col("open")), "upper_shadow": ratio(F.col("high") - F.greatest(F.col("open"), F.col("close")), span),
+        "lower_shadow": ratio(F.least(F.col("open"), F.col("close")) - F.col("low"), span), "body": ratio(F.abs(F.col("close") - F.col("open")), span),
     })
 
 
@@ -86,11 +84,11 @@ def time_cycles(rows: DataFrame, ts: str = "ts", epoch: str = "2024-04-19", days
 def donchian(bars: DataFrame, n: int = 20) -> DataFrame:
     """Breakouts of the range of the n bars before, with the volume's z-score over them."""
     w = before(n)
-    ready = F.count(C).over(w) == n
-    z = ratio(V - F.avg(V).over(w), F.stddev_samp(V).over(w))
-    high, low = F.max(H).over(w), F.min(L).over(w)
+    ready = F.count(F.col("close")).over(w) == n
+    z = ratio(F.col("volume") - F.avg(F.col("volume")).over(w), F.stddev_samp(F.col("volume")).over(w))
+    high, low = F.max(F.col("high")).over(w), F.min(F.col("low")).over(w)
     d = bars.withColumns({"channel_high": F.when(ready, high), "channel_low": F.when(ready, low), "volume_z": F.when(ready, z)})
-    side = F.when(C > F.col("channel_high"), F.lit("long")).when(C < F.col("channel_low"), F.lit("short")).otherwise(F.lit("none"))
+    side = F.when(F.col("close") > F.col("channel_high"), F.lit("long")).when(F.col("close") < F.col("channel_low"), F.lit("short")).otherwise(F.lit("none"))
     return d.withColumn("breakout", side)
 
 
@@ -122,7 +120,7 @@ def anomalies(bars: DataFrame, n: int = 100) -> DataFrame:
     """Alerts of each bar: returns and volume beyond three deviations, and volume far from its mean; the window includes the bar."""
     d = bars.withColumn("_r", change("close", 1))
     w = last(n)
-    r, v = F.col("_r"), V
+    r, v = F.col("_r"), F.col("volume")
     alerts = F.array_compact(F.array(
         F.when(F.abs(r) > F.avg(r).over(w) + 3 * F.stddev_pop(r).over(w), F.lit("price_spike")),
         F.when(v > F.avg(v).over(w) + 3 * F.stddev_pop(v).over(w), F.lit("volume_spike")),
@@ -138,8 +136,8 @@ def rule_regime(bars: DataFrame) -> DataFrame:
     d = bars.withColumns({"_r": change("close", 1), "_n": F.row_number().over(ordered()).cast("double")})
     short, long_ = F.stddev_pop("_r").over(last(20)), F.stddev_pop("_r").over(last(100))
     long_ = F.when(F.count("_r").over(last(100)) < 100, short).otherwise(long_)
-    trend = F.corr("_n", "close").over(last(50))
-    volume = ratio(F.avg(V).over(last(5)), F.avg(V).over(last(50)))
+    trend = corr("_n", "close", last(50))
+    volume = ratio(F.avg(F.col("volume")).over(last(5)), F.avg(F.col("volume")).over(last(50)))
     d = d.withColumns({"_s": short, "_l": long_, "_t": trend, "_v": volume})
     r = (
         F.when(F.col("_n") < 50, F.lit("normal")).when(F.col("_s") > 2 * F.col("_l"), F.lit("extreme_volatility"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.frames import ratio
+from ..functions.frames import corr, ratio
 
 
 def average_rank(value: str, by: list[str]) -> Column:
@@ -20,7 +20,7 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 3) ->
     """Rank correlation of each group; 0 where there are too few pairs or no variance."""
     d = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = d.withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
-    ic = F.when((F.count(F.lit(1)) < least) | (F.stddev_pop("_x") == 0) | (F.stddev_pop("_y") == 0), 0.0).otherwise(F.corr("_x", "_y"))
+    ic = F.when((F.count(F.lit(1)) < least) | (F.stddev_pop("_x") == 0) | (F.stddev_pop("_y") == 0), 0.0).otherwise(corr("_x", "_y"))
     return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ic.alias("ic"))
 
 
@@ -35,7 +35,7 @@ def autocorrelation(rows: DataFrame, value: str, by: str, order: list[str], lags
     """Correlation with earlier values at several lags, and the half-life of an AR(1) process."""
     w = Window.partitionBy(by).orderBy(*order)
     d = rows.withColumns({f"_l{k}": F.lag(value, k).over(w) for k in lags})
-    d = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.corr(value, f"_l{k}").alias(f"lag_{k}") for k in lags])
+    d = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[corr(value, f"_l{k}").alias(f"lag_{k}") for k in lags])
     rho = F.col(f"lag_{lags[0]}")
     return d.withColumn("half_life", F.when((F.col("n") >= 30) & (rho > 0) & (rho < 1), -math.log(2) / F.log(rho)))
 
@@ -124,7 +124,7 @@ def pair_statistics(rows: DataFrame, key: str, order: str, value: str, least: in
     a = rows.select(F.col(key).alias("a"), F.col(order).alias("t"), F.col(value).alias("x"))
     b = rows.select(F.col(key).alias("b"), F.col(order).alias("t2"), F.col(value).alias("y"))
     both = a.join(b, (F.col("t") == F.col("t2")) & (F.col("a") < F.col("b"))).drop("t2")
-    fit = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("corr"), F.regr_slope("x", "y").alias("beta")).filter(F.col("n") >= least)
+    fit = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), corr("x", "y").alias("corr"), F.regr_slope("x", "y").alias("beta")).filter(F.col("n") >= least)
     s = both.join(fit, ["a", "b"]).withColumn("s", F.col("x") - F.col("beta") * F.col("y"))
     prev = F.lag("s").over(Window.partitionBy("a", "b").orderBy("t"))
     s = s.withColumns({"prev": prev, "ds": F.col("s") - prev})

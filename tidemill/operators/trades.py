@@ -8,8 +8,12 @@ from pyspark.sql.window import Window
 
 from ..functions.frames import ratio
 
-P = F.col("pnl")
-WON, LOST = P > 0, P < 0
+def won() -> Column:
+    return F.col("pnl") > 0
+
+
+def lost() -> Column:
+    return F.col("pnl") < 0
 
 
 def mode_name() -> Column:
@@ -18,7 +22,7 @@ def mode_name() -> Column:
 
 def _figures() -> list[Column]:
     n = F.count(F.lit(1))
-    return [n.alias("n"), F.sum("pnl").alias("total"), F.avg("pnl").alias("avg_pnl"), F.count_if(WON).alias("wins"), F.count_if(LOST).alias("losses"), (F.count_if(WON) / n).alias("win_rate")]
+    return [n.alias("n"), F.sum("pnl").alias("total"), F.avg("pnl").alias("avg_pnl"), F.count_if(won()).alias("wins"), F.count_if(lost()).alias("losses"), (F.count_if(won()) / n).alias("win_rate")]
 
 
 def trade_counts(trades: DataFrame) -> DataFrame:
@@ -28,7 +32,7 @@ def trade_counts(trades: DataFrame) -> DataFrame:
 
 def trade_summary(trades: DataFrame) -> DataFrame:
     """Counts, sums, mean win and loss, first and last time of each mode."""
-    return trades.groupBy(mode_name().alias("mode")).agg(*_figures(), F.avg(F.when(WON, P)).alias("avg_win"), F.avg(F.when(LOST, P)).alias("avg_loss"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    return trades.groupBy(mode_name().alias("mode")).agg(*_figures(), F.avg(F.when(won(), F.col("pnl"))).alias("avg_win"), F.avg(F.when(lost(), F.col("pnl"))).alias("avg_loss"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
 def breakdown(trades: DataFrame, *by: str) -> DataFrame:
@@ -57,7 +61,7 @@ def extremes(stats: DataFrame, k: int = 3) -> DataFrame:
 
 def kelly(trades: DataFrame, dims: list[str], fraction: float = 0.5, least: int = 10) -> DataFrame:
     """Kelly fraction of every slice of the dimensions (a cube), zero results left out."""
-    d = trades.filter("pnl <> 0").cube(*dims).agg(F.count(F.lit(1)).alias("n"), F.count_if(WON).alias("wins"), F.avg(F.when(WON, P)).alias("avg_win"), F.avg(F.when(LOST, -P)).alias("avg_loss"))
+    d = trades.filter("pnl <> 0").cube(*dims).agg(F.count(F.lit(1)).alias("n"), F.count_if(won()).alias("wins"), F.avg(F.when(won(), F.col("pnl"))).alias("avg_win"), F.avg(F.when(lost(), -F.col("pnl"))).alias("avg_loss"))
     p, b = F.col("wins") / F.col("n"), ratio(F.col("avg_win"), F.col("avg_loss"))
     f = F.greatest(F.lit(0.0), (p * b - (1 - p)) / b * fraction)
     return d.withColumn("kelly", F.when(F.col("n") >= least, F.coalesce(f, F.lit(0.0)))).select(*dims, "n", "wins", "kelly")
@@ -67,7 +71,7 @@ def recent_performance(trades: DataFrame, n: int = 20, since: int | None = None)
     """Latest n trades of each symbol: count, win rate in percent, sum, and the size scale they earn."""
     rows = trades if since is None else trades.filter(F.col("t") >= since)
     w = Window.partitionBy("symbol").orderBy(F.desc("t"), F.desc("id"))
-    d = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (100.0 * F.count_if(WON) / F.count(F.lit(1))).alias("win_rate"), F.sum("pnl").alias("net"))
+    d = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (100.0 * F.count_if(won()) / F.count(F.lit(1))).alias("win_rate"), F.sum("pnl").alias("net"))
     wr, net = F.col("win_rate"), F.col("net")
     return d.withColumn("scale", F.when(F.col("n") < 8, 1.0).when((wr >= 45) & (net > 0), 1.3).when(net > 0, 1.15).when((wr < 30) & (net < 0), 0.5).when(net < 0, 0.75).otherwise(1.0))
 
@@ -79,7 +83,7 @@ def session_name(hour: Column) -> Column:
 def loss_patterns(trades: DataFrame) -> DataFrame:
     """Losing trades by regime, side and session."""
     name = F.concat_ws("_", F.col("regime").cast("string"), "side", session_name(F.col("hour")))
-    return trades.filter(LOST).groupBy(name.alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("total"))
+    return trades.filter(lost()).groupBy(name.alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("total"))
 
 
 def blacklist(trades: DataFrame, least: int = 5, rate: float = 0.25) -> DataFrame:
@@ -92,7 +96,7 @@ def leading_losses(trades: DataFrame) -> DataFrame:
     """Losing trades in a row, newest first, of each symbol."""
     w = Window.partitionBy("symbol").orderBy(F.desc("t"), F.desc("id"))
     d = trades.withColumn("_r", F.row_number().over(w))
-    return d.groupBy("symbol").agg(F.coalesce(F.min(F.when(P >= 0, F.col("_r"))) - 1, F.count(F.lit(1))).cast("long").alias("losses"))
+    return d.groupBy("symbol").agg(F.coalesce(F.min(F.when(F.col("pnl") >= 0, F.col("_r"))) - 1, F.count(F.lit(1))).cast("long").alias("losses"))
 
 
 def mode_reconciliation(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
