@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of payload for one archive file, on average, and records a file has at most.
-FILE_BYTES = 24 << 20
-FILE_RECORDS = 30_000
+#: Records that an archive file has at most.
+FILE_RECORDS = 9_000
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 
@@ -56,16 +55,14 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
     The records of a row follow each other and refer to the response through WARC-Concurrent-To. Control characters
     of a URL are percent-encoded, since a header is one line. Null html is an empty payload; a null url has no
-    WARC-Target-URI. Files are gzip-compressed and hold about FILE_BYTES of payload each.
+    WARC-Target-URI. Files are gzip-compressed; a task writes its rows where they are, FILE_RECORDS at most to a file.
     """
     caps = captures(pages)
-    total = pages.agg(F.sum(F.octet_length("html"))).head()[0] or 0
-    files = max(1, -(-total // FILE_BYTES))
     seq = F.monotonically_increasing_id()
     uri = F.col("url")
     for c in "\r\n\t\x00":
         uri = F.replace(uri, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    rows = caps.repartition(files).withColumn("seq", seq).withColumn("uri", uri)
+    rows = caps.withColumn("seq", seq).withColumn("uri", uri)
     rid = _urn(F.lit("response"), F.coalesce(F.col("page_id"), F.lit(-1)), F.col("seq"))
     host_path = F.regexp_extract("uri", r"^.*?://[^/?#]*([^#]*)", 1)
     get = F.concat(F.lit("GET "), F.when(F.coalesce(host_path, F.lit("")) == "", F.lit("/")).otherwise(host_path), F.lit(f" HTTP/1.1{CRLF}{CRLF}"))
