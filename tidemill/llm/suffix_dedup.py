@@ -6,8 +6,9 @@ Whatever the hashes call equal is verified byte by byte before it counts.
 
 A suffix array of a whole corpus would need one order over every byte, so the suffixes are first narrowed down. In each
 string of ``length`` bytes the k-gram with the smallest hash, leftmost first, is its anchor; equal strings have equal
-anchors at equal places. Only anchors whose hash occurs twice can lie in a repeated string, and only their contexts
-(the strings they anchor) go on to be sorted, group by group of equal anchor hash.
+anchors at equal places. Only anchors whose hash occurs twice can lie in a repeated string. The context of an anchor is
+the stretch of the strings it anchors; contexts equal as a whole are found by their digests, and the different ones
+around an equal anchor go on to be sorted, group by group of equal anchor hash.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+from xxhash import xxh3_64_intdigest as digest
 
-from .common import bounded_batches, byte_texts, cut
+from .common import bounded_batches, byte_texts, cut, fresh_path
 
 K = 64
 #: Window starts hashed at once; a longer text is hashed in overlapping pieces.
 PIECE = 1 << 20
 #: Contexts sorted at once, in bytes; a group of equal anchors is never split.
 SORT_BYTES = 6 << 20
-#: Anchors with more occurrences than this are resolved by the distributed plan in ``_hot``.
+#: Anchors with more different contexts than this are resolved by the distributed plan in ``_hot``.
 HOT = 20_000
 
 _rng = np.random.default_rng(20240607)
@@ -216,9 +219,9 @@ def covered(bufs: list[bytes], group: np.ndarray, lo: np.ndarray, hi: np.ndarray
     start = np.cumsum(sizes) - sizes
     ph = PrefixHash(buf)
     # Equal contexts collapse to one; all of their strings are repeated.
-    digest = _mix(ph.of(start, sizes)) + lo.astype(np.uint64) * BASE + hi.astype(np.uint64)
-    order = np.lexsort((digest, group))
-    same = (group[order][1:] == group[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+    marks = _mix(ph.of(start, sizes)) + lo.astype(np.uint64) * BASE + hi.astype(np.uint64)
+    order = np.lexsort((marks, group))
+    same = (group[order][1:] == group[order][:-1]) & (marks[order][1:] == marks[order][:-1])
     head = np.flatnonzero(np.concatenate([[True], ~same]))
     times = np.diff(np.concatenate([head, [len(order)]]))
     rep = np.empty(len(order), np.int64)
@@ -317,47 +320,93 @@ def _plain(bufs: list[bytes], members: np.ndarray, lo: np.ndarray, hi: np.ndarra
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, null as 0), th (a hash of id and text) and the text, all without nulls: a key rows can be joined by.
+    """doc (doc_id, null as 0), th (32 bits of a hash of the text, odd where doc_id is null) and the text, without nulls.
 
     Rows that agree in id and text share a key and so all results, which is right: each repeats the other.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), F.xxhash64(F.col("doc_id").isNull(), text).alias("th"), F.col("doc_id"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), _text_hash(text).alias("th"), text.alias("text"))
+
+
+def _text_hash(text: Column) -> Column:
+    odd = F.col("doc_id").isNull().cast("int")
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 33).cast("int"), 1).bitwiseOR(odd)
+
+
+def context_digests(texts: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The anchors of ``text_anchors`` with a 64-bit digest of the whole context of each, its distances included.
+
+    An anchor hash and a digest, both equal, stand for equal contexts: 128 bits of two unlike functions.
+    """
+    for owner, h, place, lo, hi in text_anchors(texts, length, k):
+        c = np.array([digest(texts[o][p - j : p + length - i], i << 16 | j) for o, p, i, j in zip(owner.tolist(), place.tolist(), lo.tolist(), hi.tolist(), strict=True)], np.uint64)
+        yield owner, h.view(np.int64), c.view(np.int64), place, lo, hi
+
+
+def _kinds(keyed: DataFrame, length: int, k: int) -> DataFrame:
+    """h, c, n: contexts counted by anchor hash and digest, each Arrow batch adding a kind once with its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [np.column_stack(x[1:3]) for x in context_digests(list(byte_texts(batch, "text")), length, k)]
+            if got:
+                kinds = np.ascontiguousarray(np.concatenate(got)).view([("h", np.int64), ("c", np.int64)]).ravel()
+                kinds, n = np.unique(kinds, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds["h"]), pa.array(kinds["c"]), pa.array(n.astype(np.int32))], names=["h", "c", "n"])
+
+    rows = keyed.select("text").mapInArrow(run, "h long, c long, n int").repartition("h")
+    rows = rows.groupBy("h", "c").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("h")
+    rows = rows.withColumns({"total": F.sum("n").over(w), "kinds": F.count(F.lit(1)).over(w)})
+    return rows.filter("total > 1").select(F.col("h").alias("kh"), F.col("c").alias("kc"), (F.col("n") > 1).alias("many"), (F.col("kinds") > 1).alias("mixed"), F.col("kinds"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> DataFrame:
-    """doc, th, spans (array of start and end, in bytes, unmerged): what repeats in each text that has repeats."""
-    bounded_batches(docs.sparkSession)
+    """doc, th, spans (array of start and end, in bytes, unmerged): what repeats in each text that has repeats.
+
+    1. Contexts are counted by anchor hash and digest; anchors that occur once are done with.
+    2. The places of the others are stored. A context that occurs twice is repeated whole, wherever it is.
+    3. Of the rest, only contexts that share an anchor with a different one are sorted, with one representative of each
+       kind that occurs twice; their bytes are all the text that is shuffled by anchor.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     keyed = _keyed(docs)
+    kinds = cut(_kinds(keyed, length, k))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th = (batch.column(c).to_numpy() for c in ("doc", "th"))
-            for owner, h, place, lo, hi in text_anchors(list(byte_texts(batch, "text")), length, k):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[owner]), pa.array(th[owner]), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], names=["h", "doc", "th", "at", "lo", "hi"])
-
-    found = keyed.select("doc", "th", "text").mapInArrow(find, "h long, doc long, th long, at int, lo short, hi short")
-    # Counted map-side first; only the hashes that occur twice are kept.
-    twice = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")).withColumnRenamed("h", "t")
-    places = found.join(twice, F.col("h") == F.col("t"))
-    per_doc = places.groupBy("doc", "th").agg(F.collect_set(F.struct("h", "at", "lo", "hi", (F.col("n") > hot).alias("hot"))).alias("anchors"))
+            for owner, h, c, place, lo, hi in context_digests(list(byte_texts(batch, "text")), length, k):
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(doc[owner]), pa.array(th[owner]), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], names=["h", "c", "doc", "th", "at", "lo", "hi"])
+
+    found = keyed.mapInArrow(find, "h long, c long, doc long, th int, at int, lo short, hi short")
+    stored = fresh_path(spark, "anchors")
+    found.join(kinds, (F.col("h") == F.col("kh")) & (F.col("c") == F.col("kc"))).drop("kh", "kc").write.parquet(stored)
+    places = spark.read.parquet(stored)
+    whole = places.filter("many").select("doc", "th", (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + length).alias("b"))
+    asked = ["h", "at", "lo", "hi", "kinds"]
+    rest = places.filter("mixed AND NOT many").select("doc", "th", *asked)
+    one = places.filter("mixed AND many").groupBy("h", "c").agg(F.min(F.struct("doc", "th", *asked)).alias("m")).select("m.*")
+    per_doc = rest.unionByName(one).groupBy("doc", "th").agg(F.collect_set(F.struct("h", "at", "lo", "hi", (F.col("kinds") > hot).alias("hot"))).alias("anchors"))
     per_doc = per_doc.select(F.col("doc").alias("d2"), F.col("th").alias("th2"), "anchors")
-    with_text = keyed.select("doc", "th", "text").join(per_doc, (F.col("doc") == F.col("d2")) & (F.col("th") == F.col("th2"))).select("doc", "th", "text", "anchors")
+    with_text = keyed.join(per_doc, (F.col("doc") == F.col("d2")) & (F.col("th") == F.col("th2"))).select("doc", "th", "text", "anchors")
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("hot", pa.bool_()), ("ctx", pa.binary())])
+        schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("hot", pa.bool_()), ("ctx", pa.binary())])
         for batch in batches:
             for r, text in enumerate(byte_texts(batch, "text")):
                 own = batch.column("anchors").slice(r, 1).flatten()
                 h, at, lo, hi, heat = own.flatten()
                 a, x, y = (c.to_numpy() for c in (at, lo, hi))
+                doc, th = batch.column("doc")[r].as_py(), batch.column("th")[r].as_py()
                 for s in range(0, len(a), 20_000):
                     e = slice(s, s + 20_000)
                     ctx = [text[p - j : p + length - i] for p, i, j in zip(a[e].tolist(), x[e].tolist(), y[e].tolist(), strict=True)]
                     n = len(ctx)
-                    yield pa.RecordBatch.from_arrays([h.slice(s, n), *[pa.array(np.full(n, batch.column(c)[r].as_py())) for c in ("doc", "th")], at.slice(s, n), lo.slice(s, n), hi.slice(s, n), heat.slice(s, n), pa.array(ctx, pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([h.slice(s, n), pa.array(np.full(n, doc)), pa.array(np.full(n, th, np.int32)), at.slice(s, n), lo.slice(s, n), hi.slice(s, n), heat.slice(s, n), pa.array(ctx, pa.binary())], schema=schema)
 
-    contexts = with_text.mapInArrow(context, "h long, doc long, th long, at int, lo short, hi short, hot boolean, ctx binary")
+    contexts = with_text.mapInArrow(context, "h long, doc long, th int, at int, lo short, hi short, hot boolean, ctx binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(t: pa.Table) -> pa.RecordBatch:
@@ -377,19 +426,20 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
                 if whole:
                     yield flush(t.slice(0, whole))
                     held = t.slice(whole).combine_chunks().to_batches()
-                    size = sum(x.column("ctx").nbytes for x in held) if size < 4 * SORT_BYTES else SORT_BYTES // 2
+                    size = sum(x.column("ctx").nbytes for x in held)
         if held:
             t = pa.Table.from_batches(held)
             if t.num_rows:
                 yield flush(t)
 
-    cold = contexts.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "doc long, th long, a int, b int")
-    spans = cold if twice.filter(F.col("n") > hot).isEmpty() else cold.unionByName(_hot(contexts.filter("hot").drop("hot"), length))
+    spans = whole.unionByName(contexts.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "doc long, th int, a int, b int"))
+    if not kinds.filter(F.col("kinds") > hot).isEmpty():
+        spans = spans.unionByName(_hot(contexts.filter("hot").drop("hot"), length))
     return spans.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def _hot(contexts: DataFrame, length: int) -> DataFrame:
-    """The same spans for anchors with very many occurrences, without a group that one task holds.
+    """The same spans for anchors with very many different contexts, without a group that one task holds.
 
     Equal contexts are counted map-side; the strings of the different ones are counted by their own bytes, which spreads
     an anchor over as many keys as it has strings.
@@ -415,8 +465,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
     """
     spans = repeated_spans(docs, length, k, hot).select(F.col("doc").alias("d2"), F.col("th").alias("th2"), "spans")
     keyed = _keyed(docs)
-    joined = keyed.join(spans, (F.col("doc") == F.col("d2")) & (F.col("th") == F.col("th2")), "left").select("doc_id", "text", "spans")
-    kind = joined.schema[0].dataType.simpleString()
+    joined = keyed.join(spans, (F.col("doc") == F.col("d2")) & (F.col("th") == F.col("th2")), "left")
+    own = F.when(F.col("th") % 2 == 0, F.col("doc")).alias("doc_id")  # the same columns of the texts as above: one shuffle of them serves both
+    joined = joined.select(own, "text", "spans")
+    kind = "long"
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -439,7 +491,7 @@ def strip_documents(docs: DataFrame, length: int = 200, k: int = K, hot: int = H
     rows without repeats are untouched, null texts among them.
     """
     spans = repeated_spans(docs, length, k, hot).select(F.col("doc").alias("d2"), F.col("th").alias("th2"), "spans")
-    rows = docs.withColumns({"d1": F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), "th1": F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))})
+    rows = docs.withColumns({"d1": F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), "th1": _text_hash(F.coalesce(F.col("text"), F.lit("")))})
     joined = rows.join(spans, (F.col("d1") == F.col("d2")) & (F.col("th1") == F.col("th2")), "left")
 
     @F.pandas_udf("string")
