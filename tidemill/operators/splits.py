@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def fold_bounds(n: int, k: int) -> list[tuple[int, int]]:
@@ -19,6 +20,17 @@ def fold_bounds(n: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
+def number_rows(rows: DataFrame, order: str, tie: str, name: str = "rn") -> DataFrame:
+    """Consecutive numbers from 0 in the order of ``order``, then ``tie``, without sorting all rows in one task.
+
+    Rows are counted for each value of ``order``; the running sum runs over those counts only.
+    """
+    n = rows.groupBy(order).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(order).orderBy(tie)) - 1
+    return rows.join(n, order).withColumn(name, F.col("_before") + inside).drop("_before")
+
+
 def purged_folds(rows: DataFrame, rn: str, n: int, k: int = 5, embargo: float = 0.01, purge: int = 12) -> DataFrame:
     """fold, row number and role (train, test) of contiguous test folds: training rows within ``purge`` rows before a test
     fold, or in the embargo after it, are left out."""
