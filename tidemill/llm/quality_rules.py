@@ -159,3 +159,22 @@ def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
     own = df.columns
     tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{text}`").alias("text"))
     return judge(tagged, rules).filter("kept").select(*[F.col("row")[c].alias(c) for c in own])
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+#: The statistics and the verdict of RULES as DuckDB SQL over ``documents``.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+i AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 8),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, list_slice(w, i, i + 7)) AS c FROM i),
+p AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS n FROM g WHERE c > 1),
+q AS (SELECT r, sum(least(8, coalesce(n - i, 8))) AS n FROM p GROUP BY r),
+s AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(q.n, 0) AS n_repeat_words,
+  len(list_filter(w, lambda x: list_contains([{_STOP}], regexp_replace(lower(x), '[.,;:!?"''()]', '', 'g')))) AS n_stop FROM w LEFT JOIN q ON w.r = q.r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 100 * n_symbols > 8 * word_chars OR 100 * n_dup_lines > 50 * n_lines OR (n_words >= 100 AND 100 * n_stop < n_words)) AS kept
+FROM s
+"""

@@ -117,5 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": quality_rules.ORACLE_SQL,
+    "op6_warc": warc.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
 }

@@ -113,7 +113,8 @@ def parse_archive(data: bytes, kinds: frozenset[str]) -> Iterator[dict]:
 def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("request", "response", "revisit", "metadata")) -> DataFrame:
     """One row for each record of the wanted kinds: ids, digests, payload and fields (of warc-fields blocks).
 
-    The payload of a response is its HTTP body; revisits have none. An empty folder gives an empty table.
+    The payload of a response is its HTTP body; revisits have none. An empty folder gives an empty table. Spark packs
+    files into partitions by size, so a task holds about ``spark.sql.files.maxPartitionBytes`` of archives.
     """
     wanted = frozenset(kinds)
 
@@ -131,7 +132,6 @@ def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("request
                 if rows:
                     yield _batch(rows)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(parse, RECORD)
 
 
