@@ -54,11 +54,17 @@ def meta_precision(model: Model, df: DataFrame, columns: list[str], label: str,
 
 
 def purged_score(df: DataFrame, folds: DataFrame, rn: str, make: Callable[[], Estimator], score: Callable[[DataFrame], float], k: int) -> list[float]:
-    """Score of a fresh model on each test fold, trained on the rows the fold table calls training."""
-    out = []
-    for i in range(k):
-        part = df.join(folds.filter(F.col("fold") == i), rn)
-        out.append(score(make().fit(part.filter("role = 'train'")).transform(part.filter("role = 'test'"))))
+    """Score of a fresh model on each test fold, trained on the rows the fold table calls training.
+
+    The joined rows are kept while the folds are fitted, since every fit reads them several times.
+    """
+    rows, out = df.join(folds, rn).persist(), []
+    try:
+        for i in range(k):
+            part = rows.filter(F.col("fold") == i)
+            out.append(score(make().fit(part.filter("role = 'train'")).transform(part.filter("role = 'test'"))))
+    finally:
+        rows.unpersist()
     return out
 
 
