@@ -45,13 +45,10 @@ RULES = (
 BASE = ("n_words", "repeat_word_ratio")
 
 
-def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the struct column ``stats``: counts over the whole text, with built-in functions only.
-
-    Null and empty texts have no words and no lines: every count is 0. Columns of the input named like a count
-    do not matter, since all counts are fields of one struct; an input column called ``stats`` is replaced.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
+def statistics(text: Column) -> Column:
+    """A struct of counts over the whole text, with built-in functions only. Null and empty texts have no words and no
+    lines: every count is 0."""
+    body = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(body, SPACE_PATTERN), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda s: F.translate(s, SPACES, "") != "")
     trimmed = lambda w: F.translate(F.lower(w), ".,;:!?\"'()", "")
@@ -70,17 +67,20 @@ def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             (F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"),
         ),
     )
-    return df.withColumn(
-        "stats",
-        F.struct(
-            per_words.alias("w"),
-            per_lines.alias("l"),
-            F.length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
-            (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        ),
+    return F.struct(
+        per_words.alias("w"),
+        per_lines.alias("l"),
+        F.length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
+        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
 
 
+def text_statistics(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add the struct column ``stats``. Columns of the input named like a count do not matter, since all counts are fields
+    of one struct; an input column called ``stats`` is replaced."""
+    return df.withColumn("stats", statistics(F.col(text)))
+
+
 def _repeat_words(words: Column) -> Column:
     """Words inside an eight-word window whose words occur in the same order at another place of the text too.
 
@@ -155,19 +155,29 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") ->
 
 
 def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of the input that break no rule, with its own columns."""
-    own = df.columns
-    tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(f"`{text}`").alias("text"))
-    return judge(tagged, rules).filter("kept").select(*[F.col("row")[c].alias(c) for c in own])
+    """The rows of the input that break no rule, with its own columns.
+
+    The counts are bound once inside the predicate; a filter on a column of ``judge`` would repeat them for every rule.
+    """
+
+    def good(s: Column) -> Column:
+        out = F.lit(True)
+        for r in rules:
+            out = out & ~broken(r, s)
+        return out
+
+    return df.filter(let(statistics(F.col(f"`{text}`")), good))
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_EIGHT = " || ' ' || ".join(["x", *[f"lead(x, {k}) OVER o" for k in range(1, WINDOW)]])
 #: The statistics and the verdict of RULES as DuckDB SQL over ``documents``.
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
-i AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 8),
-g AS (SELECT r, i, count(*) OVER (PARTITION BY r, list_slice(w, i, i + 7)) AS c FROM i),
+u AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+k AS (SELECT r, i, {_EIGHT} AS k FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM k WHERE k IS NOT NULL),
 p AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS n FROM g WHERE c > 1),
 q AS (SELECT r, sum(least(8, coalesce(n - i, 8))) AS n FROM p GROUP BY r),
 s AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
