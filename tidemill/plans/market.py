@@ -97,11 +97,12 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     return B.insert_if_absent(old, e.groupBy("user_id").agg(F.max("value").alias("value")), ["user_id"])
 
 
-@query(f"""{BARS}, late AS (SELECT symbol, t, close + 1 AS close FROM bars WHERE t % 5 = 0)
+@query(f"""{BARS}, late AS (SELECT symbol, t, close + 1 AS close FROM bars WHERE close < open)
 SELECT b.symbol, b.t, coalesce(l.close, b.close) AS close FROM bars b LEFT JOIN late l ON b.symbol = l.symbol AND b.t = l.t""")
 def upsert_bars(spark: SparkSession, d: str) -> DataFrame:
-    b = S.hourly_bars(spark, d).select("symbol", "t", "close")
-    return B.upsert(b, b.filter("t % 5 = 0").withColumn("close", F.col("close") + 1), ["symbol", "t"])
+    b = S.hourly_bars(spark, d)
+    revised = b.filter("close < open").select("symbol", "t", (F.col("close") + 1).alias("close"))
+    return B.upsert(b.select("symbol", "t", "close"), revised, ["symbol", "t"])
 
 
 @query(f"{BARS} SELECT symbol, t, t - lag(t) OVER ({W}) - 1 AS missing FROM bars QUALIFY t - lag(t) OVER ({W}) > 1")
@@ -530,14 +531,14 @@ def liquidation_events(spark: SparkSession, d: str) -> DataFrame:
     return out(SG.liquidations(S.hourly_bars(spark, d), z=2.0), "symbol t side price", "volume_z body")
 
 
-TICK = "tick AS (SELECT o_custkey AS symbol, sum(o_totalprice) AS volume, arg_max(o_totalprice, row(o_orderdate, o_orderkey)) / arg_min(o_totalprice, row(o_orderdate, o_orderkey)) - 1 AS pct FROM orders GROUP BY 1), prev AS (SELECT DISTINCT o_custkey AS symbol FROM orders WHERE o_orderkey % 3 = 0)"
+TICK = "tick AS (SELECT o_custkey AS symbol, sum(o_totalprice) AS volume, arg_max(o_totalprice, row(o_orderdate, o_orderkey)) / arg_min(o_totalprice, row(o_orderdate, o_orderkey)) - 1 AS pct FROM orders GROUP BY 1), prev AS (SELECT DISTINCT o_custkey AS symbol FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')"
 
 
 def _tickers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o = S.load(spark, d, "orders")
     k = F.struct("o_orderdate", "o_orderkey")
     t = o.groupBy(F.col("o_custkey").alias("symbol")).agg(F.sum("o_totalprice").alias("volume"), (F.max_by("o_totalprice", k) / F.min_by("o_totalprice", k) - 1).alias("pct"))
-    return t, o.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("symbol")).distinct()
+    return t, o.filter("o_orderdate < TIMESTAMP '1996-01-01'").select(F.col("o_custkey").alias("symbol")).distinct()
 
 
 @query(f"""WITH {TICK}, live AS (SELECT * FROM tick WHERE volume >= 100000), s AS (SELECT avg(log10(volume)) AS mv, stddev_pop(log10(volume)) AS sv, avg(abs(pct)) AS mp, stddev_pop(abs(pct)) AS sp FROM live),
@@ -570,10 +571,10 @@ def tier_lookup(spark: SparkSession, d: str) -> DataFrame:
     return out(SG.tier_of(c, "e"), "c_custkey tier next_tier", "progress")
 
 
-@query("""WITH f AS (SELECT event_type AS symbol, epoch_us(ts) // 3600000000 AS t, event_id, (value - 50) / 1e5 AS funding FROM events WHERE event_id % 11 = 0)
+@query("""WITH f AS (SELECT event_type AS symbol, epoch_us(ts) // 3600000000 AS t, event_id, (value - 50) / 1e5 AS funding FROM events)
 SELECT symbol, t, round(funding, 8) AS funding, CASE WHEN funding > 0 THEN 'short' ELSE 'long' END AS side, round(abs(funding) * 3 - 0.0006, 8) AS net, round(abs(funding) * 1095, 9) AS annual FROM f WHERE abs(funding) >= 0.0003 AND abs(funding) * 3 - 0.0006 > 0""")
 def carry_opportunities(spark: SparkSession, d: str) -> DataFrame:
-    e = S.load(spark, d, "events").filter("event_id % 11 = 0")
+    e = S.load(spark, d, "events")
     f = e.select(F.col("event_type").alias("symbol"), S.hour_number(F.col("ts")).alias("t"), ((F.col("value") - 50) / 1e5).alias("funding"))
     x = SG.carry_opportunities(f)
     return x.select("symbol", "t", F.round("funding", 8).alias("funding"), "side", F.round("net", 8).alias("net"), F.round("annual", 9).alias("annual"))

@@ -42,8 +42,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh event as a model signal: id, t, symbol, signal, confidence, action."""
-    e = load(spark, sf_dir, "events").filter("event_id % 7 = 0")
+    """Every event as a model signal: id, t, symbol, signal, confidence, action."""
+    e = load(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("id"), hour_number(F.col("ts")).alias("t"), F.col("event_type").alias("symbol"), (F.col("value") / 250 - 1).alias("signal"),
         ((F.col("user_id") % 100) / 100.0).alias("confidence"), F.when(F.col("user_id") % 2 == 0, F.lit("long")).otherwise(F.lit("short")).alias("action"),
@@ -74,7 +74,7 @@ SQL = {
       CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side, ['PAPER','LIVE',''][event_id % 3 + 1] AS mode,
       ['PAPER_MACRO_ON','PAPER_MACRO_OFF'][event_id % 2 + 1] AS variant, round(value - 50, 2) AS pnl, user_id % 5 AS regime FROM events)""",
     "signals": """signals AS (SELECT event_id AS id, epoch_us(ts) // 3600000000 AS t, event_type AS symbol, value / 250 - 1 AS signal,
-      (user_id % 100) / 100.0::DOUBLE AS confidence, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS action FROM events WHERE event_id % 7 = 0)""",
+      (user_id % 100) / 100.0::DOUBLE AS confidence, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS action FROM events)""",
     "records": """records AS (SELECT event_id AS id, user_id % 4 AS source, event_type AS regime, value / 250 - 1 AS signal,
       lead(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) / value - 1 AS ret FROM events)""",
     "flow": """flow AS (SELECT event_type AS symbol, epoch_us(ts) // 3600000000 AS t, sum(CASE WHEN user_id % 2 = 0 THEN value ELSE 0 END) AS buy,
