@@ -34,7 +34,10 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document with its copies and its source's target; rows the mix does not take have 0 copies."""
+    """The mix: every document with its copies and its source's target; rows the mix does not take have 0 copies.
+
+    ``mixed_corpus`` returns the rows themselves.
+    """
     return mixing.plan_mix(docs)
 
 
@@ -50,11 +53,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+def _apply(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(stages):
         path = fresh_path(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
+    return _apply(spark, sf_dir, STAGES)
+
+
+def mixed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus the plan of the last stage describes: cleaned rows, each as often as it is taken, with ``copy``."""
+    return mixing.mix(_apply(spark, sf_dir, STAGES[:-1]))

@@ -143,7 +143,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 1)
     )
     # Rows that share a plan list take its average in turn; the lists of all but repeated rows have one entry.
     alone = F.size("copies") == 1
-    turn = F.row_number().over(Window.partitionBy("p_id", "p_source", "p_size").orderBy(F.lit(1)))
+    turn = F.row_number().over(Window.partitionBy("p_id", "p_source", "p_size").orderBy(F.xxhash64("row.text")))  # stable if a task runs again
     one = both.filter(alone).select("row", F.col("copies")[0].alias("n"))
     many = both.filter(~alone).select("row", F.element_at("copies", turn).alias("n"))
     return one.unionByName(many).filter("n > 0").select("row.*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
