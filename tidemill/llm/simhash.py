@@ -23,6 +23,29 @@ PAGE = 1 << 14
 CHUNK = 1 << 14
 
 
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 values of the different word shingles of a text, ascending."""
+    tokens = text.lower().split()
+    joined = b" ".join(tokens)
+    ends = np.cumsum([len(w) + 1 for w in tokens], dtype=np.int64) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(tokens) - shingle + 1) if tokens else 0
+    stops = ends[len(ends) - n :]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)), np.uint64, n))
+
+
+def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """As ``fingerprint``, of a set: every different shingle counts once."""
+    ones = np.zeros((words, BITS), np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        h = hashes[at : at + CHUNK]
+        for k in range(words):
+            if k:
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+            ones[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> tuple[np.ndarray, int]:
     """The fingerprint as ``words`` 64-bit words, and the number of word shingles.
 
@@ -62,22 +85,24 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}"] + [f"{c} long" for c in names[1:]]))
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool, first: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the radius, tile by tile, of fingerprints (rows of words) sorted by bits set in the first word.
 
     A pair of tiles whose ranges of population counts lie further apart than the radius is skipped: two words differ in at
-    least as many bits as their counts do. ``first`` bounds the difference of the first word where there are more.
+    least as many bits as their counts do.
     """
-    first = radius if first is None else first
     ca, cb = np.bitwise_count(a[:, 0]), np.bitwise_count(b[:, 0])
     for i in range(0, len(a), TILE):
         x, low, high = a[i : i + TILE, 0], int(ca[i]), int(ca[min(i + TILE, len(a)) - 1])
         for j in range(i if same else 0, len(b), TILE):
-            if int(cb[j]) - high > first:
+            if int(cb[j]) - high > radius:
                 break
-            if low - int(cb[min(j + TILE, len(b)) - 1]) > first:
+            if low - int(cb[min(j + TILE, len(b)) - 1]) > radius:
                 continue
-            p, q = np.nonzero(np.bitwise_count(x[:, None] ^ b[None, j : j + TILE, 0]) <= first)
+            apart = np.bitwise_count(x[:, None] ^ b[None, j : j + TILE, 0])
+            for k in range(1, a.shape[1]):
+                apart += np.bitwise_count(a[i : i + TILE, k][:, None] ^ b[None, j : j + TILE, k])
+            p, q = np.nonzero(apart <= radius)  # bytes: 256 different bits wrap to 0, so what is left is counted again
             if same and i == j:
                 p, q = p[p < q], q[p < q]
             if len(p) and a.shape[1] > 1:
@@ -134,15 +159,17 @@ def by_size(fps: DataFrame, similarity: float) -> DataFrame:
     return fps.select("*", F.explode(F.array(F.struct(level.alias("g"), F.lit(True).alias("home")), F.struct((level - 1).alias("g"), F.lit(False).alias("home")))).alias("b")).select("*", "b.g", "b.home").drop("b")
 
 
-def links(grouped: DataFrame, radius: int, first: int | None = None) -> DataFrame:
+def links(grouped: DataFrame, radius: int, every: bool = False) -> DataFrame:
     """Links (a, b) between ids that connect exactly what pairs within the radius connect, group by group.
 
+    ``every``: all pairs within the radius whose ``label`` (a further column) differs, tile by tile, instead.
+
     ``grouped``: id (long), g, home and words w0, ...; two visitors of a group are not compared. Inside a group the
     comparison is exact, tile by tile. Groups are split into pages of rows; page pairs of one group are compared in
     different tasks, so a large group is spread over the cluster and no task holds it. Each task returns a
     spanning forest of the pairs it found, never all of them.
     """
-    words = [c for c in grouped.columns if c.startswith("w")]
+    words = [c for c in grouped.columns if c.startswith("w")] + ["label"] * every
     counts = grouped.groupBy("g").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")).filter("homes + guests > 1 AND homes > 0")
     pages = lambda c: F.ceil(F.col(c) / PAGE).cast("int")
     counts = cut(counts).select(F.col("g").alias("cg"), pages("homes").alias("hp"), pages("guests").alias("gp"))
@@ -153,6 +180,7 @@ def links(grouped: DataFrame, radius: int, first: int | None = None) -> DataFram
     meet = rows.withColumn("page", page).select("g", "id", *words, "page", F.explode(others).alias("o"))
     meet = meet.select("g", F.least("page", "o").alias("p"), F.greatest("page", "o").alias("q"), "page", "id", *words)
     dealt = meet.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
+    find = _pairs if every else _forests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -165,44 +193,59 @@ def links(grouped: DataFrame, radius: int, first: int | None = None) -> DataFram
             if held and (tuple(key[0]) != last or len(bounds) > 1):
                 # The group that was open ends before, or inside, this batch.
                 upto = int(bounds[1]) if tuple(key[0]) == last else 0
-                yield _forests([*held, batch.slice(0, upto)], radius, first)
+                yield from find([*held, batch.slice(0, upto)], radius)
                 batch, bounds, held = batch.slice(upto), bounds[bounds >= upto] - upto, []
             if len(bounds) > 1:
-                yield _forests([batch.slice(0, int(bounds[-1]))], radius, first)
+                yield from find([batch.slice(0, int(bounds[-1]))], radius)
                 batch = batch.slice(int(bounds[-1]))
             held.append(batch)
             last = tuple(key[-1])
         if held:
-            yield _forests(held, radius, first)
+            yield from find(held, radius)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _forests(held: list[pa.RecordBatch], radius: int, first: int | None) -> pa.RecordBatch:
-    """Spanning forests of whole groups (runs of equal g, p, q)."""
+def _groups(held: list[pa.RecordBatch], radius: int) -> Iterator[tuple[pa.Table, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Of each group (run of equal g, p, q): the rows in order of bits set, and the pairs of their places, tile by tile."""
     table = pa.Table.from_batches(held)
-    g, p, q, page, ids = (table.column(c).to_numpy() for c in ("g", "p", "q", "page", "id"))
+    g, p, q, page = (table.column(c).to_numpy() for c in ("g", "p", "q", "page"))
     words = np.column_stack([table.column(c).to_numpy() for c in table.column_names if c.startswith("w")]).view(np.uint64)
     edge = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1, [len(g)]])
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if hi - lo < 2:
             continue
         order = np.argsort(np.bitwise_count(words[lo:hi, 0]), kind="stable") + lo
         w, own = words[order], page[order]
-        forest = Forest(len(w))
         if p[lo] == q[lo]:
-            for x, y in near_pairs(w, w, radius, True, first):
-                forest.add(x, y)
+            yield table, order, near_pairs(w, w, radius, True)
         else:
             one, two = np.flatnonzero(own == p[lo]), np.flatnonzero(own == q[lo])
-            for x, y in near_pairs(w[one], w[two], radius, False, first):
-                forest.add(one[x], two[y])
-        root = forest.roots(np.arange(len(w)))
-        moved = np.flatnonzero(root != np.arange(len(w)))
-        left.append(ids[order[moved]])
-        right.append(ids[order[root[moved]]])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+            yield table, order, ((one[x], two[y]) for x, y in near_pairs(w[one], w[two], radius, False))
+
+
+def _links(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def _forests(held: list[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of whole groups."""
+    for table, order, pairs in _groups(held, radius):
+        ids, forest = table.column("id").to_numpy()[order], Forest(len(order))
+        for x, y in pairs:
+            forest.add(x, y)
+        root = forest.roots(np.arange(len(order)))
+        moved = np.flatnonzero(root != np.arange(len(order)))
+        yield _links(ids[moved], ids[root[moved]])
+
+
+def _pairs(held: list[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """All pairs of whole groups whose labels differ."""
+    for table, order, pairs in _groups(held, radius):
+        ids, label = (table.column(c).to_numpy()[order] for c in ("id", "label"))
+        for x, y in pairs:
+            new = label[x] != label[y]
+            yield _links(np.minimum(ids[x], ids[y])[new], np.maximum(ids[x], ids[y])[new])
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
@@ -221,19 +264,76 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     return out.select("doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), F.nullif("label", F.lit(none)).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, radius: int = 50, first: int = 20) -> DataFrame:
+def _shingle_nodes(known: DataFrame, shingle: int, words: int) -> DataFrame:
+    """Of every row doc_id, t0, t1 (128 bits of its text), s0, s1 (128 bits of its shingle set), n and w0, w1, ..."""
+    bounded_batches(known.sparkSession)
+    kind = known.select("doc_id").schema[0].dataType.simpleString()
+    names = ["doc_id", "t0", "t1", "s0", "s1", "n", *[f"w{k}" for k in range(words)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in byte_texts(batch, "text"):
+                h = shingle_hashes(text, shingle)
+                rows.append(np.concatenate([np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64), [len(h)], set_fingerprint(h, words).view(np.int64)]))
+            fp = np.array(rows, np.int64).reshape(-1, 3 + words)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], *[pa.array(c) for c in fp.T.copy()]], names=names)
+
+    return known.select("doc_id", "t0", "t1", "text").mapInArrow(run, ", ".join([f"doc_id {kind}"] + [f"{c} long" for c in names[1:]]))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) those whose sets (id, shingles: array of different hashes) have at least this Jaccard similarity."""
+    side = lambda c: sets.select(F.col("id").alias(f"{c}_id"), F.col("shingles").alias(f"{c}_set"))
+    both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    return both.filter(common / (F.size("a_set") + F.size("b_set") - common) >= similarity).select("a", "b")
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, radius: int = 60) -> DataFrame:
     """One row of each near-duplicate group of docs: that with the smallest doc_id (of repeated rows, one).
 
-    Texts are near duplicates if their 256-bit fingerprints over five-word shingles differ in at most 50 bits. Two texts
-    whose shingles agree to 0.8 differ in 39 bits on average, with a deviation of 6; unrelated ones in 128. The
-    radius is too wide for equal blocks of bits, so all texts of like size are compared, tile by tile. A row without
-    doc_id cannot be told from others without one: it stays, and represents no group.
+    Texts are near duplicates if the Jaccard similarity of their sets of five-word shingles is at least 0.8, and groups
+    are what such pairs connect. Candidates are pairs whose 256-bit fingerprints over the sets differ in at most 60 bits,
+    and each candidate is judged by the sets themselves. At a similarity of 0.8, 39 bits differ on average with a
+    deviation of 6, so few pairs lie outside; unrelated texts differ in 128. The radius is too wide for equal
+    blocks of bits, so all texts of like size are compared, tile by tile. Equal sets are one node. A spanning forest of
+    the candidates is judged first; then every candidate pair that this has left in different groups, so that a refused
+    link never hides another. A row without doc_id cannot be told from others without one: it stays, and represents no
+    group.
     """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digests = {"t0": F.xxhash64(text), "t1": F.xxhash64(F.lit(1), text)}
     known = docs.filter("doc_id IS NOT NULL")
-    fps = fingerprints(known.select("doc_id", "text"), shingle, words)
-    columns = [f"w{k}" for k in range(words)]
-    nodes = cut(fps.groupBy(*columns).agg(F.min("doc_id").alias("id"), F.min("n").alias("n")))
-    found = components(links(by_size(nodes, similarity), radius, first), nodes.select(F.col("id").alias("node"), F.col("id").alias("label")))
-    best = found.filter("node = label").select(F.col("node").alias("b_id"))
-    one = known.join(best, known["doc_id"] == best["b_id"], "left_semi").dropDuplicates(["doc_id"])
+    rows = _shingle_nodes(known.select("doc_id", "text").withColumns(digests), shingle, words)
+    fps = [f"w{k}" for k in range(words)]
+    # A node is a set of shingles; ``best`` is the row that stands for it. Ids are fixed by the checkpoint.
+    nodes = rows.groupBy("s0", "s1").agg(F.min(F.struct("doc_id", "t0", "t1")).alias("best"), *[F.first(c).alias(c) for c in ("n", *fps)])
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("id"), "best", "n", *fps))
+    apart = nodes.select("id", "n", *fps)
+    own = nodes.select(F.col("id").alias("node"), F.col("id").alias("label"))
+    reps = nodes.select("id", F.col("best.doc_id").alias("b_id"), F.col("best.t0").alias("b0"), F.col("best.t1").alias("b1"))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        asked = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), F.col("id") == F.col("i"), "left_semi")
+        texts = known.select("doc_id", "text").withColumns(digests).join(asked, (F.col("doc_id") == F.col("b_id")) & (F.col("t0") == F.col("b0")) & (F.col("t1") == F.col("b1")))
+        texts = texts.select("id", "text").dropDuplicates(["id"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r, t in enumerate(byte_texts(batch, "text")):
+                    h = pa.array(shingle_hashes(t, shingle).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), h)], names=["id", "shingles"])
+
+        return cut(confirmed(pairs, cut(texts.mapInArrow(run, "id long, shingles array<long>")), similarity))
+
+    sure = judged(cut(links(by_size(apart, similarity), radius)))
+    found = cut(components(sure, own))
+    labelled = apart.join(found, F.col("id") == F.col("node")).drop("node")
+    more = cut(links(by_size(labelled, similarity), radius, every=True))
+    if not more.isEmpty():
+        found = components(sure.union(judged(more)), own)
+    stay = found.join(nodes.select("id", "best"), F.col("node") == F.col("id")).groupBy("label").agg(F.min("best").alias("best"))
+    stay = stay.select(F.col("best.doc_id").alias("b_id"), F.col("best.t0").alias("b0"), F.col("best.t1").alias("b1"))
+    one = known.join(stay, (F.col("doc_id") == F.col("b_id")) & (digests["t0"] == F.col("b0")) & (digests["t1"] == F.col("b1")), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter("doc_id IS NULL"))
