@@ -319,18 +319,31 @@ def _plain(bufs: list[bytes], members: np.ndarray, lo: np.ndarray, hi: np.ndarra
     return out[:, 0], out[:, 1], out[:, 2]
 
 
+#: What names a text: doc_id (null as 0), 64 bits of a hash of the text, and twice its octet length, odd where doc_id is null.
+KEY = ["doc", "th", "tn"]
+
+
+def _key() -> list[Column]:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.octet_length(text).cast("long") * 2 + F.col("doc_id").isNull().cast("long")
+    return [F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), F.xxhash64(text).alias("th"), size.alias("tn")]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, null as 0), th (32 bits of a hash of the text, odd where doc_id is null) and the text, without nulls.
+    """The columns KEY and the text, without nulls.
 
     Rows that agree in id and text share a key and so all results, which is right: each repeats the other.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), _text_hash(text).alias("th"), text.alias("text"))
+    return docs.select(*_key(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
 
+def _other(df: DataFrame) -> DataFrame:
+    """The frame with KEY renamed to d2, th2, tn2, for ``_same``."""
+    return df.withColumnsRenamed({"doc": "d2", "th": "th2", "tn": "tn2"})
 
-def _text_hash(text: Column) -> Column:
-    odd = F.col("doc_id").isNull().cast("int")
-    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 33).cast("int"), 1).bitwiseOR(odd)
+
+def _same() -> Column:
+    return (F.col("doc") == F.col("d2")) & (F.col("th") == F.col("th2")) & (F.col("tn") == F.col("tn2"))
 
 
 def context_digests(texts: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -362,7 +375,7 @@ def _kinds(keyed: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> DataFrame:
-    """doc, th, spans (array of start and end, in bytes, unmerged): what repeats in each text that has repeats.
+    """doc, th, tn (KEY), spans (array of start and end, in bytes, unmerged): what repeats in each text that has repeats.
 
     1. Contexts are counted by anchor hash and digest; anchors that occur once are done with.
     2. The places of the others are stored. A context that occurs twice is repeated whole, wherever it is.
@@ -376,44 +389,43 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, th = (batch.column(c).to_numpy() for c in ("doc", "th"))
+            doc, th, tn = (batch.column(c).to_numpy() for c in KEY)
             for owner, h, c, place, lo, hi in context_digests(list(byte_texts(batch, "text")), length, k):
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(doc[owner]), pa.array(th[owner]), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], names=["h", "c", "doc", "th", "at", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(doc[owner]), pa.array(th[owner]), pa.array(tn[owner]), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], names=["h", "c", *KEY, "at", "lo", "hi"])
 
-    found = keyed.mapInArrow(find, "h long, c long, doc long, th int, at int, lo short, hi short")
+    found = keyed.mapInArrow(find, "h long, c long, doc long, th long, tn long, at int, lo short, hi short")
     stored = fresh_path(spark, "anchors")
     found.join(kinds, (F.col("h") == F.col("kh")) & (F.col("c") == F.col("kc"))).drop("kh", "kc").write.parquet(stored)
     places = spark.read.parquet(stored)
-    whole = places.filter("many").select("doc", "th", (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + length).alias("b"))
+    whole = places.filter("many").select(*KEY, (F.col("at") - F.col("hi")).alias("a"), (F.col("at") - F.col("lo") + length).alias("b"))
     asked = ["h", "at", "lo", "hi", "kinds"]
-    rest = places.filter("mixed AND NOT many").select("doc", "th", *asked)
-    one = places.filter("mixed AND many").groupBy("h", "c").agg(F.min(F.struct("doc", "th", *asked)).alias("m")).select("m.*")
-    per_doc = rest.unionByName(one).groupBy("doc", "th").agg(F.collect_set(F.struct("h", "at", "lo", "hi", (F.col("kinds") > hot).alias("hot"))).alias("anchors"))
-    per_doc = per_doc.select(F.col("doc").alias("d2"), F.col("th").alias("th2"), "anchors")
-    with_text = keyed.join(per_doc, (F.col("doc") == F.col("d2")) & (F.col("th") == F.col("th2"))).select("doc", "th", "text", "anchors")
+    rest = places.filter("mixed AND NOT many").select(*KEY, *asked)
+    one = places.filter("mixed AND many").groupBy("h", "c").agg(F.min(F.struct(*KEY, *asked)).alias("m")).select("m.*")
+    per_doc = rest.unionByName(one).groupBy(*KEY).agg(F.collect_set(F.struct("h", "at", "lo", "hi", (F.col("kinds") > hot).alias("hot"))).alias("anchors"))
+    with_text = keyed.join(_other(per_doc), _same()).select(*KEY, "text", "anchors")
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("at", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("hot", pa.bool_()), ("ctx", pa.binary())])
+        schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("tn", pa.int64()), ("at", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("hot", pa.bool_()), ("ctx", pa.binary())])
         for batch in batches:
             for r, text in enumerate(byte_texts(batch, "text")):
                 own = batch.column("anchors").slice(r, 1).flatten()
                 h, at, lo, hi, heat = own.flatten()
                 a, x, y = (c.to_numpy() for c in (at, lo, hi))
-                doc, th = batch.column("doc")[r].as_py(), batch.column("th")[r].as_py()
+                own_key = [batch.column(c)[r].as_py() for c in KEY]
                 for s in range(0, len(a), 20_000):
                     e = slice(s, s + 20_000)
                     ctx = [text[p - j : p + length - i] for p, i, j in zip(a[e].tolist(), x[e].tolist(), y[e].tolist(), strict=True)]
                     n = len(ctx)
-                    yield pa.RecordBatch.from_arrays([h.slice(s, n), pa.array(np.full(n, doc)), pa.array(np.full(n, th, np.int32)), at.slice(s, n), lo.slice(s, n), hi.slice(s, n), heat.slice(s, n), pa.array(ctx, pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([h.slice(s, n), *[pa.array(np.full(n, v, np.int64)) for v in own_key], at.slice(s, n), lo.slice(s, n), hi.slice(s, n), heat.slice(s, n), pa.array(ctx, pa.binary())], schema=schema)
 
-    contexts = with_text.mapInArrow(context, "h long, doc long, th int, at int, lo short, hi short, hot boolean, ctx binary")
+    contexts = with_text.mapInArrow(context, "h long, doc long, th long, tn long, at int, lo short, hi short, hot boolean, ctx binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(t: pa.Table) -> pa.RecordBatch:
-            h, doc, th, at, lo, hi = (t.column(c).to_numpy() for c in ("h", "doc", "th", "at", "lo", "hi"))
+            h, doc, th, tn, at, lo, hi = (t.column(c).to_numpy() for c in ("h", *KEY, "at", "lo", "hi"))
             group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
             who, a, b = covered(t.column("ctx").to_pylist(), group, lo.astype(np.int64), hi.astype(np.int64), length)
-            return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(th[who]), pa.array((at[who] + a).astype(np.int32)), pa.array((at[who] + b).astype(np.int32))], names=["doc", "th", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(th[who]), pa.array(tn[who]), pa.array((at[who] + a).astype(np.int32)), pa.array((at[who] + b).astype(np.int32))], names=[*KEY, "a", "b"])
 
         held, size = [], 0
         for batch in batches:
@@ -432,10 +444,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
             if t.num_rows:
                 yield flush(t)
 
-    spans = whole.unionByName(contexts.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "doc long, th int, a int, b int"))
+    spans = whole.unionByName(contexts.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "doc long, th long, tn long, a int, b int"))
     if not kinds.filter(F.col("kinds") > hot).isEmpty():
         spans = spans.unionByName(_hot(contexts.filter("hot").drop("hot"), length))
-    return spans.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def _hot(contexts: DataFrame, length: int) -> DataFrame:
@@ -453,7 +465,7 @@ def _hot(contexts: DataFrame, length: int) -> DataFrame:
     hits = hits.select(*[F.col(c).alias(f"k_{c}") for c in key], "starts")
     joined = contexts.join(hits, [F.col(c) == F.col(f"k_{c}") for c in key])
     at = F.col("at") - F.col("o")
-    return joined.select("doc", "th", "at", F.explode("starts").alias("o")).select("doc", "th", at.cast("int").alias("a"), (at + length).cast("int").alias("b"))
+    return joined.select(*KEY, "at", F.explode("starts").alias("o")).select(*KEY, at.cast("int").alias("a"), (at + length).cast("int").alias("b"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> DataFrame:
@@ -463,10 +475,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
     strings are judged on the input. Null and empty texts have 0 bytes; a null doc_id keeps its row; repeated rows are
     texts of their own and so repeat each other. Other columns are ignored. No string crosses a document's end.
     """
-    spans = repeated_spans(docs, length, k, hot).select(F.col("doc").alias("d2"), F.col("th").alias("th2"), "spans")
-    keyed = _keyed(docs)
-    joined = keyed.join(spans, (F.col("doc") == F.col("d2")) & (F.col("th") == F.col("th2")), "left")
-    own = F.when(F.col("th") % 2 == 0, F.col("doc")).alias("doc_id")  # the same columns of the texts as above: one shuffle of them serves both
+    joined = _keyed(docs).join(_other(repeated_spans(docs, length, k, hot)), _same(), "left")
+    own = F.when(F.col("tn") % 2 == 0, F.col("doc")).alias("doc_id")  # the same columns of the texts as above: one shuffle of them serves both
     joined = joined.select(own, "text", "spans")
     kind = "long"
 
@@ -490,9 +500,7 @@ def strip_documents(docs: DataFrame, length: int = 200, k: int = K, hot: int = H
     A character of which a run took a part goes whole. Rows of whose text nothing but white space is left are dropped,
     rows without repeats are untouched, null texts among them.
     """
-    spans = repeated_spans(docs, length, k, hot).select(F.col("doc").alias("d2"), F.col("th").alias("th2"), "spans")
-    rows = docs.withColumns({"d1": F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), "th1": _text_hash(F.coalesce(F.col("text"), F.lit("")))})
-    joined = rows.join(spans, (F.col("d1") == F.col("d2")) & (F.col("th1") == F.col("th2")), "left")
+    joined = docs.withColumns(dict(zip(KEY, _key(), strict=True))).join(_other(repeated_spans(docs, length, k, hot)), _same(), "left")
 
     @F.pandas_udf("string")
     def strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
