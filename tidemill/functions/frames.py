@@ -35,7 +35,7 @@ def full(n: int, counted: Column, value: Column, w: WindowSpec | None = None) ->
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is zero."""
-    return a / F.nullif(b, F.lit(0.0))
+    return a / F.nullif(b.cast("double"), F.lit(0.0))
 
 
 def lagged(c: str, k: int, key: str = "symbol", order: str = "t") -> Column:

@@ -40,14 +40,14 @@ def on_balance_volume(bars: DataFrame) -> DataFrame:
 
 def amihud(bars: DataFrame, n: int = 20) -> DataFrame:
     """Mean absolute return for each unit of traded value, and its scaled logarithm."""
-    d = bars.withColumn("_x", F.abs(change("close", 1)) / (F.col("close") * F.col("volume") + 1e-10))
+    d = bars.withColumn("_x", ratio(F.abs(change("close", 1)), F.col("close") * F.col("volume") + 1e-10))
     d = d.withColumn("amihud", full(n, F.col("_x"), F.avg("_x"))).drop("_x")
     return d.withColumn("amihud_log", F.log1p(F.col("amihud") * 1e9))
 
 
 def range_volatility(bars: DataFrame, n: int = 20) -> DataFrame:
-    """Garman-Klass and Parkinson volatility."""
-    hl, co = F.log(F.col("high") / F.col("low")), F.log(F.col("close") / F.col("open"))
+    """Garman-Klass and Parkinson volatility; null while the window holds a bar with a price of 0."""
+    hl, co = F.log(ratio(F.col("high"), F.col("low"))), F.log(ratio(F.col("close"), F.col("open")))
     gk = F.greatest(F.lit(0.0), 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co)
     d = bars.withColumns({"_g": gk, "_p": hl * hl / (4 * math.log(2))})
     return d.withColumns({"gk_vol": F.sqrt(full(n, F.col("_g"), F.avg("_g"))), "parkinson_vol": F.sqrt(full(n, F.col("_p"), F.avg("_p")))}).drop("_g", "_p")

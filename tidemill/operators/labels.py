@@ -35,7 +35,7 @@ def triple_barrier(bars: DataFrame, atr: str, take: float = 2.0, stop: float = 1
     kind = F.when(F.col("_hit").isNull(), F.lit("time")).when(F.col("_hit.low") <= F.col("_sl"), F.lit("sl")).otherwise(F.lit("pt"))
     d = d.withColumn("tb_hit", F.when(F.size("_next") > 0, kind))
     exit_ = F.when(F.col("tb_hit") == "pt", F.col("_pt")).when(F.col("tb_hit") == "sl", F.col("_sl")).otherwise(F.col("_last.close"))
-    d = d.withColumns({"tb_ret": (exit_ - entry) / entry, "tb_t1": F.coalesce(F.col("_hit.t"), F.col("_last.t"))})
+    d = d.withColumns({"tb_ret": ratio(exit_ - entry, entry), "tb_t1": F.coalesce(F.col("_hit.t"), F.col("_last.t"))})
     r = F.col("tb_ret")
     label = F.when(F.col("tb_hit") == "pt", 2).when(F.col("tb_hit") == "sl", 0).when(r > least, 2).when(r < -least, 0).when(r.isNotNull(), 1)
     return d.withColumn("tb_label", label).drop("_pt", "_sl", "_next", "_hit", "_last")

@@ -82,7 +82,7 @@ def liquidations(bars: DataFrame, n: int = 20, z: float = 2.5, body: float = 0.0
     """Bars whose volume and body are both extreme, with the side that was hit and the price of the event."""
     v = F.col("volume")
     score = ratio(v - full(n, v, F.avg(v)), full(n, v, F.stddev_samp(v)))
-    move = (F.col("close") - F.col("open")) / F.col("open")
+    move = ratio(F.col("close") - F.col("open"), F.col("open"))
     d = bars.withColumns({"volume_z": score, "body": move}).filter((F.col("volume_z") >= z) & (F.abs("body") >= body))
     return d.select("symbol", "t", "volume_z", "body", F.when(F.col("body") < 0, "long").otherwise("short").alias("side"), F.when(F.col("body") < 0, F.col("low")).otherwise(F.col("high")).alias("price"))
 

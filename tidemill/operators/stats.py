@@ -75,9 +75,9 @@ def deflated_sharpe(rows: DataFrame, value: str, by: list[str], trials: int, ben
     """
     d = sharpe(rows, value, by)
     n, sr = F.col("n"), F.col("sharpe")
-    f = (n - 1) / n
+    f = ratio(n - 1, n)
     skew, kurt = F.col("_s") * F.pow(f, 1.5), (F.col("_k") + 3) * f * f - 3
-    d = d.withColumn("se", F.sqrt(F.greatest(F.lit(1e-12), (1 - skew * sr + kurt / 4 * sr * sr) / (n - 1))))
+    d = d.withColumn("se", F.sqrt(F.greatest(F.lit(1e-12), ratio(1 - skew * sr + kurt / 4 * sr * sr, n - 1))))
     g = 0.5772156649
     best = 0.0 if trials < 2 else (1 - g) * normal_quantile(1 - 1 / trials) + g * normal_quantile(1 - 1 / (trials * math.e))
     out = d.withColumns({"psr": normal_cdf((sr - benchmark) / F.col("se")), "dsr": normal_cdf((sr - benchmark) / F.col("se") - best)})
@@ -85,20 +85,20 @@ def deflated_sharpe(rows: DataFrame, value: str, by: list[str], trials: int, ben
 
 
 def compare_two(rows: DataFrame, value: str, arm: str, a: str, b: str) -> DataFrame:
-    """Welch's t and its degrees of freedom, Cohen's d and its name, for two arms."""
+    """Welch's t and its degrees of freedom, Cohen's d and its name, for two arms; null without variance or with one value."""
     side = lambda v: F.when(F.col(arm) == v, F.col(value))
     d = rows.agg(*[f(side(v)).alias(f"{k}_{s}") for s, v in (("a", a), ("b", b)) for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
-    va, vb = F.col("v_a") / F.col("n_a"), F.col("v_b") / F.col("n_b")
-    t = (F.col("m_a") - F.col("m_b")) / F.sqrt(va + vb)
-    df = (va + vb) * (va + vb) / (va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))
-    pooled = F.sqrt(((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b")) / (F.col("n_a") + F.col("n_b") - 2))
-    e = (F.col("m_a") - F.col("m_b")) / pooled
-    name = F.when(F.abs(e) < 0.2, "negligible").when(F.abs(e) < 0.5, "small").when(F.abs(e) < 0.8, "medium").otherwise("large")
+    va, vb = ratio(F.col("v_a"), F.col("n_a")), ratio(F.col("v_b"), F.col("n_b"))
+    t = ratio(F.col("m_a") - F.col("m_b"), F.sqrt(va + vb))
+    df = ratio((va + vb) * (va + vb), ratio(va * va, F.col("n_a") - 1) + ratio(vb * vb, F.col("n_b") - 1))
+    pooled = F.sqrt(ratio((F.col("n_a") - 1) * F.col("v_a") + (F.col("n_b") - 1) * F.col("v_b"), F.col("n_a") + F.col("n_b") - 2))
+    e = ratio(F.col("m_a") - F.col("m_b"), pooled)
+    name = F.when(F.abs(e) < 0.2, "negligible").when(F.abs(e) < 0.5, "small").when(F.abs(e) < 0.8, "medium").when(e.isNotNull(), "large")
     return d.select("n_a", "n_b", t.alias("t"), df.alias("df"), e.alias("d"), name.alias("effect"))
 
 
 def mann_whitney(rows: DataFrame, value: str, arm: str, a: str, b: str) -> DataFrame:
-    """U of the first arm, its normal score with tie correction, and the two-sided p."""
+    """U of the first arm, its normal score with tie correction, and the two-sided p; null if an arm is empty or all values tie."""
     d = rows.filter(F.col(arm).isin(a, b)).withColumns({"_one": F.lit(1), "_a": (F.col(arm) == a).cast("int")})
     # Ties are reduced to one row a value before the ranks are summed, so the ordered pass is over values, not rows.
     v = d.groupBy(value).agg(F.count(F.lit(1)).alias("c"), F.sum("_a").alias("ca"))
@@ -107,7 +107,7 @@ def mann_whitney(rows: DataFrame, value: str, arm: str, a: str, b: str) -> DataF
     na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
     n = na + nb
     u = F.col("ra") - na * (na + 1) / 2
-    z = (u - na * nb / 2) / F.sqrt(na * nb / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = ratio(u - na * nb / 2, F.sqrt(na * nb / 12 * (n + 1 - ratio(F.col("ties"), n * (n - 1)))))
     return s.select(na.alias("n_a"), nb.alias("n_b"), u.alias("u"), z.alias("z"), (2 * normal_cdf(-F.abs(z))).alias("p"))
 
 

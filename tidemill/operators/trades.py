@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.frames import ratio
 
+
 def won() -> Column:
     return F.col("pnl") > 0
 
@@ -16,13 +17,18 @@ def lost() -> Column:
     return F.col("pnl") < 0
 
 
+def money(c: str) -> Column:
+    """Sum at six digits as decimals, so the order of the rows never shows in the last digit."""
+    return F.sum(F.col(c).cast("decimal(18,6)")).cast("double")
+
+
 def mode_name() -> Column:
     return F.coalesce(F.nullif("mode", F.lit("")), F.lit("unknown"))
 
 
 def _figures() -> list[Column]:
-    n = F.count(F.lit(1))
-    return [n.alias("n"), F.sum("pnl").alias("total"), F.avg("pnl").alias("avg_pnl"), F.count_if(won()).alias("wins"), F.count_if(lost()).alias("losses"), (F.count_if(won()) / n).alias("win_rate")]
+    n, total = F.count(F.lit(1)), money("pnl")
+    return [n.alias("n"), total.alias("total"), ratio(total, F.count("pnl")).alias("avg_pnl"), F.count_if(won()).alias("wins"), F.count_if(lost()).alias("losses"), (F.count_if(won()) / n).alias("win_rate")]
 
 
 def trade_counts(trades: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def _r(cols: str, digits: int = 6) -> str:
 
 BARS, TRADES, SIGNALS, RECORDS, FLOW = (S.with_sql(n) for n in ("bars", "trades", "signals", "records", "flow"))
 W = "PARTITION BY symbol ORDER BY t"
-FIG = "count(*) AS n, sum(pnl) AS total, avg(pnl) AS avg_pnl, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, count(*) FILTER (pnl > 0) / count(*)::DOUBLE AS win_rate"
+FIG = "count(*) AS n, CAST(sum(CAST(pnl AS DECIMAL(18, 6))) AS DOUBLE) AS total, CAST(sum(CAST(pnl AS DECIMAL(18, 6))) AS DOUBLE) / count(pnl) AS avg_pnl, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, count(*) FILTER (pnl > 0) / count(*)::DOUBLE AS win_rate"
 FIGS = "total avg_pnl win_rate"
 
 
@@ -139,20 +139,20 @@ def on_balance_volume(spark: SparkSession, d: str) -> DataFrame:
     return out(I.on_balance_volume(S.hourly_bars(spark, d)), "symbol t obv")
 
 
-@query(f"""{BARS}, x AS (SELECT symbol, t, abs(close / lag(close) OVER ({W}) - 1) / (close * volume + 1e-10) AS a FROM bars),
+@query(f"""{BARS}, x AS (SELECT symbol, t, abs(close / nullif(lag(close) OVER ({W}), 0) - 1) / (close * volume + 1e-10) AS a FROM bars),
 y AS (SELECT symbol, t, {_full(20, 'a', 'avg(a)')} AS amihud FROM x)
 SELECT symbol, t, {_r('amihud')}, round(ln(1 + amihud * 1e9), 6) AS amihud_log FROM y""")
 def amihud(spark: SparkSession, d: str) -> DataFrame:
     return out(I.amihud(S.hourly_bars(spark, d)), "symbol t", "amihud amihud_log")
 
 
-@query(f"""{BARS}, x AS (SELECT symbol, t, greatest(0, 0.5 * ln(high / low) ** 2 - {2 * math.log(2) - 1!r} * ln(close / open) ** 2) AS g, ln(high / low) ** 2 / {4 * math.log(2)!r} AS p FROM bars)
+@query(f"""{BARS}, x AS (SELECT symbol, t, greatest(0, 0.5 * ln(nullif(high / nullif(low, 0), 0)) ** 2 - {2 * math.log(2) - 1!r} * ln(nullif(close / nullif(open, 0), 0)) ** 2) AS g, ln(nullif(high / nullif(low, 0), 0)) ** 2 / {4 * math.log(2)!r} AS p FROM bars)
 SELECT symbol, t, round(sqrt({_full(20, 'g', 'avg(g)')}), 6) AS gk_vol, round(sqrt({_full(20, 'p', 'avg(p)')}), 6) AS parkinson_vol FROM x""")
 def range_volatility(spark: SparkSession, d: str) -> DataFrame:
     return out(I.range_volatility(S.hourly_bars(spark, d)), "symbol t", "gk_vol parkinson_vol")
 
 
-@query(f"""{BARS}, x AS (SELECT symbol, t, close / lag(close) OVER ({W}) - 1 AS returns_1, close / lag(close, 5) OVER ({W}) - 1 AS returns_5, close / lag(close, 20) OVER ({W}) - 1 AS returns_20 FROM bars)
+@query(f"""{BARS}, x AS (SELECT symbol, t, close / nullif(lag(close) OVER ({W}), 0) - 1 AS returns_1, close / lag(close, 5) OVER ({W}) - 1 AS returns_5, close / lag(close, 20) OVER ({W}) - 1 AS returns_20 FROM bars)
 SELECT symbol, t, {_r('returns_1 returns_5 returns_20')}, round({_full(20, 'returns_1', 'stddev_samp(returns_1)')}, 6) AS volatility FROM x""")
 def returns_volatility(spark: SparkSession, d: str) -> DataFrame:
     return out(I.returns(S.hourly_bars(spark, d)), "symbol t", "returns_1 returns_5 returns_20 volatility")
@@ -203,7 +203,7 @@ def win_loss_streaks(spark: SparkSession, d: str) -> DataFrame:
 N100 = _rows(100)
 
 
-@query(f"""{BARS}, x AS (SELECT symbol, t, volume, close / lag(close) OVER ({W}) - 1 AS r FROM bars),
+@query(f"""{BARS}, x AS (SELECT symbol, t, volume, close / nullif(lag(close) OVER ({W}), 0) - 1 AS r FROM bars),
 y AS (SELECT symbol, t, count(r) OVER {N100} >= 20 AS ready, [CASE WHEN abs(r) > avg(r) OVER {N100} + 3 * stddev_pop(r) OVER {N100} THEN 'price_spike' END,
   CASE WHEN volume > avg(volume) OVER {N100} + 3 * stddev_pop(volume) OVER {N100} THEN 'volume_spike' END, CASE WHEN volume / avg(volume) OVER {N100} > 2.5 THEN 'volume_high' END,
   CASE WHEN volume / avg(volume) OVER {N100} < 0.3 THEN 'volume_low' END] AS a FROM x),
@@ -212,7 +212,7 @@ def anomaly_alerts(spark: SparkSession, d: str) -> DataFrame:
     return I.anomalies(S.hourly_bars(spark, d))
 
 
-@query(f"""{BARS}, x AS (SELECT symbol, t, close, volume, close / lag(close) OVER ({W}) - 1 AS r, CAST(row_number() OVER ({W}) AS DOUBLE) AS n FROM bars),
+@query(f"""{BARS}, x AS (SELECT symbol, t, close, volume, close / nullif(lag(close) OVER ({W}), 0) - 1 AS r, CAST(row_number() OVER ({W}) AS DOUBLE) AS n FROM bars),
 y AS (SELECT *, stddev_pop(r) OVER {_rows(20)} AS s, CASE WHEN count(r) OVER {N100} < 100 THEN stddev_pop(r) OVER {_rows(20)} ELSE stddev_pop(r) OVER {N100} END AS l,
   corr(n, close) OVER {_rows(50)} AS c, avg(volume) OVER {_rows(5)} / avg(volume) OVER {_rows(50)} AS v FROM x)
 SELECT symbol, t, CASE WHEN n < 50 THEN 'normal' WHEN s > 2 * l THEN 'extreme_volatility' WHEN c > 0.7 THEN 'trending_up' WHEN c < -0.7 THEN 'trending_down'
@@ -504,7 +504,7 @@ def orderbook_imbalance(spark: SparkSession, d: str) -> DataFrame:
     return out(SG.imbalance_score(S.flow(spark, d)), "symbol t", "imbalance score confidence")
 
 
-@query(f"""{BARS}, x AS (SELECT symbol, t, close / lag(close) OVER ({W}) - 1 AS r FROM bars),
+@query(f"""{BARS}, x AS (SELECT symbol, t, close / nullif(lag(close) OVER ({W}), 0) - 1 AS r FROM bars),
 y AS (SELECT symbol, t, {_full(3, 'r', 'avg(abs(r))')} / nullif({_full(20, 'r', 'avg(abs(r))')}, 0) AS vol_ratio, {_full(3, 'r', 'avg(r)')} AS a, {_full(20, 'r', 'avg(r)')} AS b FROM x)
 SELECT symbol, t, {_r('vol_ratio')}, round(greatest(0.3, least(1, 1 / greatest(1, vol_ratio))), 6) AS scale,
   round(least(1, CASE WHEN vol_ratio > 2 THEN 0.4 WHEN vol_ratio > 1.5 THEN 0.2 ELSE 0 END + CASE WHEN a * b < 0 AND abs(a) > abs(b) THEN 0.3 ELSE 0 END + 0.15 * greatest(0, vol_ratio - 1)), 6) AS risk FROM y WHERE vol_ratio IS NOT NULL""")
@@ -525,7 +525,7 @@ def order_flow_z(spark: SparkSession, d: str) -> DataFrame:
     return out(SG.order_flow_z(S.hourly_bars(spark, d)), "symbol t", "ofi_z")
 
 
-@query(f"""{BARS}, x AS (SELECT *, (volume - {_full(20, 'volume', 'avg(volume)')}) / nullif({_full(20, 'volume', 'stddev_samp(volume)')}, 0) AS volume_z, (close - open) / open AS body FROM bars)
+@query(f"""{BARS}, x AS (SELECT *, (volume - {_full(20, 'volume', 'avg(volume)')}) / nullif({_full(20, 'volume', 'stddev_samp(volume)')}, 0) AS volume_z, (close - open) / nullif(open, 0) AS body FROM bars)
 SELECT symbol, t, {_r('volume_z body')}, CASE WHEN body < 0 THEN 'long' ELSE 'short' END AS side, CASE WHEN body < 0 THEN low ELSE high END AS price FROM x WHERE volume_z >= 2.0 AND abs(body) >= 0.01""")
 def liquidation_events(spark: SparkSession, d: str) -> DataFrame:
     return out(SG.liquidations(S.hourly_bars(spark, d), z=2.0), "symbol t side price", "volume_z body")

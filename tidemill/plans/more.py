@@ -114,7 +114,7 @@ def tier_changes(spark: SparkSession, d: str) -> DataFrame:
 R100 = _rows(100)
 
 
-@query(f"""{BARS}, x AS (SELECT symbol, t, close / lag(close) OVER ({W}) - 1 AS r FROM bars)
+@query(f"""{BARS}, x AS (SELECT symbol, t, close / nullif(lag(close) OVER ({W}), 0) - 1 AS r FROM bars)
 SELECT symbol, t, round(CASE WHEN count(r) OVER {R100} < 20 THEN r ELSE avg(r) OVER {R100} / (stddev_pop(r) OVER {R100} + 1e-8) END, 6) AS sharpe_reward,
   round(CASE WHEN count(r) OVER {R100} < 20 THEN r ELSE avg(r) OVER {R100} / (coalesce(stddev_pop(r) FILTER (r < 0) OVER {R100}, 0) + 1e-8) END, 6) AS sortino_reward FROM x""")
 def rewards(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import ratio
 from ..operators.bars import to_bars
 
 
@@ -51,12 +52,12 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals with the return that followed: id, source, regime, signal, ret (null on the last of a type)."""
+    """Signals with the return that followed: id, source, regime, signal, ret (null on the last of a type and where the value is 0)."""
     from pyspark.sql.window import Window
 
     e = load(spark, sf_dir, "events")
     w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("source"), F.col("event_type").alias("regime"), (F.col("value") / 250 - 1).alias("signal"), (F.lead("value").over(w) / F.col("value") - 1).alias("ret"))
+    return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("source"), F.col("event_type").alias("regime"), (F.col("value") / 250 - 1).alias("signal"), (ratio(F.lead("value").over(w), F.col("value")) - 1).alias("ret"))
 
 
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ SQL = {
     "signals": """signals AS (SELECT event_id AS id, epoch_us(ts) // 3600000000 AS t, event_type AS symbol, value / 250 - 1 AS signal,
       (user_id % 100) / 100.0::DOUBLE AS confidence, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS action FROM events)""",
     "records": """records AS (SELECT event_id AS id, user_id % 4 AS source, event_type AS regime, value / 250 - 1 AS signal,
-      lead(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) / value - 1 AS ret FROM events)""",
+      lead(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) / nullif(value, 0) - 1 AS ret FROM events)""",
     "flow": """flow AS (SELECT event_type AS symbol, epoch_us(ts) // 3600000000 AS t, sum(CASE WHEN user_id % 2 = 0 THEN value ELSE 0 END) AS buy,
       sum(CASE WHEN user_id % 2 = 0 THEN 0 ELSE value END) AS sell FROM events GROUP BY 1, 2)""",
 }
