@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_texts
+from .common import byte_texts, slices
 
 #: Bytes of a block; a chunk is two neighbouring blocks, so chunks overlap by half.
 BLOCK = 256
@@ -180,12 +180,11 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     Null texts are empty; an empty text gets the score of an empty document. Other columns are ignored and repeated
     rows stay. Only the text enters a score.
     """
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = score_texts(list(byte_texts(batch, "text")), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,24 +14,28 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch, so that a batch of long texts stays small in a Python worker.
-ARROW_ROWS = 500
+#: Rows and bytes that a Python worker handles at once. Spark bounds the batches it sends by rows and bytes too.
+SLICE_ROWS, SLICE_BYTES = 500, 8 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size for this session; texts can be long, so rows are a poor unit of memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of bounded rows and, but for single rows, about bounded bytes; no setting of the session changes."""
+    for batch in batches:
+        rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only if the session names none."""
+    """The folder that driver and executors share. Only a local session that names none gets a fresh one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(named)
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -47,6 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder. Unlike a checkpoint it starts a plan anew: sizes are those of the files, and no
+    constraints of earlier steps are carried along, whose number would grow with every step of a loop."""
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once per row, however often the body names it."""
     return F.transform(F.array(value), body)[0]

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_texts
+from .common import byte_texts, slices
 from .suffix_dedup import PrefixHash, _mix, _powers
 
 #: Tokens of the shortest tile, which is also the seed, and the share of a test's tokens that tiles must cover.
@@ -206,7 +206,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = SEED_TOKENS,
     do tests shorter than ``least`` tokens. Null ids are kept, repeated documents give repeated rows, other columns are
     ignored. An empty benchmark gives no rows.
     """
-    bounded_batches(docs.sparkSession)
     kinds = [d.select(c).schema[0].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id"))]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, item_tokens long, covered long, coverage double, n_tiles long"
     rows = docs.select("doc_id", "text")
@@ -218,7 +217,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = SEED_TOKENS,
             b = shared.value
             names = ["doc_id", "item_id", "item_tokens", "covered", "coverage", "n_tiles"]
             kind = pa.array(b.ids).type if any(i is not None for i in b.ids) else pa.int64()
-            for batch in batches:
+            for batch in slices(batches):
                 who, got = [], []
                 for first, texts in _packs(batch, "text"):
                     for i, j, total, n in match_texts(texts, b, least, coverage):
@@ -235,7 +234,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = SEED_TOKENS,
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = SEED_TOKENS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs whose text no test leaks into, with their own columns; no row is moved or compared by id."""
-    bounded_batches(docs.sparkSession)
     for block in blocks(benchmark, least, block_bytes):
         docs = docs.filter(~_leak_test(docs.sparkSession.sparkContext.broadcast(block), least, coverage)(F.col("text")))
     return docs

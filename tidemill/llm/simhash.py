@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_texts, cut
+from .common import byte_texts, cut, slices
 from .components import components
 
 SEED = 42
@@ -72,12 +72,11 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> tuple[np.ndarr
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
     """doc_id, n (shingles) and the signed 64-bit words w0, w1, ... of every row's whole text (null: empty)."""
-    bounded_batches(docs.sparkSession)
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     names = ["doc_id", "n", *[f"w{k}" for k in range(words)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [fingerprint(t, shingle, words) for t in byte_texts(batch, "text")]
             fp = np.array([g[0] for g in got], np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[1] for g in got], pa.int64()), *[pa.array(fp[:, k]) for k in range(words)]], names=names)
@@ -266,12 +265,11 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
 
 def _shingle_nodes(known: DataFrame, shingle: int, words: int) -> DataFrame:
     """Of every row doc_id, t0, t1 (128 bits of its text), s0, s1 (128 bits of its shingle set), n and w0, w1, ..."""
-    bounded_batches(known.sparkSession)
     kind = known.select("doc_id").schema[0].dataType.simpleString()
     names = ["doc_id", "t0", "t1", "s0", "s1", "n", *[f"w{k}" for k in range(words)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in byte_texts(batch, "text"):
                 h = shingle_hashes(text, shingle)
@@ -320,7 +318,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words
         texts = texts.select("id", "text").dropDuplicates(["id"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 for r, t in enumerate(byte_texts(batch, "text")):
                     h = pa.array(shingle_hashes(t, shingle).view(np.int64))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), h)], names=["id", "shingles"])

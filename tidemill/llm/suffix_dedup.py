@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest as digest
 
-from .common import bounded_batches, byte_texts, cut, fresh_path
+from .common import byte_texts, cut, fresh_path, slices
 
 K = 64
 #: Window starts hashed at once; a longer text is hashed in overlapping pieces.
@@ -360,7 +360,7 @@ def _kinds(keyed: DataFrame, length: int, k: int) -> DataFrame:
     """h, c, n: contexts counted by anchor hash and digest, each Arrow batch adding a kind once with its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [np.column_stack(x[1:3]) for x in context_digests(list(byte_texts(batch, "text")), length, k)]
             if got:
                 kinds = np.ascontiguousarray(np.concatenate(got)).view([("h", np.int64), ("c", np.int64)]).ravel()
@@ -383,12 +383,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
        kind that occurs twice; their bytes are all the text that is shuffled by anchor.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     keyed = _keyed(docs)
     kinds = cut(_kinds(keyed, length, k))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             doc, th, tn = (batch.column(c).to_numpy() for c in KEY)
             for owner, h, c, place, lo, hi in context_digests(list(byte_texts(batch, "text")), length, k):
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(doc[owner]), pa.array(th[owner]), pa.array(tn[owner]), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], names=["h", "c", *KEY, "at", "lo", "hi"])
@@ -406,7 +405,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("tn", pa.int64()), ("at", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("hot", pa.bool_()), ("ctx", pa.binary())])
-        for batch in batches:
+        for batch in slices(batches):
             for r, text in enumerate(byte_texts(batch, "text")):
                 own = batch.column("anchors").slice(r, 1).flatten()
                 h, at, lo, hi, heat = own.flatten()
@@ -481,7 +480,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
     kind = "long"
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             left, rows = [], []
             for r, text in enumerate(byte_texts(batch, "text")):
                 own = batch.column("spans").slice(r, 1).flatten()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches
+from .common import slices
 
 #: Pre-token pattern of byte-level BPE as published with the public vocabulary (fixed value).
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -51,7 +51,6 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 1024
     contain an added or special token's string go to the library whole, so they are treated as its default does.
     All input rows and columns stay; an input column with the name of an output is replaced.
     """
-    bounded_batches(df.sparkSession)
     frequent = df.sparkSession.sparkContext.broadcast(frequent_lengths(df, path, text) if table is None else table)
     keep = [c for c in df.columns if c.lower() not in {o.lower() for o in out}]
     names = [f.name for f in df.select(*[F.col(f"`{c}`") for c in keep]).schema]
@@ -85,7 +84,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", limit: int = 1024
                 cache.update((k, v) for k, v in lengths.items() if len(k) <= CACHED_CHARS)
             return total
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = [v.as_py() or "" for v in batch.column("the_text")]
             n = [one(t) for t in texts]
             cols = [batch.column(i) for i in range(len(keep))]
