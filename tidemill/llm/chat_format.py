@@ -20,43 +20,41 @@ def rotate_perspectives(turns: DataFrame) -> DataFrame:
 
     Null speakers are the participant ``unknown``; null texts are empty; a null conv_id is a dialogue of its own.
     Turns with equal numbers, repeated rows included, follow in the order of speaker and text; a null number comes
-    first. A dialogue with one participant has one perspective. Empty tables give empty results.
+    first. A dialogue with one participant has one perspective. Empty tables give empty results. Texts are rendered as
+    they are: role and mask come from the row, so a marker inside a text changes no mask.
+
+    A turn is longer by a constant of its speaker as ``user`` than as ``assistant``. So its place from a perspective is the
+    sum of all turns before it as ``user``, less that constant for each earlier turn of the perspective. Sums and counts of
+    blocks of turns are made from lengths alone, and the text is shuffled once, by dialogue and block.
     """
+    body, speaker = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit("unknown"))
+    user, own_head = F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n")), F.lit("<|assistant|>\n")
     base = turns.select(
-        F.col("conv_id"),
-        F.col("turn"),
-        F.coalesce(F.col("role"), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col("text"), F.lit("")).alias("body"),
-        F.xxhash64(F.col("conv_id").isNull(), F.coalesce(F.col("conv_id"), F.lit(0))).alias("ck"),
-    )
-    speakers = base.select("ck", F.col("conv_id").alias("ci"), F.col("speaker").alias("perspective")).distinct()
+        F.when(F.col("conv_id").isNull(), F.lit("n")).otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string"))).alias("ck"),
+        F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(1 << 62))).alias("bk"),
+        "conv_id", "turn", speaker.alias("speaker"), body.alias("body"),
+    ).withColumn("size", (F.length(user) + F.length("body") + 1).cast("long"))
+    # Of each block and speaker: turns, and their length as users.
+    spoken = base.groupBy("ck", "bk", "speaker").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    blocks = spoken.groupBy("ck", "bk").agg(F.sum("s").alias("s"))
+    speakers = spoken.select(F.col("ck").alias("pk"), F.col("speaker").alias("perspective")).distinct()
+    mine = spoken.select(F.col("ck").alias("mk"), F.col("bk").alias("mb"), F.col("speaker").alias("m"), F.col("c").alias("mc"))
+    offsets = blocks.join(speakers, F.col("ck") == F.col("pk")).join(mine, (F.col("ck") == F.col("mk")) & (F.col("bk") == F.col("mb")) & (F.col("perspective") == F.col("m")), "left")
+    before = Window.partitionBy("ck", "perspective").orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.select(
+        F.col("ck").alias("ok"), F.col("bk").alias("ob"), "perspective",
+        F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum(F.coalesce("mc", F.lit(0))).over(before), F.lit(0)).alias("c0"),
+    )
+    order = Window.partitionBy("ck", "bk").orderBy(F.col("turn").asc_nulls_first(), "speaker", "body").rowsBetween(Window.unboundedPreceding, 0)
+    rows = base.withColumns({"upto": F.sum("size").over(order), "seq": F.row_number().over(order)})
+    rows = rows.join(offsets, (F.col("ck") == F.col("ok")) & (F.col("bk") == F.col("ob")))
     own = F.col("speaker") == F.col("perspective")
-    rows = base.join(speakers, (base["ck"] == speakers["ck"]) & base["conv_id"].eqNullSafe(speakers["ci"])).select(
-        base["conv_id"],
-        "perspective",
-        "turn",
-        "speaker",
-        F.when(own, F.lit("assistant")).otherwise(F.lit("user")).alias("role"),
-        F.when(~own, F.col("speaker")).alias("name"),
-        own.alias("train"),
-        F.concat(F.lit("<|"), F.when(own, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), F.col("speaker"))), F.lit("|>\n"), F.col("body"), F.lit("\n")).alias("segment"),
-        F.floor(F.col("turn") / BLOCK).alias("block"),
-    )
-    rows = rows.withColumn("size", F.length("segment").cast("long"))
-    # A sum for each block, a running sum over the blocks, then one inside each block.
-    blocks = rows.groupBy("conv_id", "perspective", "block").agg(F.sum("size").alias("block_size"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("offset", F.coalesce(F.sum("block_size").over(before), F.lit(0))).select(
-        F.col("conv_id").alias("b_conv"), F.col("perspective").alias("b_perspective"), F.col("block").alias("b_block"), "offset"
-    )
-    inside = Window.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "segment").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(inside))
-    joined = rows.join(
-        blocks,
-        F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("perspective") == F.col("b_perspective")) & F.col("block").eqNullSafe(F.col("b_block")),
-    )
-    end = F.col("offset") + F.col("upto")
-    return joined.select("conv_id", "perspective", "turn", "role", "name", "segment", "train", (end - F.col("size")).alias("char_start"), end.alias("char_end"))
+    turns_so_far = F.count_if(own).over(Window.partitionBy("ck", "bk", "perspective").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    saved = (F.length(F.lit("user name=")) - F.length(F.lit("assistant")) + F.length("perspective")).cast("long")
+    end = F.col("s0") + F.col("upto") - saved * (F.col("c0") + turns_so_far)
+    segment = F.concat(F.when(own, own_head).otherwise(user), F.col("body"), F.lit("\n"))
+    out = rows.select("conv_id", "perspective", "turn", F.when(own, F.lit("assistant")).otherwise(F.lit("user")).alias("role"), F.when(~own, F.col("speaker")).alias("name"), segment.alias("segment"), own.alias("train"), end.alias("char_end"))
+    return out.select("conv_id", "perspective", "turn", "role", "name", "segment", "train", (F.col("char_end") - F.length("segment")).alias("char_start"), "char_end")
 
 
 ORACLE_SQL = f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,21 +29,27 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def _spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one folded buffer, the starts and ends of their tokens in it, and where each text's tokens end."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    edge = np.diff(np.concatenate([[0], _WORD[buf].view(np.int8), [0]]))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return _FOLD[buf], start, end, np.searchsorted(start, np.cumsum(sizes))
+
+
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each token of all texts, and where each text's tokens end.
 
     Tokens are maximal runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased, so neither case nor
     punctuation nor white space hides a passage.
     """
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    word = _WORD[buf].view(np.int8)
-    edge = np.diff(np.concatenate([[0], word, [0]]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    h = PrefixHash(_FOLD[buf]).of(start, end - start)
-    return _mix(h), np.searchsorted(start, np.cumsum(sizes))
+    buf, start, end, ends = _spans(texts)
+    return _hashes(buf, start, end), ends
+
+
+def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _mix(PrefixHash(buf).of(start, end - start)) if len(start) else np.zeros(0, np.uint64)
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -60,61 +65,93 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
 def tile(doc: np.ndarray, test: np.ndarray, least: int = SEED_TOKENS) -> list[tuple[int, int, int]]:
     """Greedy string tiles (place in doc, place in test, length), each token of either side in at most one tile.
 
-    Running Karp-Rabin: unmarked runs of the search length are matched by rolling hashes and extended token by token.
-    The longest matches are marked, in the order of their places, and the search is repeated; when nothing of the
-    search length is left it falls, down to the least tile.
+    Running Karp-Rabin: rolling hashes of unmarked runs tell whether the two sides share a run of the search length; that
+    length is bisected to the longest shared one. Its matches are marked in the order of their places, token by
+    token verified, and the search goes on below that length, down to the least tile. A round takes time in proportion to
+    both lengths, however often their runs repeat, and no pair of places is listed.
     """
     used_d, used_t = np.zeros(len(doc), bool), np.zeros(len(test), bool)
     tiles: list[tuple[int, int, int]] = []
-    size = max(least, min(len(doc), len(test)) // 2)
-    while True:
-        found = _matches(doc, test, used_d, used_t, size)
-        longest = max((n for _, _, n in found), default=0)
-        if longest > 2 * size:
-            size = longest
-            continue
-        for p, q, n in sorted(m for m in found if m[2] == longest):
-            if not used_d[p : p + n].any() and not used_t[q : q + n].any():
-                used_d[p : p + n] = used_t[q : q + n] = True
-                tiles.append((p, q, n))
-        if not found:
-            if size == least:
-                return tiles
-            size = max(least, size // 2)
-
-
-def _matches(doc: np.ndarray, test: np.ndarray, used_d: np.ndarray, used_t: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal matches of at least ``size`` unmarked tokens, one for each start that does not continue another."""
-    free = lambda used: np.convolve(used, np.ones(size, np.int64), "valid") == 0
+    most = min(len(doc), len(test))
+    while most >= least:
+        low, high, best = least, most, None
+        while low <= high:
+            size = (low + high + 1) // 2 if best is not None or high < 2 * least else min(high, 2 * low)
+            found = _shared(doc, test, used_d, used_t, size)
+            if found is None:
+                high = size - 1
+            else:
+                best, low = (size, *found), size + 1
+        if best is None:
+            break
+        most = best[0] - 1
+        tiles += _mark(doc, test, used_d, used_t, *best)
+    return tiles
+
+
+def _free(used: np.ndarray, size: int) -> np.ndarray:
+    """Whether the run of ``size`` tokens at each place is unmarked."""
+    marks = np.concatenate([[0], np.cumsum(used)])
+    return marks[size:] == marks[:-size]
+
+
+def _shared(doc: np.ndarray, test: np.ndarray, used_d: np.ndarray, used_t: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Places in doc and test of unmarked runs whose hashes occur on both sides, and the hashes; None if there are none."""
     hd, ht = windows(doc, size), windows(test, size)
-    if not len(hd) or not len(ht):
-        return []
-    at = defaultdict(list)
-    for q in np.flatnonzero(free(used_t)).tolist():
-        at[int(ht[q])].append(q)
-    if not at:
-        return []
-    out = []
-    for p in np.flatnonzero(free(used_d) & np.isin(hd, np.array(list(at), np.uint64))).tolist():
-        for q in at[int(hd[p])]:
-            if p and q and not used_d[p - 1] and not used_t[q - 1] and doc[p - 1] == test[q - 1]:
-                continue
-            most = min(len(doc) - p, len(test) - q)
-            stop = np.flatnonzero((doc[p : p + most] != test[q : q + most]) | used_d[p : p + most] | used_t[q : q + most])
-            n = int(stop[0]) if len(stop) else most
-            if n >= size:
-                out.append((p, q, n))
-    return out
+    p, q = np.flatnonzero(_free(used_d, size)), np.flatnonzero(_free(used_t, size))
+    p = p[np.isin(hd[p], ht[q])]
+    if not len(p):
+        return None
+    q = q[np.isin(ht[q], hd[p])]
+    return p, q, hd[p], ht[q]
+
+
+def _mark(doc: np.ndarray, test: np.ndarray, used_d: np.ndarray, used_t: np.ndarray, size: int, p: np.ndarray, q: np.ndarray, hp: np.ndarray, hq: np.ndarray) -> list[tuple[int, int, int]]:
+    """Tiles of the longest length: for each place in doc the first place in test with the same run, both unmarked.
+
+    A place of test that a mark covers stays covered, so each hash's list of places is walked once.
+    """
+    order = np.argsort(hq, kind="stable")
+    values, first = np.unique(hq[order], return_index=True)
+    last = np.append(first[1:], len(order))
+    group, q = np.searchsorted(values, hp), q[order]
+    at, live, end, tiles = first.copy(), len(values), -1, []
+    for place, g in zip(p.tolist(), group.tolist(), strict=True):
+        if place < end or at[g] == last[g]:
+            continue
+        k = at[g]
+        while k < last[g] and used_t[q[k] : q[k] + size].any():
+            k += 1
+        at[g] = k
+        while k < last[g]:  # beyond the first open place only after a hash collision
+            t = int(q[k])
+            if not used_t[t : t + size].any() and np.array_equal(doc[place : place + size], test[t : t + size]):
+                used_d[place : place + size] = used_t[t : t + size] = True
+                tiles.append((place, t, size))
+                end = place + size
+                break
+            k += 1
+        live -= at[g] == last[g]
+        if not live:
+            break
+    return tiles
 
 
 @dataclass
 class Block:
-    """Tests of one pass: ids, token hashes, and their seeds sorted by hash."""
+    """Tests of one pass: ids, texts, numbers of tokens, and their seeds.
+
+    ``seeds`` are the different hashes, sorted; those of number i are in the tests ``owner[first[i] : first[i + 1]]``, and the places of
+    entry j in its test are ``place[begin[j] : begin[j + 1]]``.
+    """
 
     ids: list
-    tests: list[np.ndarray]
+    texts: list[bytes]
+    sizes: np.ndarray
     seeds: np.ndarray
+    first: np.ndarray
     owner: np.ndarray
+    begin: np.ndarray
     place: np.ndarray
     sieve: np.ndarray
 
@@ -127,46 +164,76 @@ def make_block(ids: list, texts: list[bytes], least: int = SEED_TOKENS) -> Block
     owner = np.repeat(np.arange(len(tests)), [len(s) for s in seeds])
     place = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.zeros(0, np.int64)
     flat = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
+    order = np.lexsort((owner, flat))
+    flat, owner, place = flat[order], owner[order], place[order]
+    change = np.ones(len(flat), bool)
+    change[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(change)
+    different, first = np.unique(flat[begin], return_index=True)
     sieve = np.zeros(1 << 22, bool)
-    sieve[(flat >> np.uint64(42)).astype(np.int64)] = True
-    return Block(ids, tests, flat[order], owner[order], place[order], sieve)
+    sieve[(different >> np.uint64(42)).astype(np.int64)] = True
+    return Block(ids, texts, np.diff(np.concatenate([[0], ends])), different, np.append(first, len(begin)), owner[begin], np.append(begin, len(flat)), place, sieve)
+
+
+def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in [first, last) of all ranges, and the range that each belongs to."""
+    n = last - first
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n), np.repeat(np.arange(len(n)), n)
 
 
 def match_texts(texts: list[bytes], block: Block, least: int, coverage: float) -> Iterator[tuple[int, int, int, int]]:
-    """(text number, test number, tokens covered, tiles) of the pairs whose tiles cover enough of the test."""
-    h, ends = tokens(texts)
-    w = windows(h, least)
+    """(text number, test number, tokens covered, tiles) of the pairs whose tiles cover enough of the test.
+
+    A seed counts once for a text and a test, however often it is repeated in them, until a pair is worth tiling. Tiles are made
+    over the tokens themselves, numbered by the test's own, so equal hashes of unlike tokens add nothing.
+    """
+    buf, start, end, ends = _spans(texts)
+    w = windows(_hashes(buf, start, end), least)
     hit = np.flatnonzero(block.sieve[(w >> np.uint64(42)).astype(np.int64)])
-    low, high = np.searchsorted(block.seeds, w[hit], "left"), np.searchsorted(block.seeds, w[hit], "right")
-    real = high > low
-    hit, low, high = hit[real], low[real], high[real]
+    number = np.searchsorted(block.seeds, w[hit])
+    real = number < len(block.seeds)
+    real[real] = block.seeds[number[real]] == w[hit][real]
+    hit, number = hit[real], number[real]
     owner = np.searchsorted(ends, hit, "right")
     inside = hit + least <= ends[owner]
-    hit, low, high, owner = hit[inside], low[inside], high[inside], owner[inside]
-    n = high - low
-    entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    text, test, at, place = np.repeat(owner, n), block.owner[entry], np.repeat(hit, n), block.place[entry]
-    order = np.lexsort((at, test, text))
-    text, test, at, place = text[order], test[order], at[order], place[order]
-    cuts = np.concatenate([[0], np.flatnonzero((text[1:] != text[:-1]) | (test[1:] != test[:-1])) + 1, [len(text)]]) if len(text) else np.zeros(1, np.int64)
+    hit, number, owner = hit[inside], number[inside], owner[inside]
+    if not len(hit):
+        return
+    text, seed = np.unique(np.column_stack([owner, number]), axis=0).T
+    entry, of = _expand(block.first[seed], block.first[seed + 1])
+    text, test = text[of], block.owner[entry]
+    order = np.lexsort((test, text))
+    text, test, entry = text[order], test[order], entry[order]
+    cuts = np.append(np.concatenate([[0], np.flatnonzero((text[1:] != text[:-1]) | (test[1:] != test[:-1])) + 1]), len(text))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        want = block.tests[test[a]]
-        seen = np.zeros(len(want) + 1, np.int64)
-        p = np.unique(place[a:b])
+        i, j = int(text[a]), int(test[a])
+        size = int(block.sizes[j])
+        if (block.begin[entry[a:b] + 1] - block.begin[entry[a:b]]).sum() * least < coverage * size:
+            continue
+        p = block.place[_expand(block.begin[entry[a:b]], block.begin[entry[a:b] + 1])[0]]
+        seen = np.zeros(size + 1, np.int64)
         np.add.at(seen, p, 1)
         np.add.at(seen, p + least, -1)
-        if (np.cumsum(seen)[:-1] > 0).sum() < coverage * len(want):
+        if (np.cumsum(seen)[:-1] > 0).sum() < coverage * size:
             continue  # every tile is made of seeds, so tiles cannot cover more than the seeds do
-        # Tiles lie where seeds do: each stretch of seeds is kept, and a sentinel token keeps stretches apart.
-        spots = np.unique(at[a:b])
-        parts, gap = [], np.array([0x5EED], np.uint64)
+        known: dict[bytes, int] = {}
+        tb, ts, te, _ = _spans([block.texts[j]])
+        data = tb.tobytes()
+        want = np.array([known.setdefault(data[x:y], len(known) + 1) for x, y in zip(ts.tolist(), te.tolist(), strict=True)], np.uint64)
+        # Tiles lie where seeds do: each stretch of seeds is kept, and a token of no test keeps stretches apart.
+        mine = owner == i
+        mine[mine] = np.isin(number[mine], np.searchsorted(block.first, entry[a:b], "right") - 1)
+        spots = hit[mine]
+        parts, gap = [], np.zeros(1, np.uint64)
         for run in np.split(spots, np.flatnonzero(np.diff(spots) > least) + 1):
-            parts += [h[run[0] : run[-1] + least], gap]
+            x, y = int(run[0]), int(run[-1]) + least
+            stretch = buf[start[x] : end[y - 1]].tobytes()
+            base = int(start[x])
+            parts += [np.fromiter((known.get(stretch[u - base : v - base], 0) for u, v in zip(start[x:y].tolist(), end[x:y].tolist(), strict=True)), np.uint64, y - x), gap]
         tiles = tile(np.concatenate(parts), want, least)
         total = sum(x[2] for x in tiles)
-        if total >= coverage * len(want):
-            yield int(text[a]), int(test[a]), total, len(tiles)
+        if total >= coverage * size:
+            yield i, j, total, len(tiles)
 
 
 def _packs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[bytes]]]:
@@ -222,7 +289,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = SEED_TOKENS,
                 for first, texts in _packs(batch, "text"):
                     for i, j, total, n in match_texts(texts, b, least, coverage):
                         who.append(first + i)
-                        got.append((b.ids[j], len(b.tests[j]), total, total / len(b.tests[j]), n))
+                        got.append((b.ids[j], int(b.sizes[j]), total, total / int(b.sizes[j]), n))
                 cols = list(zip(*got, strict=True)) or [[]] * 5
                 types = [kind, pa.int64(), pa.int64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(who, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=names)

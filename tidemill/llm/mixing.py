@@ -89,11 +89,12 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int
 
     Every document of a source gets target / source_size copies in expectation: the whole part for sure, the rest by
     pivotal rounding over documents of the source, so the words taken from a source miss its target by less than one
-    document (null or empty texts: no words, no copies). Randomness is a hash of doc_id and size: reruns agree, and
-    rows that are repeated are documents of their own that may fall differently. A null source is a source; a null
+    document (null or empty texts: no words, no copies). Randomness is a hash of doc_id, size and a number among rows
+    that agree in source and both: reruns agree, and rows that are repeated, or lack an id, are documents of their own that
+    may fall differently and are spread over nodes like all others. A null source is a source; a null
     doc_id is a document. Nodes of the tree are hash blocks of about FAN_IN documents, so a hot source is many nodes.
     """
-    sized = cut(sizes(docs))
+    sized = cut(sizes(docs).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows"))
     targets = cut(source_targets(sized, weights))
     most = targets.agg(F.max("n_sized")).head()[0] or 0
     x = F.try_divide(F.col("target"), F.col("source_size").cast("double"))  # null for a source without words
@@ -102,10 +103,10 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int
     split = (F.col("size") > 0) & (F.col("part") > 0)
     key = ["source", "source_size", "target", "whole"]
     sure = rows.filter(~split | split.isNull()).select(*key, "doc_id", "size", F.lit(0).alias("extra"))
-    rank = F.xxhash64("doc_id", "size", F.lit(seed))
+    rank = F.xxhash64("doc_id", "size", "k", F.lit(seed))
     open_ = rows.filter(split).select(
         *key,
-        F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.ceil(F.col("n_sized") / FAN_IN)).alias("node"),
+        F.pmod(F.xxhash64("doc_id", "size", "k", F.lit(seed + 1)), F.ceil(F.col("n_sized") / FAN_IN)).alias("node"),
         F.struct("size", rank.alias("rank"), "doc_id", F.col("part").alias("x")).alias("item"),
     )
     parts, nodes, level = [sure], max(1, -(-most // FAN_IN)), 0

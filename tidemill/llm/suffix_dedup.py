@@ -29,6 +29,8 @@ from .common import byte_texts, cut, fresh_path, slices
 K = 64
 #: Window starts hashed at once; a longer text is hashed in overlapping pieces.
 PIECE = 1 << 20
+#: Low bits of a hash that give way to the place in the buffer: among equal rest the leftmost wins.
+PLACE_BITS = 21
 #: Contexts sorted at once, in bytes; a group of equal anchors is never split.
 SORT_BYTES = 6 << 20
 #: Anchors with more different contexts than this are resolved by the distributed plan in ``_hot``.
@@ -98,7 +100,7 @@ def anchors(buf: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, k
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))
     ph = PrefixHash(buf)
     grams = _mix((ph.sum[k:] - ph.sum[:-k]) * ph.down[: n - k + 1])
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(PLACE_BITS)  # the same in every buffer, so copies of a string have the same anchor whatever surrounds them
     key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     wide, span = key, 1
     while span * 2 <= gap:

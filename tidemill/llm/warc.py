@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records that an archive file has at most.
-FILE_RECORDS = 9_000
+#: Captures that an archive file has at most, and bytes of payloads: with larger pages a file takes fewer of them.
+FILE_CAPTURES, FILE_BYTES = 3_000, 192 << 20
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
 
@@ -22,7 +22,7 @@ RECORD = "record_id string, type string, concurrent_to string, target_uri string
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload text, its bytes and SHA-1, and the page it revisits (null: none).
+    """page_id, url, payload text, its bytes and SHA-1, and the page it revisits with its url (null: none).
 
     Of pages with equal payloads of at least REVISIT_BYTES the largest page_id keeps the payload (a repeated row of it,
     too); the others refer to it. A null page_id is a page of its own and never referred to. Groups of equal payloads
@@ -31,11 +31,11 @@ def captures(pages: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", "url", body.alias("payload"))
     base = base.withColumns({"n": F.octet_length("payload").cast("long"), "sha1": F.sha1(F.col("payload").cast("binary"))})
-    small = base.filter(F.col("n") >= REVISIT_BYTES).select("page_id", "n", "sha1")
-    first = small.groupBy("sha1", "n").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1 AND first IS NOT NULL").select(F.col("sha1").alias("f_sha1"), F.col("n").alias("f_n"), "first")
+    small = base.filter(F.col("n") >= REVISIT_BYTES).select("page_id", "n", "sha1", "url")
+    first = small.groupBy("sha1", "n").agg(F.max(F.struct("page_id", "url")).alias("m"), F.count(F.lit(1)).alias("c")).withColumn("first", F.col("m.page_id")).filter("c > 1 AND first IS NOT NULL").select(F.col("sha1").alias("f_sha1"), F.col("n").alias("f_n"), "first", F.col("m.url").alias("first_url"))
     revisit = small.join(first, (F.col("sha1") == F.col("f_sha1")) & (F.col("n") == F.col("f_n"))).filter("page_id < first OR page_id IS NULL")
-    revisit = revisit.select(F.col("page_id").alias("r_id"), F.col("sha1").alias("r_sha1"), "first").distinct()
-    return base.join(revisit, base["page_id"].eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left").select("page_id", "url", "payload", "n", "sha1", F.col("first").alias("refers_to"))
+    revisit = revisit.select(F.col("page_id").alias("r_id"), F.col("sha1").alias("r_sha1"), "first", "first_url").distinct()
+    return base.join(revisit, base["page_id"].eqNullSafe(F.col("r_id")) & (F.col("sha1") == F.col("r_sha1")), "left").select("page_id", "url", "payload", "n", "sha1", F.col("first").alias("refers_to"), F.col("first_url").alias("refers_url"))
 
 
 def _urn(*parts: Column) -> Column:
@@ -53,16 +53,30 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
 def write_warc(pages: DataFrame, path: str) -> None:
     """Write a request, a response or revisit, and a metadata record for every row of pages (page_id, url, html).
 
-    The records of a row follow each other and refer to the response through WARC-Concurrent-To. Control characters
-    of a URL are percent-encoded, since a header is one line. Null html is an empty payload; a null url has no
-    WARC-Target-URI. Files are gzip-compressed; a task writes its rows where they are, FILE_RECORDS at most to a file.
+    The records of a row follow each other and refer to the response through WARC-Concurrent-To; a revisit names its
+    original by WARC-Refers-To-Target-URI and -Date. Control characters of a URL are percent-encoded, since a header is
+    one line. Null html is an empty payload; a null url has no WARC-Target-URI. Files are gzip-compressed; a task writes
+    its rows where they are, FILE_CAPTURES at most to a file. Pages too large for that many to stay below FILE_BYTES are
+    written apart, by classes of size, so no file holds much more than FILE_BYTES or one page.
     """
     caps = captures(pages)
-    seq = F.monotonically_increasing_id()
-    uri = F.col("url")
-    for c in "\r\n\t\x00":
-        uri = F.replace(uri, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    rows = caps.withColumn("seq", seq).withColumn("uri", uri)
+    bound, largest = FILE_BYTES // FILE_CAPTURES, pages.agg(F.max(F.octet_length("html"))).head()[0] or 0
+    low, mode = -1, "error"
+    while low < max(largest, 1):
+        part = caps if largest <= bound and low < 0 else caps.filter((F.col("n") > low) & (F.col("n") <= bound))
+        _write(part, path, max(1, FILE_BYTES // bound), mode)
+        low, bound, mode = bound, bound * 16, "append"
+
+
+def _write(caps: DataFrame, path: str, most: int, mode: str) -> None:
+    """Write captures, at most so many to a file."""
+
+    def clean(uri: Column) -> Column:
+        for c in "\r\n\t\x00":
+            uri = F.replace(uri, F.lit(c), F.lit(f"%{ord(c):02X}"))
+        return uri
+
+    rows = caps.withColumns({"seq": F.monotonically_increasing_id(), "uri": clean(F.col("url")), "refers_uri": clean(F.col("refers_url"))})
     rid = _urn(F.lit("response"), F.coalesce(F.col("page_id"), F.lit(-1)), F.col("seq"))
     host_path = F.regexp_extract("uri", r"^.*?://[^/?#]*([^#]*)", 1)
     get = F.concat(F.lit("GET "), F.when(F.coalesce(host_path, F.lit("")) == "", F.lit("/")).otherwise(host_path), F.lit(f" HTTP/1.1{CRLF}{CRLF}"))
@@ -79,13 +93,13 @@ def write_warc(pages: DataFrame, path: str) -> None:
     records = F.array(
         _record([("WARC-Type", F.lit("request")), ("WARC-Record-ID", _urn(F.lit("request"), F.col("rid"))), *side, ("Content-Type", F.lit("application/http; msgtype=request"))], get),
         _record(
-            [("WARC-Type", F.col("kind")), ("WARC-Record-ID", F.col("rid")), *common, ("WARC-Payload-Digest", sha), ("WARC-Profile", F.when(F.col("kind") == "revisit", F.lit(PROFILE))), ("Content-Type", F.lit("application/http; msgtype=response"))],
+            [("WARC-Type", F.col("kind")), ("WARC-Record-ID", F.col("rid")), *common, ("WARC-Payload-Digest", sha), ("WARC-Profile", F.when(F.col("kind") == "revisit", F.lit(PROFILE))), ("WARC-Refers-To-Target-URI", F.col("refers_uri")), ("WARC-Refers-To-Date", F.when(F.col("refers_uri").isNotNull(), F.lit(DATE))), ("Content-Type", F.lit("application/http; msgtype=response"))],
             F.when(F.col("kind") == "revisit", head).otherwise(F.concat(head, F.col("payload"))),
         ),
         _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn(F.lit("metadata"), F.col("rid"))), *side, ("Content-Type", F.lit("application/warc-fields"))], meta),
     )
     lines = rows.withColumns({"rid": rid, "kind": kind}).select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.mode(mode).option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * most).text(path)
 
 
 def parse_archive(data: bytes, kinds: frozenset[str]) -> Iterator[dict]:
