@@ -22,8 +22,8 @@ PAGE = 1 << 14
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 #: Min-hash bands that deal set fingerprints into groups. A pair of similarity 0.8 shares none with the probability
-#: (1 - 0.8 ** 4) ** 16, 0.0002.
-BANDS, BAND_ROWS = 16, 4
+#: (1 - 0.8 ** 3) ** 12, 0.0002.
+BANDS, BAND_ROWS = 12, 3
 
 _rng = np.random.default_rng(20240611)
 SALTS, MIXERS = _rng.integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
@@ -312,7 +312,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words
     """One row of each near-duplicate group of docs: that with the smallest doc_id (of repeated rows, one).
 
     Texts are near duplicates if the Jaccard similarity of their sets of five-word shingles is at least 0.8, and groups
-    are what such pairs connect. Candidates are pairs that share one of 16 min-hash bands and whose 256-bit fingerprints
+    are what such pairs connect. Candidates are pairs that share one of 12 min-hash bands and whose 256-bit fingerprints
     over the sets differ in at most 60 bits, compared tile by tile; each candidate is judged by the sets themselves. At
     a similarity of 0.8, 39 bits differ on average with a deviation of 6, and one pair in some 5,000 shares no band, so
     few pairs are missed; unrelated texts differ in 128 bits. Equal sets are one node. A spanning forest of
