@@ -49,7 +49,7 @@ def kama(close: np.ndarray, n: int = 10, fast: int = 2, slow: int = 30) -> np.nd
 
 
 def hurst(close: np.ndarray, n: int = 64, chunks: tuple[int, ...] = (8, 16, 32)) -> np.ndarray:
-    """Slope of log R/S on log size over the n log returns before a bar, clipped to [0, 1]; 0.5 where it is flat."""
+    """Slope of log R/S on log size over the n log returns before a bar, clipped to [0, 1]; 0.5 where fewer than two sizes are not flat."""
     out = np.full(len(close), np.nan)
     r = np.diff(np.log(close))
     if len(r) < n:
@@ -60,13 +60,15 @@ def hurst(close: np.ndarray, n: int = 64, chunks: tuple[int, ...] = (8, 16, 32))
         parts = w.reshape(len(w), n // c, c)
         dev = np.cumsum(parts - parts.mean(2, keepdims=True), axis=2)
         sd = parts.std(2)
-        rs = np.divide(dev.max(2) - dev.min(2), sd, out=np.full(sd.shape, np.nan), where=sd > 1e-12)
+        rs = np.divide(dev.max(2) - dev.min(2), sd, out=np.full(sd.shape, np.nan), where=(sd > 1e-10) & (dev.max(2) > dev.min(2)))
         with np.errstate(invalid="ignore", divide="ignore"):
             logs.append(np.log(np.nanmean(rs, axis=1)) if rs.size else np.zeros(0))
     y, x = np.array(logs).T, np.log(chunks)
-    ok = np.isfinite(y).all(1)
-    slope = ((x - x.mean()) * y).sum(1) / ((x - x.mean()) ** 2).sum()
-    out[n + 1 :] = np.where(ok, np.clip(slope, 0, 1), 0.5)
+    fit = np.isfinite(y)
+    count = fit.sum(1)
+    off = np.where(fit, x - ((fit * x).sum(1) / np.maximum(count, 1))[:, None], 0.0)
+    slope = (off * np.where(fit, y, 0.0)).sum(1) / np.where(count > 1, (off**2).sum(1), 1.0)
+    out[n + 1 :] = np.where(count > 1, np.clip(slope, 0, 1), 0.5)
     return out
 
 

@@ -12,15 +12,18 @@ RESULT = "symbol string, n_bars long, n_trades long, final_equity double, total_
 
 
 def run_backtest(actions: list[str], close: np.ndarray, size: np.ndarray, capital: float = 10_000.0, fee: float = 0.0004, slip: float = 0.0005, leverage: float = 1.0) -> dict:
-    """One position at a time: long and short close the other side first; fees on both legs; equity marked every bar."""
+    """One position at a time: long and short close the other side first; fees on both legs; equity marked every bar.
+
+    A trade's result is net of its exit fee. The largest fall is a share of the overall peak. An entry at price 0 earns nothing.
+    """
     equity, pos, entry = capital, 0.0, 0.0
     curve, pnls = [capital], []
 
     def close_out(price: float) -> None:
         nonlocal equity, pos, entry
-        pnl = pos * (price - entry) / entry * leverage * equity
+        pnl = (pos * (price - entry) / entry * leverage if entry else 0.0) * equity - abs(pos) * fee * equity
         pnls.append(pnl)
-        equity += pnl - abs(pos) * fee * equity
+        equity += pnl
         pos, entry = 0.0, 0.0
 
     for act, c, s in zip(actions, close.tolist(), size.tolist(), strict=True):
@@ -32,7 +35,7 @@ def run_backtest(actions: list[str], close: np.ndarray, size: np.ndarray, capita
             equity -= abs(pos) * fee * equity
         elif act == "close" and pos:
             close_out(price)
-        curve.append(equity * (1 + (pos * (c - entry) / entry * leverage if pos else 0.0)))
+        curve.append(equity * (1 + (pos * (c - entry) / entry * leverage if pos and entry else 0.0)))
     e = np.array(curve)
     r = np.diff(e) / e[:-1]
     p = np.array(pnls)
@@ -40,7 +43,7 @@ def run_backtest(actions: list[str], close: np.ndarray, size: np.ndarray, capita
     peak = np.maximum.accumulate(e)
     return {
         "n_bars": len(close), "n_trades": len(p), "final_equity": e[-1], "total_return": e[-1] / capital - 1,
-        "sharpe": r.mean() / (r.std() + 1e-8) * math.sqrt(252 * 24) if len(r) else 0.0, "max_drawdown": float(((peak - e) / peak).max()),
+        "sharpe": r.mean() / (r.std() + 1e-8) * math.sqrt(252 * 24) if len(r) else 0.0, "max_drawdown": float((peak - e).max() / (e.max() + 1e-8)),
         "win_rate": float((p > 0).mean()) if len(p) else 0.0, "profit_factor": gain / loss if loss > 0 else math.inf,
     }
 
