@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, cut, slices, spare_name
+from .common import byte_texts, cut, slices, spare_name, stored
 from .components import components
 
 SEED = 42
@@ -333,8 +333,10 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words
     own = nodes.select(F.col("id").alias("node"), F.col("id").alias("label"))
     reps = nodes.select("id", F.col("best.doc_id").alias("b_id"), F.col("best.t0").alias("b0"), F.col("best.t1").alias("b1"))
 
-    def judged(pairs: DataFrame) -> DataFrame:
+    def shingle_sets(pairs: DataFrame) -> DataFrame:
+        # Stored as a table: its size is known, so the texts are only shuffled if it is too large for Spark to broadcast.
         asked = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), F.col("id") == F.col("i"), "left_semi")
+        asked = stored(asked)
         texts = known.select("doc_id", "text").withColumns(digests).join(asked, (F.col("doc_id") == F.col("b_id")) & (F.col("t0") == F.col("b0")) & (F.col("t1") == F.col("b1")))
         texts = texts.select("id", "text").dropDuplicates(["id"])
 
@@ -344,14 +346,17 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words
                     h = pa.array(shingle_hashes(t, shingle).view(np.int64))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), h)], names=["id", "shingles"])
 
-        return cut(confirmed(pairs, cut(texts.mapInArrow(run, "id long, shingles array<long>")), similarity))
+        return cut(texts.mapInArrow(run, "id long, shingles array<long>"))
 
-    sure = judged(cut(links(by_bands(apart), radius)))
+    forest = cut(links(by_bands(apart), radius))
+    # Every set with a candidate is in the forest, so these are all the sets that either round of judging needs.
+    sets = shingle_sets(forest)
+    sure = cut(confirmed(forest, sets, similarity))
     found = cut(components(sure, own))
     labelled = apart.join(found, F.col("id") == F.col("node")).drop("node")
     more = cut(links(by_bands(labelled), radius, every=True))
     if not more.isEmpty():
-        found = components(sure.union(judged(more)), own)
+        found = components(sure.union(cut(confirmed(more, sets, similarity))), own)
     stay = found.join(nodes.select("id", "best"), F.col("node") == F.col("id")).groupBy("label").agg(F.min("best").alias("best"))
     stay = stay.select(F.col("best.doc_id").alias("b_id"), F.col("best.t0").alias("b0"), F.col("best.t1").alias("b1"))
     k0, k1 = spare_name(docs, "_text_0"), spare_name(docs, "_text_1")
