@@ -55,3 +55,14 @@ def test_groups_match_brute_force(spark):
                 label = [min(a, b) if x in (a, b) else x for x in label]
     got = simhash.keep_first(documents(spark, list(enumerate(texts)))).collect()
     assert sorted(x.doc_id for x in got) == sorted(set(label)) and 6 < len(got) < len(texts)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    r = rng(33)
+    one, other = words(r, 60), words(r, 60)
+    rows = [(3, one), (3, one), (3, other), (5, f"{one} end"), (None, one), (None, one), (7, None), (8, ""), (8, "")]
+    docs = documents(spark, rows).selectExpr("*", "1 AS b_id", "2 AS b0", "3 AS _key_0", "4 AS id", "5 AS stays")
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in got.collect()) == sorted([(3, one), (3, other), (0, one), (0, one), (7, "")])
+    assert simhash.keep_first(docs.limit(0)).count() == 0
