@@ -447,7 +447,21 @@ def variant_stats(spark: SparkSession, d: str) -> DataFrame:
     return out(ST.sharpe(S.trades(spark, d), "pnl", ["variant"]), "variant n", "mean sd median downside sharpe")
 
 
-@query()
+def _cdf(x: str) -> str:
+    """SQL of the approximation of the normal distribution function that ``stats.normal_cdf`` uses."""
+    t = f"(1 / (1 + 0.2316419::DOUBLE * abs({x})))"
+    tail = f"exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {t} * (0.319381530::DOUBLE + {t} * (-0.356563782::DOUBLE + {t} * (1.781477937::DOUBLE + {t} * (-1.821255978::DOUBLE + {t} * 1.330274429::DOUBLE))))"
+    return f"CASE WHEN {x} >= 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+BEST = (1 - 0.5772156649) * ST.normal_quantile(1 - 1 / 25) + 0.5772156649 * ST.normal_quantile(1 - 1 / (25 * math.e))
+
+
+@query(f"""{TRADES}, m AS (SELECT symbol, regime, avg(pnl) AS mean, stddev_samp(pnl) AS sd FROM trades GROUP BY 1, 2),
+g AS (SELECT symbol, regime, count(pnl) AS n, any_value(mean / nullif(sd, 0)) AS sharpe, sum((pnl - mean) ** 3) / count(pnl) / nullif(any_value(sd), 0) ** 3 AS skew, sum((pnl - mean) ** 4) / count(pnl) / nullif(any_value(sd), 0) ** 4 - 3 AS kurt
+  FROM trades JOIN m USING (symbol, regime) GROUP BY 1, 2 HAVING count(pnl) >= 30),
+s AS (SELECT *, sqrt(greatest(1e-12, (1 - skew * sharpe + kurt / 4 * sharpe * sharpe) / (n - 1))) AS se FROM g)
+SELECT symbol, regime, n, {_r('sharpe se')}, round({_cdf('(sharpe / se)')}, 6) AS psr, round({_cdf(f'(sharpe / se - {BEST!r}::DOUBLE)')}, 6) AS dsr FROM s""")
 def deflated_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return out(ST.deflated_sharpe(S.trades(spark, d), "pnl", ["symbol", "regime"], 25), "symbol regime n", "sharpe se psr dsr")
 
@@ -520,7 +534,11 @@ def formula_alphas(spark: SparkSession, d: str) -> DataFrame:
     return out(SG.formula_alphas(S.hourly_bars(spark, d)), "symbol t", "vwap_dev flow_5 divergence intrabar")
 
 
-@query()
+@query(f"""{BARS}, n AS (SELECT *, row_number() OVER ({W}) AS rn, (high + low + close) / 3 AS p FROM bars),
+e AS (SELECT a.symbol, a.t, a.rn AS e, b.rn, sign(b.close - sum(b.p * b.volume) OVER w / greatest(sum(b.volume) OVER w, 1e-10)) * b.volume AS s
+  FROM n a JOIN n b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 20 AND a.rn WHERE a.rn > 20 WINDOW w AS (PARTITION BY a.symbol, a.rn ORDER BY b.rn)),
+z AS (SELECT symbol, t, max(s) FILTER (rn = e) AS x, avg(s) FILTER (rn < e) AS m, stddev_samp(s) FILTER (rn < e) AS sd FROM e GROUP BY 1, 2)
+SELECT symbol, t, round((x - m) / nullif(sd, 0), 6) AS ofi_z FROM bars LEFT JOIN z USING (symbol, t)""")
 def order_flow_z(spark: SparkSession, d: str) -> DataFrame:
     return out(SG.order_flow_z(S.hourly_bars(spark, d)), "symbol t", "ofi_z")
 
@@ -596,19 +614,27 @@ def best_venue(spark: SparkSession, d: str) -> DataFrame:
 # Vectors, simulation and change points
 
 
-@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), x AS (
+KNN = """q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), x AS (
   SELECT q.vec_id AS query, b.vec_id AS neighbour, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / ((sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) + 1e-8) * (sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) + 1e-8)) AS similarity
-  FROM q JOIN embeddings b ON b.vec_id <> q.vec_id)
+  FROM q JOIN embeddings b ON b.vec_id <> q.vec_id)"""
+
+
+@query(f"""WITH {KNN}
 SELECT query, neighbour, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, neighbour) AS INTEGER) AS rank FROM x QUALIFY rank <= 10""")
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = S.load(spark, d, "embeddings")
     return out(V.nearest(e, e.filter("vec_id % 20 = 0"), 10), "query neighbour rank", "similarity")
 
 
-@query()
+@query(f"""WITH {KNN}, n AS (SELECT query, neighbour, similarity FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, neighbour) <= 100),
+y AS (SELECT query, similarity, label / 10.0::DOUBLE - 0.45::DOUBLE AS fwd FROM n JOIN embeddings ON vec_id = neighbour),
+s AS (SELECT query, count(fwd) AS n, avg(fwd) AS mean, median(fwd) AS median, stddev_pop(fwd) AS sd, count(*) FILTER (fwd > 0) / count(fwd)::DOUBLE AS win_rate, avg(similarity) AS similarity FROM y GROUP BY 1)
+SELECT query, n, CASE WHEN abs(mean) < 5e-7 THEN 0 ELSE round(mean, 6) END AS mean, {_r('median sd win_rate similarity')}, round(greatest(0, least(1, abs(mean) / (sd + 1e-4) * similarity)), 6) AS confidence FROM s""")
 def knn_stats(spark: SparkSession, d: str) -> DataFrame:
     e = S.load(spark, d, "embeddings").withColumn("fwd", F.col("label") / 10.0 - 0.45)
-    return out(V.neighbour_stats(V.nearest(e, e.filter("vec_id % 20 = 0"), 100), e, "fwd"), "query n", "mean median sd win_rate similarity confidence")
+    n = V.neighbour_stats(V.nearest(e, e.filter("vec_id % 20 = 0"), 100), e, "fwd")
+    n = n.withColumn("mean", F.when(F.abs("mean") < 5e-7, 0.0).otherwise(F.col("mean")))  # a sum of outcomes that cancel may end on either side of zero
+    return out(n, "query n", "mean median sd win_rate similarity confidence")
 
 
 def _actions(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators import signals as SG
 from ..operators import splits as SP
 from ..operators import stats as ST
 from ..sources import tables as S
-from .market import BARS, FLOW, RECORDS, SIGNALS, TRADES, W, _actions, _r, _rank, _rows, out, query
+from .market import BARS, FLOW, RECORDS, SIGNALS, TRADES, W, _actions, _full, _r, _rank, _rows, out, query
 
 BOOK = """book AS (SELECT event_type AS symbol, epoch_us(ts) // 3600000000 AS t, list(value ORDER BY value DESC) FILTER (user_id % 2 = 0) AS b, list(value ORDER BY value) FILTER (user_id % 2 = 1) AS a FROM events GROUP BY 1, 2),
 s AS (SELECT symbol, t, coalesce(list_sum(b[1:2]), 0) AS bid_volume, coalesce(list_sum(a[1:2]), 0) AS ask_volume, a[1] - b[1] AS spread FROM book)"""
@@ -164,9 +164,14 @@ def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
     return FB.bootstrap_mean(S.trades(spark, d), "pnl", ["variant"], "id", 200)
 
 
-@query()
+@query(f"""{RECORDS}, r AS (SELECT source, signal, ret, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM records WHERE signal IS NOT NULL AND ret IS NOT NULL),
+w AS (SELECT a.source, a.rn AS e, b.signal, b.ret FROM r a JOIN r b ON a.source = b.source AND b.rn BETWEEN a.rn - 49 AND a.rn WHERE a.rn >= 50),
+k AS (SELECT source, e, {_rank('signal', 'source, e')} AS a, {_rank('ret', 'source, e')} AS b FROM w),
+c AS (SELECT source, e, CASE WHEN var_pop(a) * var_pop(b) > 0 THEN corr(a, b) ELSE 0 END AS ic FROM k GROUP BY 1, 2),
+i AS (SELECT source, avg(ic) AS m, stddev_pop(ic) AS s FROM c GROUP BY 1), n AS (SELECT source, count(*) FILTER (signal IS NOT NULL AND ret IS NOT NULL) AS n FROM records GROUP BY 1)
+SELECT source, n, CASE WHEN n >= 100 THEN round(CASE WHEN s > 0 THEN m / s ELSE 0 END, 6) END AS ic_ratio FROM n LEFT JOIN i USING (source)""")
 def rolling_ic_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return MC.rolling_ic_ratio(S.records(spark, d), "source")
+    return out(MC.rolling_ic_ratio(S.records(spark, d), "source"), "source n", "ic_ratio")
 
 
 @query()
@@ -180,9 +185,13 @@ def paper_trades(spark: SparkSession, d: str) -> DataFrame:
     return MC.paper_trades(a)
 
 
-@query()
+@query(f"""{BARS.replace('WITH', 'WITH RECURSIVE', 1)}, z AS (SELECT symbol, t, row_number() OVER ({W}) AS rn, coalesce((close - {_full(30, 'close', 'avg(close)')}) / nullif({_full(30, 'close', 'stddev_samp(close)')}, 0), 0) AS zscore FROM bars),
+p AS (SELECT symbol, t, rn, zscore, 0 AS position FROM z WHERE rn = 1
+  UNION ALL SELECT z.symbol, z.t, z.rn, z.zscore, CASE WHEN position = 0 AND abs(z.zscore) >= 2 AND abs(z.zscore) < 4 THEN CAST(-sign(z.zscore) AS INTEGER) WHEN abs(z.zscore) <= 0.5 OR abs(z.zscore) >= 4 THEN 0 ELSE position END
+  FROM p JOIN z ON z.symbol = p.symbol AND z.rn = p.rn + 1)
+SELECT symbol, t, round(zscore, 6) AS zscore, position FROM p""")
 def pair_positions(spark: SparkSession, d: str) -> DataFrame:
-    return MC.pair_signals(I.rolling_zscore(S.hourly_bars(spark, d), "close", 30))
+    return out(MC.pair_signals(I.rolling_zscore(S.hourly_bars(spark, d), "close", 30)), "symbol t position", "zscore")
 
 
 @query()
