@@ -1,4 +1,4 @@
-"""Hand-made cases of the trading rules, table operations and simulators."""
+"""Hand-made cases of the decision rules, table operations and simulators."""
 
 import hashlib
 import json
@@ -13,7 +13,7 @@ from tidemill.operators import rules as RU
 from tidemill.operators import shaping as SH
 from tidemill.operators import simulate as SM
 
-VIEWS = "id long, action string, confidence double, funding_bp double, momentum string, rsi double, pattern string, similarity double, pattern_win_rate double, ev_pct double, mtf string, mtf_agreement double, quant_score double, quant_regime string"
+VIEWS = "id long, action string, confidence double, funding_bp double, momentum string, rsi double, pattern string, similarity double, pattern_win_rate double, ev_pct double, mtf string, mtf_agreement double, blend_score double, blend_regime string"
 
 
 def test_fusion_stage_by_stage(spark):
@@ -30,8 +30,8 @@ def test_fusion_stage_by_stage(spark):
     ]
     got = {r.id: (r.action, r.confidence, r.reasons) for r in RU.fuse(spark.createDataFrame(rows, VIEWS)).collect()}
     assert got[1] == ("long", 0.5, "") and got[2] == ("hold", 0.0, "short_squeeze") and got[3] == ("hold", 0.0, "pattern_conflict")
-    assert got[4][0] == "long" and got[4][1] == pytest.approx(0.5 * 1.25 * 1.15 * 0.6 * 1.15) and got[4][2] == "pattern_confirms|mtf_agrees|quant_ranging|quant_agrees"
-    assert got[5][1] == pytest.approx(0.9 * 0.6 * 0.6 * 0.7) and got[5][2] == "pattern_weak|mtf_opposes|quant_opposes"
+    assert got[4][0] == "long" and got[4][1] == pytest.approx(0.5 * 1.25 * 1.15 * 0.6 * 1.15) and got[4][2] == "pattern_confirms|mtf_agrees|blend_ranging|blend_agrees"
+    assert got[5][1] == pytest.approx(0.9 * 0.6 * 0.6 * 0.7) and got[5][2] == "pattern_weak|mtf_opposes|blend_opposes"
     assert got[6] == ("hold", 0.4, "") and got[7] == ("hold", 0.0, "mtf_veto") and got[8][0] == "hold"
     assert RU.fuse(spark.createDataFrame([], VIEWS)).count() == 0
 

@@ -1,4 +1,4 @@
-"""Trading rules as expressions over rows: fusion of a decision with other views, gates, pauses, sizes and exits."""
+"""Decision rules as expressions over rows: fusion of a decision with other views, gates, pauses, sizes and exits."""
 
 from __future__ import annotations
 
@@ -33,10 +33,10 @@ def funding_bias(action: Column, funding_bp: Column, momentum: Column, rsi: Colu
 
 
 def fuse(decisions: DataFrame) -> DataFrame:
-    """Pass decisions (action, confidence) through funding, pattern, time-frame and quant views, one stage after the other.
+    """Pass decisions (action, confidence) through funding, pattern, time-frame and blended views, one stage after the other.
 
     Further columns: funding_bp, momentum, rsi; pattern (direction), similarity, pattern_win_rate, ev_pct; mtf (bullish, bearish),
-    mtf_agreement; quant_score, quant_regime. Out: the new action and confidence, and ``reasons``, what each stage did. A
+    mtf_agreement; blend_score, blend_regime. Out: the new action and confidence, and ``reasons``, what each stage did. A
     vetoed row is ``hold`` with confidence 0 and passes the later stages unchanged. Null views change nothing.
     """
     d = decisions.withColumn("_r", F.array(funding_bias(F.col("action"), F.col("funding_bp"), F.col("momentum"), F.col("rsi"))))
@@ -66,10 +66,10 @@ def fuse(decisions: DataFrame) -> DataFrame:
     opposes = (long_ & (F.col("mtf") == "bearish")) | (~long_ & (F.col("mtf") == "bullish"))
     a = F.col("mtf_agreement")
     d = stage(d, F.when(opposes & (a >= 0.75), "mtf_veto").when(opposes & (a >= 0.5), "mtf_opposes").when(agrees & (a > 0.7), "mtf_agrees"), {"mtf_opposes": 0.6, "mtf_agrees": 1.15}, ("mtf_veto",))
-    d = stage(d, F.when(F.col("quant_regime") == "ranging", "quant_ranging"), {"quant_ranging": 0.6}, ())
-    q = F.col("quant_score")
+    d = stage(d, F.when(F.col("blend_regime") == "ranging", "blend_ranging"), {"blend_ranging": 0.6}, ())
+    q = F.col("blend_score")
     side = (long_ & (q > 0)) | (~long_ & (q < 0))
-    d = stage(d, F.when((q != 0) & (F.abs(q) > 0.3), F.when(side, "quant_agrees").otherwise("quant_opposes")), {"quant_opposes": 0.7, "quant_agrees": 1.15}, ())
+    d = stage(d, F.when((q != 0) & (F.abs(q) > 0.3), F.when(side, "blend_agrees").otherwise("blend_opposes")), {"blend_opposes": 0.7, "blend_agrees": 1.15}, ())
     return d.withColumn("reasons", F.array_join(F.array_compact("_r"), "|")).drop("_r")
 
 
@@ -95,12 +95,12 @@ def basis_spread(rows: DataFrame) -> DataFrame:
     return d.withColumns({"score": score, "confidence": F.when(F.col("_n") >= 10, clip(F.greatest(F.lit(0.2), 1 - 5 * F.col("_sd")), 0, 1)).otherwise(0.3), "kind": F.when(far, "reversal").otherwise("momentum")}).drop("_n", "_prev", "_sd")
 
 
-def quant_regime(rows: DataFrame) -> DataFrame:
+def blend_regime(rows: DataFrame) -> DataFrame:
     """Five regimes of rows (adx, bb_width, vol_ratio) with confidence and position scale."""
     a, b, v = F.col("adx"), F.col("bb_width"), F.col("vol_ratio")
     r = F.when((a > 25) & (b < 0.06), "strong_trend").when((a > 25) & (v > 1.5), "volatile_breakout").when((a < 20) & (b < 0.03), "quiet").when(a < 20, "ranging").otherwise("weak_trend")
-    d = rows.withColumn("quant_regime", r)
-    k = F.col("quant_regime")
+    d = rows.withColumn("blend_regime", r)
+    k = F.col("blend_regime")
     conf = F.when(k == "strong_trend", F.least(F.lit(1.0), a / 50)).when(k == "volatile_breakout", F.least(F.lit(1.0), v / 3)).when(k == "quiet", 0.6).when(k == "ranging", F.greatest(F.lit(0.4), 1 - a / 20)).otherwise(0.5)
     return d.withColumns({"regime_confidence": conf, "position_scale": _lookup({"strong_trend": 1.2, "volatile_breakout": 0.8, "quiet": 1.0, "ranging": 0.5}, k, 0.7)})
 

@@ -1,4 +1,4 @@
-"""Queries of trading rules and table operations, each with its SQL. They join the registry of ``market``."""
+"""Queries of decision rules and table operations, each with its SQL. They join the registry of ``market``."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from .market import BARS, FLOW, SIGNALS, TRADES, W, _r, _rows, out, query
 
 VIEWS = f"""{SIGNALS}, views AS (SELECT *, signal * 4 AS funding_bp, confidence * 100 AS rsi, ['long', 'short', 'neutral'][id % 3 + 1] AS momentum, ['long', 'short', 'neutral'][id // 3 % 3 + 1] AS pattern,
   (78 + id % 15) / 100.0::DOUBLE AS similarity, (50 + id % 11) / 100.0::DOUBLE AS pattern_win_rate, (id % 21 - 10) / 100.0::DOUBLE AS ev_pct, ['bullish', 'bearish', 'neutral'][id // 7 % 3 + 1] AS mtf,
-  (id % 10) / 10.0::DOUBLE AS mtf_agreement, signal AS quant_score, CASE WHEN id % 5 = 0 THEN 'ranging' ELSE 'weak_trend' END AS quant_regime FROM signals)"""
+  (id % 10) / 10.0::DOUBLE AS mtf_agreement, signal AS blend_score, CASE WHEN id % 5 = 0 THEN 'ranging' ELSE 'weak_trend' END AS blend_regime FROM signals)"""
 
 
 def _views(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +27,7 @@ def _views(spark: SparkSession, d: str) -> DataFrame:
     return S.signals(spark, d).withColumns({
         "funding_bp": F.col("signal") * 4, "rsi": F.col("confidence") * 100, "momentum": pick(i, "long", "short", "neutral"), "pattern": pick(F.floor(i / 3), "long", "short", "neutral"),
         "similarity": (78 + i % 15) / 100.0, "pattern_win_rate": (50 + i % 11) / 100.0, "ev_pct": (i % 21 - 10) / 100.0, "mtf": pick(F.floor(i / 7), "bullish", "bearish", "neutral"),
-        "mtf_agreement": (i % 10) / 10.0, "quant_score": F.col("signal"), "quant_regime": F.when(i % 5 == 0, "ranging").otherwise("weak_trend"),
+        "mtf_agreement": (i % 10) / 10.0, "blend_score": F.col("signal"), "blend_regime": F.when(i % 5 == 0, "ranging").otherwise("weak_trend"),
     })
 
 
@@ -40,9 +40,9 @@ c AS (SELECT *, r1 IS NOT NULL OR coalesce(r2 IN ('pattern_conflict', 'pattern_a
   (action = 'long' AND mtf = 'bullish') OR (action = 'short' AND mtf = 'bearish') AS agrees, (action = 'long' AND mtf = 'bearish') OR (action = 'short' AND mtf = 'bullish') AS opposes FROM b),
 e AS (SELECT *, CASE WHEN NOT v2 THEN CASE WHEN opposes AND mtf_agreement >= 0.75 THEN 'mtf_veto' WHEN opposes AND mtf_agreement >= 0.5 THEN 'mtf_opposes' WHEN agrees AND mtf_agreement > 0.7 THEN 'mtf_agrees' END END AS r3 FROM c),
 f AS (SELECT *, v2 OR coalesce(r3 = 'mtf_veto', false) AS v3, CASE r3 WHEN 'mtf_opposes' THEN c2 * 0.6 WHEN 'mtf_agrees' THEN least(c2 * 1.15, 1) ELSE c2 END AS c3 FROM e),
-g AS (SELECT *, CASE WHEN NOT v3 AND quant_regime = 'ranging' THEN 'quant_ranging' END AS r4, CASE WHEN NOT v3 AND abs(quant_score) > 0.3 THEN CASE WHEN (action = 'long') = (quant_score > 0) THEN 'quant_agrees' ELSE 'quant_opposes' END END AS r5 FROM f),
+g AS (SELECT *, CASE WHEN NOT v3 AND blend_regime = 'ranging' THEN 'blend_ranging' END AS r4, CASE WHEN NOT v3 AND abs(blend_score) > 0.3 THEN CASE WHEN (action = 'long') = (blend_score > 0) THEN 'blend_agrees' ELSE 'blend_opposes' END END AS r5 FROM f),
 h AS (SELECT *, c3 * CASE WHEN r4 IS NOT NULL THEN 0.6 ELSE 1 END AS c4 FROM g)
-SELECT id, CASE WHEN v3 THEN 'hold' ELSE action END AS action, round(CASE WHEN v3 THEN 0 WHEN r5 = 'quant_agrees' THEN least(c4 * 1.15, 1) WHEN r5 = 'quant_opposes' THEN c4 * 0.7 ELSE c4 END, 6) AS confidence, concat_ws('|', r1, r2, r3, r4, r5) AS reasons FROM h""")
+SELECT id, CASE WHEN v3 THEN 'hold' ELSE action END AS action, round(CASE WHEN v3 THEN 0 WHEN r5 = 'blend_agrees' THEN least(c4 * 1.15, 1) WHEN r5 = 'blend_opposes' THEN c4 * 0.7 ELSE c4 END, 6) AS confidence, concat_ws('|', r1, r2, r3, r4, r5) AS reasons FROM h""")
 def decision_fusion(spark: SparkSession, d: str) -> DataFrame:
     return out(RU.fuse(_views(spark, d)), "id action reasons", "confidence")
 
@@ -64,12 +64,12 @@ def basis_spread(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{SIGNALS}, x AS (SELECT id, confidence * 50 AS a, abs(signal) * 0.1 AS b, (id % 20) / 10.0::DOUBLE AS v FROM signals),
-y AS (SELECT *, CASE WHEN a > 25 AND b < 0.06 THEN 'strong_trend' WHEN a > 25 AND v > 1.5 THEN 'volatile_breakout' WHEN a < 20 AND b < 0.03 THEN 'quiet' WHEN a < 20 THEN 'ranging' ELSE 'weak_trend' END AS quant_regime FROM x)
-SELECT id, quant_regime, round(CASE quant_regime WHEN 'strong_trend' THEN least(1, a / 50) WHEN 'volatile_breakout' THEN least(1, v / 3) WHEN 'quiet' THEN 0.6 WHEN 'ranging' THEN greatest(0.4, 1 - a / 20) ELSE 0.5 END, 6) AS regime_confidence,
-  round(CASE quant_regime WHEN 'strong_trend' THEN 1.2 WHEN 'volatile_breakout' THEN 0.8 WHEN 'quiet' THEN 1.0 WHEN 'ranging' THEN 0.5 ELSE 0.7 END, 6) AS position_scale FROM y""")
-def quant_regime(spark: SparkSession, d: str) -> DataFrame:
+y AS (SELECT *, CASE WHEN a > 25 AND b < 0.06 THEN 'strong_trend' WHEN a > 25 AND v > 1.5 THEN 'volatile_breakout' WHEN a < 20 AND b < 0.03 THEN 'quiet' WHEN a < 20 THEN 'ranging' ELSE 'weak_trend' END AS blend_regime FROM x)
+SELECT id, blend_regime, round(CAST(CASE blend_regime WHEN 'strong_trend' THEN least(1, a / 50) WHEN 'volatile_breakout' THEN least(1, v / 3) WHEN 'quiet' THEN 0.6 WHEN 'ranging' THEN greatest(0.4, 1 - a / 20) ELSE 0.5 END AS DOUBLE), 6) AS regime_confidence,
+  round(CAST(CASE blend_regime WHEN 'strong_trend' THEN 1.2 WHEN 'volatile_breakout' THEN 0.8 WHEN 'quiet' THEN 1.0 WHEN 'ranging' THEN 0.5 ELSE 0.7 END AS DOUBLE), 6) AS position_scale FROM y""")
+def blend_regime(spark: SparkSession, d: str) -> DataFrame:
     s = S.signals(spark, d).withColumns({"adx": F.col("confidence") * 50, "bb_width": F.abs("signal") * 0.1, "vol_ratio": (F.col("id") % 20) / 10.0})
-    return out(RU.quant_regime(s), "id quant_regime", "regime_confidence position_scale")
+    return out(RU.blend_regime(s), "id blend_regime", "regime_confidence position_scale")
 
 
 @query(f"""{BARS}, {S.SQL['flow']}, v AS (SELECT symbol, t, avg(coalesce(abs(buy - sell) / nullif(buy + sell, 0), 0)) OVER {_rows(50)} AS vpin, coalesce((buy - sell) / nullif(buy + sell, 0), 0) AS book FROM flow)
@@ -129,7 +129,7 @@ R20, R200 = _rows(20), _rows(200)
 @query(f"""{BARS}, x AS (SELECT symbol, t, close / nullif(lag(close) OVER ({W}), 0) - 1 AS r, (t % 10) / 10.0::DOUBLE AS p, CASE WHEN t % 3 = 0 THEN 'trending_up' ELSE 'mean_reverting' END AS regime FROM bars),
 y AS (SELECT *, CASE WHEN count(r) OVER {R20} >= 20 THEN stddev_pop(r) OVER {R20} / (CASE WHEN count(r) OVER {R200} >= 50 THEN stddev_pop(r) OVER {R200} ELSE stddev_pop(r) OVER {R20} END + 1e-10) ELSE 1 END AS v FROM x),
 z AS (SELECT *, CASE WHEN v < 0.5 THEN 'low' WHEN v < 1.5 THEN 'normal' WHEN v < 2.5 THEN 'high' ELSE 'extreme' END AS vol_class FROM y)
-SELECT symbol, t, vol_class, p >= 0.6 AS blocked, round(v, 6) AS vol_ratio, round(CASE WHEN p > 0.6 THEN 0 WHEN p > 0.3 THEN 0.3 ELSE least(1.5, CASE vol_class WHEN 'low' THEN 1.3 WHEN 'normal' THEN 1 WHEN 'high' THEN 0.6 ELSE 0.3 END * CASE WHEN regime = 'trending_up' THEN 1.2 ELSE 0.8 END) END, 6) AS multiplier FROM z""")
+SELECT symbol, t, vol_class, p >= 0.6 AS blocked, round(v, 6) AS vol_ratio, round(CAST(CASE WHEN p > 0.6 THEN 0 WHEN p > 0.3 THEN 0.3 ELSE least(1.5, CASE vol_class WHEN 'low' THEN 1.3 WHEN 'normal' THEN 1 WHEN 'high' THEN 0.6 ELSE 0.3 END * CASE WHEN regime = 'trending_up' THEN 1.2 ELSE 0.8 END) END AS DOUBLE), 6) AS multiplier FROM z""")
 def change_point_size(spark: SparkSession, d: str) -> DataFrame:
     b = I.returns(S.hourly_bars(spark, d), (1,)).withColumns({"change_prob": (F.col("t") % 10) / 10.0, "regime": F.when(F.col("t") % 3 == 0, "trending_up").otherwise("mean_reverting")})
     return out(RU.change_point_size(b), "symbol t vol_class blocked", "vol_ratio multiplier")
