@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, chat_format, decontaminate, mixing, quality_rules, simhash, suffix_dedup, token_counts, url_filter, warc
+from . import bpe, byte_cnn, chat_format, decontaminate, fim, mixing, quality_rules, simhash, suffix_dedup, token_counts, url_filter, warc, whitening
 from .common import fresh_path
 
 RULES = (
@@ -103,6 +103,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(ids).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened_rows(_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond 64 bits
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -114,10 +130,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_counts": op10_token_counts,
+    "op11_bpe": op11_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
+    "op13_fill_in_middle": fim.ORACLE_SQL,
 }
