@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,10 +14,12 @@ from pyspark.sql import functions as F
 from .common import slices
 from .pretokens import PreTokenizer
 
-#: Entries of a task's cache of encoded pre-tokens before it starts anew, and the longest pre-token it keeps.
+#: Entries of a worker's cache of encoded pre-tokens before it starts anew, and the longest pre-token it keeps.
 CACHE_ENTRIES, CACHED_CHARS = 400_000, 64
 #: Bytes of pre-tokens whose pairs one index covers; a longer pre-token has an index of its own.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
+#: Bytes of texts that a task handles at once, but for longer single texts.
+TEXT_BYTES = 1 << 20
 
 
 def byte_signs() -> dict[str, int]:
@@ -38,7 +39,7 @@ class ByteBpe:
         if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
             raise ValueError(f"{path} is not a plain byte-level BPE model")
         vocab, signs = model["vocab"], byte_signs()
-        self.of_byte = array("i", [vocab[s] for s, _ in sorted(signs.items(), key=lambda x: x[1])])
+        self.of_byte = np.array([vocab[s] for s, _ in sorted(signs.items(), key=lambda x: x[1])], np.int32)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         #: By rank: the two parts and what they become. By pair of parts: the rank.
         self.steps = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
@@ -46,6 +47,7 @@ class ByteBpe:
         made = {new: k for k, (_, _, new) in enumerate(self.steps)}
         if len(made) < len(merges) or any(made.get(x, -1) >= k for k, (a, b, _) in enumerate(self.steps) for x in (a, b)):
             raise ValueError(f"{path} makes a token in two ways or uses one before it is made, so ranks are not an order of merging")
+        self.first_ranks = np.array([[self.rank.get(a << 32 | b, -1) for b in self.of_byte.tolist()] for a in self.of_byte.tolist()], np.int32)
         size = max([*vocab.values(), *self.split.special.values()]) + 1
         strings = [b""] * size
         for t, k in vocab.items():
@@ -55,8 +57,10 @@ class ByteBpe:
         self.lengths = np.array([len(s) for s in strings], np.int64)
         self.begins = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        #: Ids of pre-tokens that this worker has met; ``encode_texts`` bounds it.
+        self.cache: dict[str, bytes] = {}
 
-    def merge(self, words: list[bytes]) -> list[array]:
+    def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The token ids of each word.
 
         The index maps the rank of each pair to all positions where the pair stands, over all words at once. Ranks are
@@ -64,36 +68,28 @@ class ByteBpe:
         their ranks, which are always higher. Entries that an earlier merge outdated are passed over when their list's turn
         comes; positions go from left to right, so of overlapping pairs the left one is merged.
         """
-        joined = b"".join(words)
+        joined = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         n = len(joined)
-        symbol = array("i", np.frombuffer(self.of_byte, np.int32)[np.frombuffer(joined, np.uint8)].tobytes())
-        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-        after[ends[sizes > 0] - 1] = -1
-        before[(ends - sizes)[sizes > 0]] = -1
-        after, before = array("i", after.tobytes()), array("i", before.tobytes())
-        where: dict[int, array] = {}
-        rank, steps = self.rank, self.steps
-        for p in range(n):
-            if after[p] >= 0 and (k := rank.get(symbol[p] << 32 | symbol[p + 1])) is not None:
-                if k in where:
-                    where[k].append(p)
-                else:
-                    where[k] = array("i", (p,))
-        active = list(where)
-        heapq.heapify(active)
-
-        def enter(k: int, p: int) -> None:
-            if k in where:
-                where[k].append(p)
-            else:
-                where[k] = array("i", (p,))
-                heapq.heappush(active, k)
-
+        closed = np.zeros(n + 1, bool)
+        closed[ends] = True
+        first = np.where(closed[1:n], -1, self.first_ranks[joined[:-1], joined[1:]]) if n else np.zeros(0, np.int32)
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        active, begin = np.unique(first[order], return_index=True)
+        where = dict(zip(active.tolist(), (x.tolist() for x in np.split(order, begin[1:])), strict=True)) if len(active) else {}
+        active = active.tolist()
+        symbol = self.of_byte[joined].tolist()
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[closed[1:]] = -1
+        before[closed[:n] | (before < 0)] = -1
+        after, before = after.tolist(), before.tolist()
+        rank, steps, push, pop = self.rank.get, self.steps, heapq.heappush, heapq.heappop
         while active:
-            k = heapq.heappop(active)
+            k = pop(active)
             left, right, new = steps[k]
+            ahead = new << 32
             for p in sorted(where.pop(k)):
                 if symbol[p] != left or (q := after[p]) < 0 or symbol[q] != right:
                     continue
@@ -101,11 +97,19 @@ class ByteBpe:
                 after[p] = r = after[q]
                 if r >= 0:
                     before[r] = p
-                    if (j := rank.get(new << 32 | symbol[r])) is not None:
-                        enter(j, p)
-                if (o := before[p]) >= 0 and (j := rank.get(symbol[o] << 32 | new)) is not None:
-                    enter(j, o)
-        ids = np.frombuffer(symbol, np.int32) if n else np.zeros(0, np.int32)
+                    if (j := rank(ahead | symbol[r])) is not None:
+                        if j in where:
+                            where[j].append(p)
+                        else:
+                            where[j] = [p]
+                            push(active, j)
+                if (o := before[p]) >= 0 and (j := rank(symbol[o] << 32 | new)) is not None:
+                    if j in where:
+                        where[j].append(o)
+                    else:
+                        where[j] = [o]
+                        push(active, j)
+        ids = np.array(symbol, np.int32)
         kept = np.r_[0, np.cumsum(ids >= 0)]
         ids = ids[ids >= 0]
         return [ids[a:b] for a, b in zip(kept[ends - sizes].tolist(), kept[ends].tolist(), strict=True)]
@@ -157,18 +161,24 @@ def encode_texts(model: ByteBpe, texts: list[str], cache: dict[str, bytes]) -> t
     return np.frombuffer(b"".join(got), np.int32), np.diff(sums[ends])
 
 
-def _mapped(df: DataFrame, source: str, out: str, kind: str, fill) -> DataFrame:
-    """All columns of the frame and ``out``, which ``fill(column)`` gives for each slice of ``source`` inside the tasks."""
-    keep = [c for c in df.columns if c.lower() != out.lower()]
+def _mapped(df: DataFrame, source: str, outs: dict[str, str], fill: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """All columns of the frame and ``outs`` (names and types), which ``fill`` gives for each slice of ``source`` inside the tasks."""
+    taken = {o.lower() for o in outs}
+    keep = [c for c in df.columns if c.lower() not in taken]
     kept = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{source}`").alias("the_source"))
-    schema = ", ".join([f"c{i} {kept.schema[i].dataType.simpleString()}" for i in range(len(keep))] + [f"made {kind}"])
+    names = [f"c{i}" for i in range(len(keep))] + [f"made{i}" for i in range(len(outs))]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, [*(f.dataType.simpleString() for f in kept.schema.fields[:-1]), *outs.values()], strict=True))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = fill()
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), make(batch.column("the_source"))], names=[*(f"c{i}" for i in range(len(keep))), "made"])
+        for batch in slices(batches, TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *make(batch.column("the_source"))], names=names)
+
+    return kept.mapInArrow(work, schema).select(*[F.col(n).alias(c) for n, c in zip(names, [*keep, *outs], strict=True)])
 
-    return kept.mapInArrow(work, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("made").alias(out))
+
+def _id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -179,16 +189,17 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     holds a slice of bounded bytes, or one text, and one index over the slice's new pre-tokens.
     """
 
-    def fill():
-        model, cache = load(path), {}
+    def fill() -> Callable[[pa.Array], list[pa.Array]]:
+        model = load(path)
+        return lambda column: [_id_lists(*encode_texts(model, [v.as_py() or "" for v in column], model.cache))]
 
-        def make(column: pa.Array) -> pa.Array:
-            ids, counts = encode_texts(model, [v.as_py() or "" for v in column], cache)
-            return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
+    return _mapped(df, text, {out: "array<int>"}, fill)
 
-        return make
 
-    return _mapped(df, text, out, "array<int>", fill)
+def _decoded(model: ByteBpe, column: pa.Array) -> pa.Array:
+    column = column.cast(pa.list_(pa.int64()))
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.array(model.decode(column.flatten().fill_null(-1).to_numpy(zero_copy_only=False), counts), pa.string())
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -197,20 +208,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     A null array is an empty text; null or unknown ids stand for nothing; bytes that are no UTF-8 become U+FFFD.
     """
 
-    def fill():
+    def fill() -> Callable[[pa.Array], list[pa.Array]]:
         model = load(path)
+        return lambda column: [_decoded(model, column)]
 
-        def make(column: pa.Array) -> pa.Array:
-            column = column.cast(pa.list_(pa.int64()))
-            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-            return pa.array(model.decode(flat, counts), pa.string())
+    return _mapped(df, ids, {out: "string"}, fill)
 
-        return make
 
-    return _mapped(df, ids, out, "string", fill)
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass, so the ids go through one Python worker only."""
+
+    def fill() -> Callable[[pa.Array], list[pa.Array]]:
+        model = load(path)
+
+        def both(column: pa.Array) -> list[pa.Array]:
+            lists = _id_lists(*encode_texts(model, [v.as_py() or "" for v in column], model.cache))
+            return [lists, _decoded(model, lists)]
 
+        return both
 
-def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``ids`` and ``decoded`` of each text."""
-    return decode(encode(df, path, text), path)
+    return _mapped(df, text, {ids: "array<int>", out: "string"}, fill)

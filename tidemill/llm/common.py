@@ -18,10 +18,10 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 SLICE_ROWS, SLICE_BYTES = 500, 8 << 20
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of bounded rows and, but for single rows, about bounded bytes; no setting of the session changes."""
     for batch in batches:
-        rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+        rows = max(1, min(SLICE_ROWS, size * batch.num_rows // max(batch.nbytes, 1)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
