@@ -19,6 +19,11 @@ def hour_number(ts: Column) -> Column:
     return (F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)).cast("long")
 
 
+def second_number(ts: Column) -> Column:
+    """Seconds since 1970, from the fields of the timestamp; fractions are cut off."""
+    return hour_number(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks of five symbols: symbol, t (hour), seq (order inside), price."""
     e = load(spark, sf_dir, "events")
