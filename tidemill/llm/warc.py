@@ -64,12 +64,12 @@ def write_warc(pages: DataFrame, path: str) -> None:
     low, mode = -1, "error"
     while low < max(largest, 1):
         part = caps if largest <= bound and low < 0 else caps.filter((F.col("n") > low) & (F.col("n") <= bound))
-        _write(part, path, max(1, FILE_BYTES // bound), mode)
+        _write(part, path, max(1, FILE_BYTES // bound), mode, low)
         low, bound, mode = bound, bound * 16, "append"
 
 
-def _write(caps: DataFrame, path: str, most: int, mode: str) -> None:
-    """Write captures, at most so many to a file."""
+def _write(caps: DataFrame, path: str, most: int, mode: str, group: int) -> None:
+    """Write captures of one size class, at most so many to a file. Rows are numbered within the class, so ids name it too."""
 
     def clean(uri: Column) -> Column:
         for c in "\r\n\t\x00":
@@ -77,7 +77,7 @@ def _write(caps: DataFrame, path: str, most: int, mode: str) -> None:
         return uri
 
     rows = caps.withColumns({"seq": F.monotonically_increasing_id(), "uri": clean(F.col("url")), "refers_uri": clean(F.col("refers_url"))})
-    rid = _urn(F.lit("response"), F.coalesce(F.col("page_id"), F.lit(-1)), F.col("seq"))
+    rid = _urn(F.lit("response"), F.lit(group), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("seq"))
     host_path = F.regexp_extract("uri", r"^.*?://[^/?#]*([^#]*)", 1)
     get = F.concat(F.lit("GET "), F.when(F.coalesce(host_path, F.lit("")) == "", F.lit("/")).otherwise(host_path), F.lit(f" HTTP/1.1{CRLF}{CRLF}"))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF + CRLF))
