@@ -5,6 +5,7 @@ import math
 import os
 
 import numpy as np
+import pytest
 import pandas as pd
 
 from tidemill.llm import byte_cnn, decontaminate, mixing, simhash, suffix_dedup, url_filter, warc
@@ -55,6 +56,29 @@ def test_repeated_rows_are_spread_over_nodes(spark, monkeypatch):
     assert sorted(map(repr, mixing.plan_mix(documents(spark, rows[::-1])).collect())) == sorted(map(repr, got))
 
 
+def test_one_long_document_does_not_spoil_a_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN_IN", 8)
+    rows = [(0, "w " * 5_000, "x"), (1, "w " * 3_000, "y")] + [(i, "w " * (3 + i % 40), "xyz"[i % 3]) for i in range(2, 700)]
+    for seed in range(3):
+        got = mixing.plan_mix(documents(spark, rows), seed=seed).collect()
+        assert len(got) == 700
+        for s in "xyz":
+            mine = [g for g in got if g.source == s]
+            assert abs(sum(g.taken for g in mine) - mine[0].target) <= 5 and all(g.taken <= 3 * g.size for g in mine)
+
+
+def test_picks_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 7)
+    rows = [(None, "w w w", "x")] * 2_000 + [(5, "w " * 900, "x")] + [(None, "v v v", "y")] * 1_500
+    plan = mixing.plan_mix(documents(spark, rows)).toPandas()
+    assert len(plan) == len(rows)
+    for s in "xy":
+        assert abs(plan[plan.source == s].taken.sum() - plan[plan.source == s].target.iloc[0]) <= 3
+    got = mixing.mix(documents(spark, rows)).groupBy("source", "copy").count().collect()
+    want = {(s, k): int((plan[plan.source == s].copies > k).sum()) for s in "xy" for k in range(3)}
+    assert {(r.source, r.copy): r["count"] for r in got} == {k: v for k, v in want.items() if v}
+
+
 def test_large_pages_fill_small_files(spark, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 6000)
     monkeypatch.setattr(warc, "FILE_CAPTURES", 3)
@@ -68,6 +92,17 @@ def test_large_pages_fill_small_files(spark, monkeypatch):
     assert len(got) == 23 and got[100].record_type == "revisit" and got[100].refers_to == 101 and got[102].payload_bytes == 0
 
 
+@pytest.mark.parametrize("ids", [[None] * 40, [7] * 40, [None if k % 2 else k // 4 for k in range(40)]])
+def test_captures_of_all_sizes_with_null_and_repeated_ids(spark, ids):
+    sizes = [(k % 2) * 100_000 + 2_000 + 50 * k for k in range(40)]
+    rows = [(i, f"http://x/{k}", chr(97 + k % 26) * n) for k, (i, n) in enumerate(zip(ids, sizes, strict=True))]
+    path = fresh_path(spark, "warc-ids")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), path)
+    whole = warc.assemble(spark, path).cache()
+    assert sorted((r.metadata.fields.get("pageId"), r.url, r.response.payload_bytes) if r.metadata.fields.get("pageId") else ("", r.url, r.response.payload_bytes) for r in whole.collect()) == sorted(("" if i is None else str(i), u, len(h)) for i, u, h in rows)
+    assert whole.select("response.record_id").distinct().count() == 40
+
+
 def test_url_scores_match_plain_version():
     r = np.random.default_rng(1)
     model = url_filter.UrlModel(r.normal(size=1 << url_filter.BITS), 0.25)

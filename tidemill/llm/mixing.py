@@ -12,6 +12,10 @@ from .common import WORD_PATTERN, cut, let
 FAN_IN = 64
 #: A document may be taken so many times.
 MOST = 3
+#: Repeated rows that one array counts.
+BLOCK_ROWS = 4096
+#: Groups over which documents of one source and size are dealt while some of them are picked.
+SALTS = 64
 
 
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -88,13 +92,14 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int
     """doc_id, size, source_size, target, taken (copies * size), copies and source of every document.
 
     Every document of a source gets target / source_size copies in expectation: the whole part for sure, the rest by
-    pivotal rounding over documents of the source, so the words taken from a source miss its target by less than one
-    document (null or empty texts: no words, no copies). Randomness is a hash of doc_id, size and a number among rows
+    pivotal rounding over documents of the source. What the last document of the tree leaves is settled by documents of
+    the right sizes (``settled``), so the words taken from a source miss its target by less than its smallest documents
+    that can still change (null or empty texts: no words, no copies). Randomness is a hash of doc_id, size and a number among rows
     that agree in source and both: reruns agree, and rows that are repeated, or lack an id, are documents of their own that
     may fall differently and are spread over nodes like all others. A null source is a source; a null
     doc_id is a document. Nodes of the tree are hash blocks of about FAN_IN documents, so a hot source is many nodes.
     """
-    sized = cut(sizes(docs).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows"))
+    sized = cut(sizes(docs).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / BLOCK_ROWS)))).withColumn("k", F.explode(F.sequence(F.col("block") * BLOCK_ROWS + 1, F.least("rows", (F.col("block") + 1) * BLOCK_ROWS)))).drop("rows", "block"))
     targets = cut(source_targets(sized, weights))
     most = targets.agg(F.max("n_sized")).head()[0] or 0
     x = F.try_divide(F.col("target"), F.col("source_size").cast("double"))  # null for a source without words
@@ -121,30 +126,78 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int
             break
         open_ = folded.filter(rest.isNotNull()).select(*key, F.floor(F.col("node") / FAN_IN).alias("node"), rest.alias("item"))
         nodes, level = -(-nodes // FAN_IN), level + 1
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    decided = parts[1]
+    for p in parts[2:]:
+        decided = decided.unionByName(p)
+    out = sure.unionByName(settled(decided, key, seed))
     copies = F.when(F.col("size") > 0, F.least(F.lit(MOST), F.coalesce("whole", F.lit(0)) + F.col("extra"))).otherwise(F.lit(0)).cast("int")
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), "source")
 
 
+def _picks(sizes: Column, error: Column) -> Column:
+    """How many documents of each size to change so that their words come to ``error``: sizes (size, n) from the largest, as many as
+    fit; in the end one more of the size left over last, if that brings the words nearer."""
+    start = F.struct(error.alias("left"), F.array().cast("array<struct<size:bigint,n:bigint>>").alias("picks"))
+
+    def take(acc: Column, s: Column) -> Column:
+        n = F.least(s["n"], F.floor(acc["left"] / s["size"]))
+        more = (n < s["n"]) & (2 * (acc["left"] - n * s["size"]) > s["size"]) & s["last"]
+        n = n + more.cast("int")
+        return F.when(n <= 0, acc).otherwise(F.struct((acc["left"] - n * s["size"]).alias("left"), F.concat(acc["picks"], F.array(F.struct(s["size"].alias("size"), n.alias("n")))).alias("picks")))
+
+    return F.aggregate(sizes, start, take)["picks"]
+
+
+def settled(decided: DataFrame, key: list[str], seed: int = 1) -> DataFrame:
+    """The rounded documents (key, doc_id, size, extra), a few of them changed so that each source's words come near its target.
+
+    The error of a source is at most its last document. Documents that can take it up have the extra copy if there are too many
+    words, lack it if there are too few, and are not larger than the error. They are counted by size, the counts of a source
+    (as many as it has sizes of that kind, not documents) are folded from the largest size, and of each size as many documents as
+    the fold says are picked by hash: first in each of SALTS groups, then among those. All of it is sums, counts and limits.
+    """
+    part = F.col("target") / F.col("source_size") - F.col("whole")
+    error = decided.groupBy(*key).agg((F.sum(F.col("extra") * F.col("size")) - F.sum("size") * F.first(part)).alias("error")).filter("abs(error) >= 0.5")
+    error = error.select(F.col("source").alias("e_source"), "error")
+    near = decided.join(error, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
+    fits = F.coalesce((F.col("extra") == (F.col("error") > 0).cast("int")) & (F.col("size") < 2 * F.abs("error")), F.lit(False))
+    counts = near.filter(fits).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.first(F.abs("error")).alias("error"))
+    lists = counts.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"), F.first("error").alias("error"))
+    marked = F.transform("sizes", lambda s, i: F.struct(s["size"].alias("size"), s["n"].alias("n"), (i == F.size("sizes") - 1).alias("last")))
+    picks = cut(lists.select(F.col("source").alias("p_source"), F.explode(_picks(marked, F.col("error"))).alias("p")).select("p_source", F.col("p.size").alias("p_size"), F.col("p.n").alias("p_n")))
+    most = picks.agg(F.max("p_n")).head()[0]
+    if not most:
+        return decided
+    both = near.withColumn("fits", fits).join(picks, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & F.col("fits"), "left")
+    chance = F.xxhash64("doc_id", "size", F.lit(seed))
+    salted = Window.partitionBy("source", "size", F.pmod(F.xxhash64(chance), F.lit(SALTS))).orderBy(chance, "doc_id")
+    asked = both.filter("p_n IS NOT NULL").withColumn("place", F.row_number().over(salted))
+    first = asked.filter("place <= p_n").withColumn("place", F.row_number().over(Window.partitionBy("source", "size").orderBy(chance, "doc_id")))
+    changed = first.withColumn("extra", F.when(F.col("place") <= F.col("p_n"), 1 - F.col("extra")).otherwise(F.col("extra")))
+    out = [*key, "doc_id", "size", "extra"]
+    return both.filter("p_n IS NULL").select(*out).unionByName(asked.filter("place > p_n").select(*out)).unionByName(changed.select(*out))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 1) -> DataFrame:
     """The mixed corpus: the input's rows, each as often as the plan takes it, with the column ``copy`` (0, 1, 2).
 
     A row belongs to its plan by doc_id, source and size; rows that agree in all of these share the plans of their
-    number, which are interchangeable. Rows that the mix does not take are absent.
+    number, which are interchangeable. Rows that the mix does not take are absent. A group of such rows is four counts,
+    of rows taken three times, twice, once and never, whatever its size; its rows take them in the order of their texts' hashes.
     """
     plan = plan_mix(docs, weights, seed)
-    per = plan.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    per = per.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "copies")
+    per = plan.groupBy(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size")).agg(
+        F.count(F.lit(1)).alias("p_rows"), F.max("copies").alias("p_most"), F.min("copies").alias("p_least"), *[F.count_if(F.col("copies") >= k).alias(f"p_{k}") for k in range(1, MOST + 1)]
+    )
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     both = docs.select(row, "doc_id", "source", size.alias("size")).join(
         per, F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
     )
-    # Rows that share a plan list take its average in turn; the lists of all but repeated rows have one entry.
-    alone = F.size("copies") == 1
+    # Only rows that are repeated and differ in copies have to be told apart by a number.
+    alike = F.col("p_most") == F.col("p_least")
     turn = F.row_number().over(Window.partitionBy("p_id", "p_source", "p_size").orderBy(F.xxhash64("row.text")))  # stable if a task runs again
-    one = both.filter(alone).select("row", F.col("copies")[0].alias("n"))
-    many = both.filter(~alone).select("row", F.element_at("copies", turn).alias("n"))
+    one = both.filter(alike).select("row", F.col("p_most").alias("n"))
+    copies = sum((turn <= F.col(f"p_{k}")).cast("int") for k in range(1, MOST + 1))
+    many = both.filter(~alike).select("row", copies.alias("n"))
     return one.unionByName(many).filter("n > 0").select("row.*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
