@@ -121,61 +121,69 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int
         parts.append(folded.select(*key, F.inline("f.decided")))
         rest = F.col("f.rest")
         if nodes == 1:
-            last = F.when(_uniform(rest["rank"], rest["doc_id"], F.lit(seed + 2 + level)) < rest["x"], F.lit(1)).otherwise(F.lit(0))
-            parts.append(folded.filter(rest.isNotNull()).select(*key, rest["doc_id"].alias("doc_id"), rest["size"].alias("size"), last.alias("extra")))
+            up = _uniform(rest["rank"], rest["doc_id"], F.lit(seed + 2 + level)) < rest["x"]
+            last = folded.filter(rest.isNotNull()).select(*key, rest["doc_id"].alias("doc_id"), rest["size"].alias("size"), F.lit(0).alias("extra"), up.alias("up"))
             break
         open_ = folded.filter(rest.isNotNull()).select(*key, F.floor(F.col("node") / FAN_IN).alias("node"), rest.alias("item"))
         nodes, level = -(-nodes // FAN_IN), level + 1
     decided = parts[1]
     for p in parts[2:]:
         decided = decided.unionByName(p)
-    out = sure.unionByName(settled(decided, key, seed))
+    out = sure.unionByName(settled(decided, last, key, seed))
     copies = F.when(F.col("size") > 0, F.least(F.lit(MOST), F.coalesce("whole", F.lit(0)) + F.col("extra"))).otherwise(F.lit(0)).cast("int")
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), "source")
 
 
-def _picks(sizes: Column, error: Column) -> Column:
-    """How many documents of each size to change so that their words come to ``error``: sizes (size, n) from the largest, as many as
-    fit; in the end one more of the size left over last, if that brings the words nearer."""
-    start = F.struct(error.alias("left"), F.array().cast("array<struct<size:bigint,n:bigint>>").alias("picks"))
+def _picks(sizes: Column, words: Column) -> Column:
+    """How many documents of each size come to ``words``: sizes (size, n) from the largest, as many as fit; in the end one more of
+    the smallest size, if that brings the words nearer. Result: ``left`` and ``picks``."""
+    start = F.struct(words.alias("left"), F.array().cast("array<struct<size:bigint,n:bigint>>").alias("picks"))
 
     def take(acc: Column, s: Column) -> Column:
         n = F.least(s["n"], F.floor(acc["left"] / s["size"]))
-        more = (n < s["n"]) & (2 * (acc["left"] - n * s["size"]) > s["size"]) & s["last"]
-        n = n + more.cast("int")
+        n = n + ((n < s["n"]) & (2 * (acc["left"] - n * s["size"]) > s["size"]) & s["last"]).cast("int")
         return F.when(n <= 0, acc).otherwise(F.struct((acc["left"] - n * s["size"]).alias("left"), F.concat(acc["picks"], F.array(F.struct(s["size"].alias("size"), n.alias("n")))).alias("picks")))
 
-    return F.aggregate(sizes, start, take)["picks"]
+    return F.aggregate(F.transform(sizes, lambda s, i: F.struct(s["size"].alias("size"), s["n"].alias("n"), (i == F.size(sizes) - 1).alias("last"))), start, take)
 
 
-def settled(decided: DataFrame, key: list[str], seed: int = 1) -> DataFrame:
-    """The rounded documents (key, doc_id, size, extra), a few of them changed so that each source's words come near its target.
+def settled(decided: DataFrame, last: DataFrame, key: list[str], seed: int = 1) -> DataFrame:
+    """key, doc_id, size, extra of all rounded documents, the last one of each source among them.
 
-    The error of a source is at most its last document. Documents that can take it up have the extra copy if there are too many
-    words, lack it if there are too few, and are not larger than the error. They are counted by size, the counts of a source
-    (as many as it has sizes of that kind, not documents) are folded from the largest size, and of each size as many documents as
-    the fold says are picked by hash: first in each of SALTS groups, then among those. All of it is sums, counts and limits.
+    ``last`` has at most one document a source, with ``up``, how chance would round it. Without its extra copy some words are
+    missing, with it there are too many. Either is made up for by other documents: by extra copies of some that have none, or by
+    taking back those of some that have one. Documents that are not far larger than what is to be made up for are counted by size,
+    the counts of a source (as many as it has such sizes, not documents) are folded from the largest, and chance decides
+    unless the other way comes nearer by a thousandth of the target. Of each size as many documents as the fold says are picked by
+    hash: first in each of SALTS groups, then among those. All of it is sums, counts and limits, with one row a source and size.
     """
-    part = F.col("target") / F.col("source_size") - F.col("whole")
-    error = decided.groupBy(*key).agg((F.sum(F.col("extra") * F.col("size")) - F.sum("size") * F.first(part)).alias("error")).filter("abs(error) >= 0.5")
-    error = error.select(F.col("source").alias("e_source"), "error")
-    near = decided.join(error, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
-    fits = F.coalesce((F.col("extra") == (F.col("error") > 0).cast("int")) & (F.col("size") < 2 * F.abs("error")), F.lit(False))
-    counts = near.filter(fits).groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.first(F.abs("error")).alias("error"))
-    lists = counts.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"), F.first("error").alias("error"))
-    marked = F.transform("sizes", lambda s, i: F.struct(s["size"].alias("size"), s["n"].alias("n"), (i == F.size("sizes") - 1).alias("last")))
-    picks = cut(lists.select(F.col("source").alias("p_source"), F.explode(_picks(marked, F.col("error"))).alias("p")).select("p_source", F.col("p.size").alias("p_size"), F.col("p.n").alias("p_n")))
+    given = decided.groupBy(*key).agg(F.sum(F.col("extra") * F.col("size")).alias("words"), F.sum("size").alias("sizes"))
+    both = last.withColumnsRenamed({k: f"l_{k}" for k in last.columns}).join(given, F.col("source").eqNullSafe(F.col("l_source")), "left")
+    want = F.col("l_target") / F.col("l_source_size") - F.col("l_whole")
+    missing = want * (F.coalesce("sizes", F.lit(0)) + F.col("l_size")) - F.coalesce("words", F.lit(0))
+    ways = F.array(F.struct(F.lit(0).alias("way"), missing.alias("need")), F.struct(F.lit(1).alias("way"), (F.col("l_size") - missing).alias("need")))
+    ways = cut(both.select(F.col("l_source").alias("w_source"), F.col("l_target").alias("w_target"), F.col("l_up").alias("up"), F.inline(ways)))
+    counts = decided.join(ways, F.col("source").eqNullSafe(F.col("w_source")) & (F.col("extra") == F.col("way")) & (F.col("size") < 2 * F.col("need"))).groupBy("source", "way", "size")
+    lists = counts.agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).groupBy("source", "way").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"), F.first("need").alias("f_need"))
+    folded = lists.select(F.col("source").alias("f_source"), F.col("way").alias("f_way"), _picks(F.col("sizes"), F.col("f_need")).alias("f"))
+    tried = ways.join(folded, F.col("w_source").eqNullSafe(F.col("f_source")) & (F.col("way") == F.col("f_way")), "left").withColumn("off", F.abs(F.coalesce("f.left", "need")))
+    off = [F.max(F.when(F.col("way") == k, F.col("off"))).over(Window.partitionBy("w_source")) for k in (0, 1)]
+    chance, slack = F.col("up").cast("int"), F.col("w_target") / 1000
+    better = F.when((chance == 1) & (off[1] > off[0] + slack), 0).when((chance == 0) & (off[0] > off[1] + slack), 1).otherwise(chance)
+    chosen = cut(tried.withColumn("better", better).filter("way = better").select("w_source", "way", "f.picks"))
+    picks = cut(chosen.select(F.col("w_source").alias("p_source"), F.col("way").alias("p_way"), F.inline("picks")).withColumnsRenamed({"size": "p_size", "n": "p_n"}))
+    out = [*key, "doc_id", "size", "extra"]
+    ends = last.drop("extra").join(chosen, F.col("source").eqNullSafe(F.col("w_source"))).withColumn("extra", F.col("way")).select(*out)
     most = picks.agg(F.max("p_n")).head()[0]
     if not most:
-        return decided
-    both = near.withColumn("fits", fits).join(picks, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & F.col("fits"), "left")
-    chance = F.xxhash64("doc_id", "size", F.lit(seed))
-    salted = Window.partitionBy("source", "size", F.pmod(F.xxhash64(chance), F.lit(SALTS))).orderBy(chance, "doc_id")
-    asked = both.filter("p_n IS NOT NULL").withColumn("place", F.row_number().over(salted))
-    first = asked.filter("place <= p_n").withColumn("place", F.row_number().over(Window.partitionBy("source", "size").orderBy(chance, "doc_id")))
+        return decided.select(*out).unionByName(ends)
+    some = decided.join(picks, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")) & (F.col("extra") == F.col("p_way")), "left")
+    draw = F.xxhash64("doc_id", "size", F.lit(seed))
+    salted = Window.partitionBy("source", "size", F.pmod(F.xxhash64(draw), F.lit(SALTS))).orderBy(draw, "doc_id")
+    asked = some.filter("p_n IS NOT NULL").withColumn("place", F.row_number().over(salted))
+    first = asked.filter("place <= p_n").withColumn("place", F.row_number().over(Window.partitionBy("source", "size").orderBy(draw, "doc_id")))
     changed = first.withColumn("extra", F.when(F.col("place") <= F.col("p_n"), 1 - F.col("extra")).otherwise(F.col("extra")))
-    out = [*key, "doc_id", "size", "extra"]
-    return both.filter("p_n IS NULL").select(*out).unionByName(asked.filter("place > p_n").select(*out)).unionByName(changed.select(*out))
+    return some.filter("p_n IS NULL").select(*out).unionByName(asked.filter("place > p_n").select(*out)).unionByName(changed.select(*out)).unionByName(ends)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), seed: int = 1) -> DataFrame:
