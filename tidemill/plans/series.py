@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import chunks as C
+from ..sources import pages as P
 from ..sources import tables as S
 from .market import BARS, W, _r, out, query
 
@@ -75,3 +77,16 @@ SELECT symbol, t, momentum_direction, coalesce((momentum_direction = 'long' AND
 def chunked_flows(spark: SparkSession, d: str) -> DataFrame:
     """Balance of volume, the adaptive mean and the momentum score."""
     return out(features(spark, d), "symbol t momentum_direction trend_aligned", FLOWS)
+
+
+@query(f"""{BARS}, c AS (SELECT min(t) + 300 AS cut FROM bars) SELECT symbol, t, open, high, low, close, volume, CASE WHEN t < cut THEN 1 ELSE 2 END AS refresh FROM bars, c""")
+def paged_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Bars cached from pages in two refreshes: pages hold the first 300 hours, then all; the second refresh takes what is later."""
+    bars = S.hourly_bars(spark, d)
+    pages, cache = P.new_folder(spark, "pages"), P.new_folder(spark, "cache")
+    first = bars.join(F.broadcast(bars.agg((F.min("t") + 300).alias("cut"))), F.col("t") < F.col("cut")).drop("cut")  # one row
+    P.write_pages(first, pages)
+    P.refresh(spark, pages, cache)
+    P.write_pages(bars, pages)
+    P.refresh(spark, pages, cache)
+    return P.cached(spark, cache)
