@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunks as C
+from ..operators import unit_roots as U
 from ..sources import pages as P
 from ..sources import tables as S
 from .market import BARS, W, _r, out, query
@@ -90,3 +91,35 @@ def paged_refresh(spark: SparkSession, d: str) -> DataFrame:
     P.write_pages(bars, pages)
     P.refresh(spark, pages, cache)
     return P.cached(spark, cache)
+
+
+_SWEEP = "list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - m[i][s + 1] * m[s + 1][j] / m[s + 1][s + 1]))"
+
+PAIRS = f"""WITH RECURSIVE {BARS.removeprefix("WITH ")}, p AS (SELECT x.symbol AS a, y.symbol AS b, x.t, x.close AS x, y.close AS y FROM bars x JOIN bars y ON x.t = y.t AND x.symbol < y.symbol),
+f AS (SELECT a, b, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / var_pop(y) AS beta FROM p GROUP BY 1, 2 HAVING count(*) >= 40),
+e AS (SELECT p.a, p.b, t, n, CAST(least(ceil(12 * power(n / 100, 0.25)), n // 2 - 1) AS INTEGER) AS most, (x - mx) - beta * (y - my) AS e FROM p JOIN f ON p.a = f.a AND p.b = f.b),
+l AS (SELECT *, lag(e) OVER w AS q, e - lag(e) OVER w AS y, row_number() OVER w AS i FROM e WINDOW w AS (PARTITION BY a, b ORDER BY t)),
+v AS (SELECT *, list_reverse(list(y) FILTER (y IS NOT NULL) OVER (PARTITION BY a, b ORDER BY t ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)) AS past FROM l),
+v1 AS (SELECT a, b, most, [q] || past[1:most] || [y] AS v FROM v WHERE i >= most + 2), g1 AS (SELECT a, b, most, i, j, sum(v[i] * v[j]) AS x, count(*) AS n FROM v1, unnest(range(1, most + 3)) t(i), unnest(range(1, most + 3)) u(j) GROUP BY 1, 2, 3, 4, 5),
+r1 AS (SELECT a, b, most, n, i, list(x ORDER BY j) AS r FROM g1 GROUP BY 1, 2, 3, 4, 5), m1(a, b, most, n, s, m) AS (SELECT a, b, most, n, 0, list(r ORDER BY i) FROM r1 GROUP BY 1, 2, 3, 4 UNION ALL SELECT a, b, most, n, s + 1, {_SWEEP} FROM m1 WHERE s <= most),
+best AS (SELECT a, b, arg_min(s - 1, row(n * ln(m[most + 2][most + 2] / n) + 2 * s, s)) AS k FROM m1 WHERE s > 0 GROUP BY 1, 2),
+v2 AS (SELECT v.a, v.b, k, coalesce(past[1:k], []) || [q, y] AS v FROM v JOIN best ON v.a = best.a AND v.b = best.b WHERE i >= k + 2), g2 AS (SELECT a, b, k, i, j, sum(v[i] * v[j]) AS x, count(*) AS n FROM v2, unnest(range(1, k + 3)) t(i), unnest(range(1, k + 3)) u(j) GROUP BY 1, 2, 3, 4, 5),
+r2 AS (SELECT a, b, k, n, i, list(x ORDER BY j) AS r FROM g2 GROUP BY 1, 2, 3, 4, 5), m2(a, b, k, n, s, m) AS (SELECT a, b, k, n, 0, list(r ORDER BY i) FROM r2 GROUP BY 1, 2, 3, 4 UNION ALL SELECT a, b, k, n, s + 1, {_SWEEP} FROM m2 WHERE s < k),
+z AS (SELECT a, b, k, n, m[k + 1][k + 2] / m[k + 1][k + 1] / sqrt(greatest(m[k + 2][k + 2] - m[k + 1][k + 2] ** 2 / m[k + 1][k + 1], 0) / (n - k - 1) / m[k + 1][k + 1]) AS tau FROM m2 WHERE s = k),
+h AS (SELECT a, b, regr_slope(y, q) AS lam, stddev_pop(e) AS spread_std FROM l GROUP BY 1, 2),
+c AS (SELECT *, CASE WHEN tau <= -2.62 THEN 2.92 + 1.5012 * tau + 0.039796 * tau ** 2 ELSE 2.1945 + 0.64695 * tau - 0.29198 * tau ** 2 - 0.042377 * tau ** 3 END AS x FROM z),
+w AS (SELECT f.a, f.b, f.n, beta AS hedge_ratio, spread_std, k AS lags, tau AS statistic, tau, x, CASE WHEN lam < 0 AND lam > -1 THEN -ln(2) / ln(1 + lam) END AS half_life FROM f JOIN c ON f.a = c.a AND f.b = c.b JOIN h ON f.a = h.a AND f.b = h.b)"""
+
+
+@query(f"{PAIRS} SELECT a, b, n, lags, {_r('hedge_ratio spread_std statistic half_life')}, tau < -3.3377 AS below FROM w")
+def augmented_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Two-step tests of all pairs of symbols, lags by Akaike's criterion; ``below``: the statistic lies below the critical value of 5 %."""
+    tested = U.cointegrated_pairs(S.hourly_bars(spark, d), "symbol", "t", "close", WIDTH, least=40)
+    return out(tested.withColumn("below", F.col("statistic") < -3.3377), "a b n lags below", "hedge_ratio spread_std statistic half_life")
+
+
+@query(f"{PAIRS} SELECT a, b, round(hedge_ratio, 4) AS hedge_ratio, round(half_life, 2) AS half_life, round(spread_std, 6) AS spread_std FROM w WHERE tau < -3.4 AND half_life IS NOT NULL ORDER BY tau, a, b LIMIT 4")
+def pair_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The four pairs of the lowest statistic, of those below the critical value (a report of few rows)."""
+    tested = U.cointegrated_pairs(S.hourly_bars(spark, d), "symbol", "t", "close", WIDTH, least=40)
+    return U.best_pairs(tested.withColumns({"cointegrated": F.col("statistic") < -3.4, "p": F.col("statistic")}), 4).select("a", "b", F.round("hedge_ratio", 4).alias("hedge_ratio"), F.round("half_life", 2).alias("half_life"), F.round("spread_std", 6).alias("spread_std"))
