@@ -2,63 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors that one pass carries to the workers; more queries take more passes.
-BLOCK = 4096
+#: Rows of the bank and queries that meet in one task.
+BANK_ROWS, QUERY_ROWS = 1 << 16, 1 << 12
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
 
 
-def nearest(bank: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query, neighbour, similarity, rank: the k most similar rows of the bank for each query, itself left out.
+def usable(df: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vector is there, not empty and all finite."""
+    return df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
 
-    Queries go to the workers in blocks of bounded size; each task keeps its own k best of each query by one matrix
-    product, so k rows a task and query are shuffled, not all pairs.
+def best_in_groups(bank: DataFrame, queries: DataFrame, k: int, on: list[str]) -> DataFrame:
+    """query, neighbour, similarity, rank: of the bank rows (id, v, on) in a query's groups the k most similar ones.
+
+    Both sides of a group (query, v, on) are cut into blocks by a hash, as many as their counts ask for, and every block of queries
+    meets every block of the bank in a task of its own by one matrix product. A task hands on its own k best of each query, so what
+    is shuffled after that is k rows a task and query. A row is no neighbour of its own; vectors meet those of their length.
     """
-    spark = bank.sparkSession
-    rows = queries.select(key, vector).orderBy(key).toLocalIterator()
-    out, block = None, []
-
-    def one(block: list) -> DataFrame:
-        ids = np.array([r[0] for r in block], np.int64)
-        q = spark.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in block], np.float64))))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, unit = q.value
-            for b in batches:
-                if not len(b):
-                    continue
-                s = unit @ _unit(np.stack(b[vector].to_numpy()).astype(np.float64)).T
-                own = b[key].to_numpy()
-                s[ids[:, None] == own[None, :]] = -np.inf
-                take = min(k + 8, s.shape[1])  # ties at the edge are settled by id below
-                top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                sim = np.take_along_axis(s, top, 1)
-                keep = np.isfinite(sim)
-                yield pd.DataFrame({"query": np.repeat(ids, take)[keep.ravel()], "neighbour": own[top].ravel()[keep.ravel()], "similarity": sim.ravel()[keep.ravel()]})
-
-        return bank.select(key, vector).mapInPandas(run, "query long, neighbour long, similarity double")
-
-    for r in rows:
-        block.append(r)
-        if len(block) == BLOCK:
-            out = one(block) if out is None else out.unionByName(one(block))
-            block = []
-    if block:
-        out = one(block) if out is None else out.unionByName(one(block))
-    if out is None:
-        out = spark.createDataFrame([], "query long, neighbour long, similarity double")
+    bank, queries = (usable(x, "v").withColumn("_len", F.size("v")) for x in (bank, queries))
+    on = [*on, "_len"]
+    counts = bank.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BANK_ROWS).alias("_bs")).join(queries.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("_qs")), on)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    b = bank.join(counts, on).select(*on, "id", "v", block("id", "_bs").alias("_b"), spread("_qs").alias("_q"))
+    q = queries.join(counts, on).select(*on, "query", "v", block("query", "_qs").alias("_q"), spread("_bs").alias("_b"))
+
+    def tops(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query": [], "neighbour": [], "similarity": []}).astype({"query": "int64", "neighbour": "int64"})
+        ids, own = left["query"].to_numpy(), right["id"].to_numpy()
+        s = _unit(np.stack(left.v.to_numpy()).astype(np.float64)) @ _unit(np.stack(right.v.to_numpy()).astype(np.float64)).T
+        s[ids[:, None] == own[None, :]] = -np.inf
+        take = min(k + 8, s.shape[1])  # ties at the edge are settled by id below
+        top = np.argpartition(-s, take - 1, axis=1)[:, :take]
+        sim = np.take_along_axis(s, top, 1)
+        keep = np.isfinite(sim).ravel()
+        return pd.DataFrame({"query": np.repeat(ids, take)[keep], "neighbour": own[top].ravel()[keep], "similarity": sim.ravel()[keep]})
+
+    keys = [*on, "_q", "_b"]
+    found = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(tops, "query long, neighbour long, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "neighbour")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def nearest(bank: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query, neighbour, similarity, rank: the k most similar rows of the whole bank for each query, itself left out."""
+    one = lambda d, name: d.select(F.col(key).cast("long").alias(name), F.col(vector).cast("array<double>").alias("v"))
+    return best_in_groups(one(bank, "id"), one(queries, "query"), k, [])
 
 
 def neighbour_stats(found: DataFrame, bank: DataFrame, outcome: str, key: str = "vec_id") -> DataFrame:
