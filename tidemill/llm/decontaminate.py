@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices
+from .common import byte_texts, slices, tidy
 from .suffix_dedup import PrefixHash, _mix, _powers
 
 #: Tokens of the shortest tile, which is also the seed, and the share of a test's tokens that tiles must cover.
@@ -294,7 +294,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = SEED_TOKENS,
                 types = [kind, pa.int64(), pa.int64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(who, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=names)
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

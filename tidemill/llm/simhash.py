@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, cut, slices, spare_name, stored
+from .common import byte_texts, cut, slices, spare_name, stored, tidy
 from .components import components
 
 SEED = 42
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
             fp = np.array([g[0] for g in got], np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[1] for g in got], pa.int64()), *[pa.array(fp[:, k]) for k in range(words)]], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}"] + [f"{c} long" for c in names[1:]]))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), ", ".join([f"doc_id {kind}"] + [f"{c} long" for c in names[1:]]))
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -220,7 +220,7 @@ def links(grouped: DataFrame, radius: int, every: bool = False) -> DataFrame:
         if held:
             yield from find(held, radius)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _groups(held: list[pa.RecordBatch], radius: int) -> Iterator[tuple[pa.Table, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
@@ -297,7 +297,7 @@ def _shingle_nodes(known: DataFrame, shingle: int, words: int) -> DataFrame:
             keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(bands).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(3)], *[pa.array(c) for c in fp.T.copy()], keys], names=[*names, "bands"])
 
-    return known.select("doc_id", "t0", "t1", "text").mapInArrow(run, ", ".join([f"doc_id {kind}"] + [f"{c} long" for c in names[1:]] + ["bands array<long>"]))
+    return known.select("doc_id", "t0", "t1", "text").mapInArrow(tidy(run), ", ".join([f"doc_id {kind}"] + [f"{c} long" for c in names[1:]] + ["bands array<long>"]))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -347,7 +347,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words
                     h = pa.array(shingle_hashes(t, shingle).view(np.int64))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), pa.ListArray.from_arrays(pa.array([0, len(h)], pa.int32()), h)], names=["id", "shingles"])
 
-        return cut(texts.mapInArrow(run, "id long, shingles array<long>"))
+        return cut(texts.mapInArrow(tidy(run), "id long, shingles array<long>"))
 
     forest = cut(links(by_bands(apart), radius))
     # Every set with a candidate is in the forest, so these are all the sets that either round of judging needs.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest as digest
 
-from .common import byte_texts, cut, fresh_path, slices
+from .common import byte_texts, cut, fresh_path, slices, tidy
 
 K = 64
 #: Window starts hashed at once; a longer text is hashed in overlapping pieces.
@@ -369,7 +369,7 @@ def _kinds(keyed: DataFrame, length: int, k: int) -> DataFrame:
                 kinds, n = np.unique(kinds, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds["h"]), pa.array(kinds["c"]), pa.array(n.astype(np.int32))], names=["h", "c", "n"])
 
-    rows = keyed.select("text").mapInArrow(run, "h long, c long, n int").repartition("h")
+    rows = keyed.select("text").mapInArrow(tidy(run), "h long, c long, n int").repartition("h")
     rows = rows.groupBy("h", "c").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("h")
     rows = rows.withColumns({"total": F.sum("n").over(w), "kinds": F.count(F.lit(1)).over(w)})
@@ -394,7 +394,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
             for owner, h, c, place, lo, hi in context_digests(list(byte_texts(batch, "text")), length, k):
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(doc[owner]), pa.array(th[owner]), pa.array(tn[owner]), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16))], names=["h", "c", *KEY, "at", "lo", "hi"])
 
-    found = keyed.mapInArrow(find, "h long, c long, doc long, th long, tn long, at int, lo short, hi short")
+    found = keyed.mapInArrow(tidy(find), "h long, c long, doc long, th long, tn long, at int, lo short, hi short")
     stored = fresh_path(spark, "anchors")
     found.join(kinds, (F.col("h") == F.col("kh")) & (F.col("c") == F.col("kc"))).drop("kh", "kc").write.parquet(stored)
     places = spark.read.parquet(stored)
@@ -419,7 +419,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
                     n = len(ctx)
                     yield pa.RecordBatch.from_arrays([h.slice(s, n), *[pa.array(np.full(n, v, np.int64)) for v in own_key], at.slice(s, n), lo.slice(s, n), hi.slice(s, n), heat.slice(s, n), pa.array(ctx, pa.binary())], schema=schema)
 
-    contexts = with_text.mapInArrow(context, "h long, doc long, th long, tn long, at int, lo short, hi short, hot boolean, ctx binary")
+    contexts = with_text.mapInArrow(tidy(context), "h long, doc long, th long, tn long, at int, lo short, hi short, hot boolean, ctx binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(t: pa.Table) -> pa.RecordBatch:
@@ -445,7 +445,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
             if t.num_rows:
                 yield flush(t)
 
-    spans = whole.unionByName(contexts.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "doc long, th long, tn long, a int, b int"))
+    spans = whole.unionByName(contexts.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(sort), "doc long, th long, tn long, a int, b int"))
     if not kinds.filter(F.col("kinds") > hot).isEmpty():
         spans = spans.unionByName(_hot(contexts.filter("hot").drop("hot"), length))
     return spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
@@ -492,7 +492,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
             n, gone, runs, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(strip, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy(strip), f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_documents(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> DataFrame:
