@@ -86,3 +86,16 @@ def test_search_outlook_and_recall(spark, stored):
     some = B.search(spark, path, q, 10, probes=4)
     assert 0.9 <= B.recall(some, B.search(spark, path, q, 10)).head().recall <= 1
     assert B.outlook(spark, path, B.search(spark, path, q, 10)).collect() == []
+
+
+def test_recall_of_the_index_query(spark):
+    from tidemill.plans import patterns
+
+    d = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    exact = V.nearest(e, e.filter("vec_id % 20 = 0"), 10)
+    got = patterns.index_search(spark, d).cache()
+    assert got.count() == exact.count() and got.filter("query = neighbour").count() == 0
+    assert B.recall(got, exact).head().recall >= 0.9
+    near = got.join(exact.select("query", "neighbour", F.col("similarity").alias("s")), ["query", "neighbour"])
+    assert near.filter("abs(similarity - s) > 1e-9").count() < near.count() / 2  # normalised vectors rank alike, not by the same figures

@@ -126,6 +126,12 @@ def outlook(spark: SparkSession, path: str, found: DataFrame, least: int = 30) -
     return d.withColumns({"confidence": sure, "direction": F.when(m > 0.001, "long").when(m < -0.001, "short").otherwise("neutral"), "signal": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m / 0.01))})
 
 
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k most similar neighbours (query, neighbour, similarity) of each query, with their rank; of equal ones the lower id first."""
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: the share of exact neighbours that were found."""
     hit = exact.join(found.select("query", "neighbour", F.lit(1).alias("hit")), ["query", "neighbour"], "left")

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.frames import let, ratio
+from ..functions.storage import stored
 from .recursive import hurst
 
 #: Chunks of a level that make one chunk of the next, and levels.
-FAN, LEVELS = 1_024, 2
+FAN, LEVELS = 1_024, 1
 
 Maps = dict[str, tuple[Column, Column]]
 
@@ -84,7 +85,7 @@ def _starts(maps: DataFrame, names: list[str], by: str, level: int) -> DataFrame
         return pd.DataFrame([[pdf[by].iloc[0], pdf["group"].iloc[0], *a[-1], *b[-1]]], columns=[by, "chunk", *a_cols, *b_cols])
 
     grouped = maps.withColumn("group", F.floor(F.col("chunk") / FAN).cast("long"))
-    wider = grouped.groupBy(by, "group").applyInPandas(whole, f"`{by}` {kind}, chunk long, " + ", ".join(f"{c} double" for c in [*a_cols, *b_cols]))
+    wider = stored(grouped.groupBy(by, "group").applyInPandas(whole, f"`{by}` {kind}, chunk long, " + ", ".join(f"{c} double" for c in [*a_cols, *b_cols])))
     given = _starts(wider, names, by, level - 1).withColumnRenamed("chunk", "group")
     both = grouped.join(given.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")) & (grouped["group"] == given["group"])).drop("_by").drop(given["group"])
     return both.groupBy(by, "group").applyInPandas(lambda pdf: handed(pdf, pdf[s_cols].iloc[0].to_numpy(float)), f"`{by}` {kind}, chunk long, {fields}")
@@ -94,6 +95,7 @@ def affine_scan(df: DataFrame, maps: Maps, by: str = "symbol", order: str = "t",
     """Add y = a y' + b for each named pair of columns, along the rows of each series in their chunks.
 
     a = 0 starts anew; before the first such row there is no value (null), and a row with a null a or b keeps the value before it.
+    The chunks' maps and starts, one row a chunk, are stored, so the rows are read twice and no plan grows with the scans before it.
     A task holds one chunk, or the maps of FAN chunks; beyond the last level those of all wider chunks of one series: one of
     FAN ** levels chunks' rows.
     """
@@ -110,8 +112,8 @@ def affine_scan(df: DataFrame, maps: Maps, by: str = "symbol", order: str = "t",
         a, b = compose(pdf[a_cols].to_numpy(), pdf[b_cols].to_numpy())
         return pd.DataFrame([[pdf[by].iloc[0], pdf["chunk"].iloc[0], *a[-1], *b[-1]]], columns=[by, "chunk", *a_cols, *b_cols])
 
-    chunks = d.select(by, "chunk", order, *a_cols, *b_cols).groupBy(by, "chunk").applyInPandas(whole, f"`{by}` {kind}, chunk long, " + ", ".join(f"{c} double" for c in [*a_cols, *b_cols]))
-    starts = _starts(chunks, names, by, levels).withColumnRenamed(by, "_by").withColumnRenamed("chunk", "_chunk")
+    chunks = stored(d.select(by, "chunk", order, *a_cols, *b_cols).groupBy(by, "chunk").applyInPandas(whole, f"`{by}` {kind}, chunk long, " + ", ".join(f"{c} double" for c in [*a_cols, *b_cols])))
+    starts = stored(_starts(chunks, names, by, levels)).withColumnRenamed(by, "_by").withColumnRenamed("chunk", "_chunk")
     both = d.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("chunk") == F.col("_chunk"))).drop("_by", "_chunk")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` double" for n in names])
     own = df.columns
@@ -193,8 +195,7 @@ def chunked_features(bars: DataFrame, width: int, by: str = "symbol", order: str
         "kama": (F.when(c("n") == 11, 0.0).when(c("n") > 11, 1 - c("pace")), F.when(c("n") == 11, c("close")).otherwise(c("pace") * c("close"))),
     }, by, order, levels)
     near = c("close") + 1e-10
-    slopes = overlap(d.select(by, order, "chunk", "kama"), 5, by, order).withColumn("kama_5", F.lag("kama", 5).over(w)).filter("NOT context").select(by, order, "chunk", "kama_5")
-    d = d.join(slopes.withColumnsRenamed({by: "_by", order: "_t", "chunk": "_c"}), F.col(by).eqNullSafe(F.col("_by")) & (F.col(order) == F.col("_t")) & (F.col("chunk") == F.col("_c")))
+    d = overlap(d, 5, by, order).withColumn("kama_5", F.lag("kama", 5).over(w)).filter("NOT context").drop("context")
     score = 10 * 0.3 * ratio(c("num8") / c("den8") - c("num21") / c("den21"), c("num21") / c("den21")) + 5 * 0.3 * c("r4") + 3 * 0.2 * c("r9") + 2 * 0.2 * c("r19")
     spike = c("volume") / (c("mean_volume") + 1e-10)
     score = F.when(c("n") >= 30, score * F.when(spike > 1.5, 1 + F.least((spike - 1.5) * 0.3, F.lit(0.5))).otherwise(1.0)).otherwise(0.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import new_folder
 from ..operators import chunks as C
 from ..operators import unit_roots as U
 from ..sources import pages as P
@@ -84,7 +85,7 @@ def chunked_flows(spark: SparkSession, d: str) -> DataFrame:
 def paged_refresh(spark: SparkSession, d: str) -> DataFrame:
     """Bars cached from pages in two refreshes: pages hold the first 300 hours, then all; the second refresh takes what is later."""
     bars = S.hourly_bars(spark, d)
-    pages, cache = P.new_folder(spark, "pages"), P.new_folder(spark, "cache")
+    pages, cache = new_folder(spark, "pages"), new_folder(spark, "cache")
     first = bars.join(F.broadcast(bars.agg((F.min("t") + 300).alias("cut"))), F.col("t") < F.col("cut")).drop("cut")  # one row
     P.write_pages(first, pages)
     P.refresh(spark, pages, cache)

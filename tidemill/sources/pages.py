@@ -7,8 +7,6 @@ file systems reach; readers on the executors open pages by themselves, and the d
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -26,21 +24,6 @@ SCHEMA = "symbol string, t long, open double, high double, low double, close dou
 _ARROW = pa.schema([("symbol", pa.string()), ("t", pa.int64()), *((c, pa.float64()) for c in ("open", "high", "low", "close", "volume"))])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local session that names none gets one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "", 1) if path.startswith("file:") else path)
 
