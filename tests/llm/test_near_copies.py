@@ -66,3 +66,28 @@ def test_repeated_rows_and_clashing_names(spark):
     assert got.columns == docs.columns
     assert sorted((x.doc_id or 0, x.text or "") for x in got.collect()) == sorted([(3, one), (3, other), (0, one), (0, one), (7, "")])
     assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def test_one_family_over_many_pages_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAGE", 40)
+    monkeypatch.setattr(simhash, "PAGE_BYTES", 20_000)
+    r = rng(34)
+    base, texts = words(r, 120).split(), []
+    for _ in range(160):
+        w = list(base)
+        for _ in range(r.randint(1, 9)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    kept = []
+    real = simhash._unsettled
+    monkeypatch.setattr(simhash, "_unsettled", lambda *a: kept.append(real(*a)) or kept[0])
+    got = simhash.keep_first(documents(spark, list(enumerate(texts)))).collect()
+    assert sorted(x.doc_id for x in got) == sorted(set(label)) and 3 < len(got) < 150
+    open_ = kept[0].select("home", "label").collect()
+    assert open_ and len({x.label for x in open_ if not x.home}) == 1 < len({x.label for x in open_})

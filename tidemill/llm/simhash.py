@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,10 @@ BITS = 64
 TILE = 256
 #: Fingerprints of a page: two of them are what one comparison holds.
 PAGE = 1 << 14
+#: Bytes of shingle sets of a page.
+PAGE_BYTES = 8 << 20
+#: From this radius on, nearer pairs are taken up first.
+WIDE = 16
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 14
 #: Min-hash bands that deal set fingerprints into groups. A pair of similarity 0.8 shares none with the probability
@@ -132,14 +137,26 @@ class Forest:
                 return r
             r = s
 
-    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+    def add(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Join the sets of all pairs; returned are the pairs that did it."""
+        left, right = [p[:0]], [q[:0]]
         while len(p):
             a, b = self.roots(p), self.roots(q)
             apart = a != b
             p, q, a, b = p[apart], q[apart], a[apart], b[apart]
             lo, hi = np.minimum(a, b), np.maximum(a, b)
             # One parent a root and round: the last write wins, and the pairs that lost try again.
-            self.up[hi] = lo
+            at = np.full(len(self.up), -1) if len(hi) > len(self.up) // 8 else None
+            if at is None:
+                _, won = np.unique(hi[::-1], return_index=True)
+                won = len(hi) - 1 - won
+            else:
+                at[hi] = np.arange(len(hi))
+                won = at[at >= 0]
+            self.up[hi[won]] = lo[won]
+            left.append(p[won])
+            right.append(q[won])
+        return np.concatenate(left), np.concatenate(right)
 
 
 def banded(fps: DataFrame, radius: int) -> DataFrame:
@@ -176,20 +193,25 @@ def by_bands(nodes: DataFrame) -> DataFrame:
     return nodes.drop("bands", "n").join(met, F.col("id") == F.col("mid")).drop("mid").withColumn("home", F.lit(True))
 
 
-def links(grouped: DataFrame, radius: int, every: bool = False) -> DataFrame:
+def links(grouped: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
     """Links (a, b) between ids that connect exactly what pairs within the radius connect, group by group.
 
-    ``every``: all pairs within the radius whose ``label`` (a further column) differs, tile by tile, instead.
-
     ``grouped``: id (long), g, home and words w0, ...; two visitors of a group are not compared. Inside a group the
     comparison is exact, tile by tile. Groups are split into pages of rows; page pairs of one group are compared in
     different tasks, so a large group is spread over the cluster and no task holds it. Each task returns a
-    spanning forest of the pairs it found, never all of them.
+    spanning forest of the pairs it found, never all of them; of a wide radius it takes up the nearer pairs first.
+
+    ``similarity``: the links connect what pairs of that Jaccard similarity within the radius connect, beyond what equal
+    ``label`` (long) says is connected; ``shingles`` has the sets, whose bytes then make the pages. A pair that is connected
+    already is not judged, and one that is judged and refused leaves no row.
     """
-    words = [c for c in grouped.columns if c.startswith("w")] + ["label"] * every
-    counts = grouped.groupBy("g").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")).filter("homes + guests > 1 AND homes > 0")
-    pages = lambda c: F.ceil(F.col(c) / PAGE).cast("int")
-    counts = cut(counts).select(F.col("g").alias("cg"), pages("homes").alias("hp"), pages("guests").alias("gp"))
+    judged = similarity is not None
+    words = [c for c in grouped.columns if c.startswith("w")] + ["label", "shingles"] * judged
+    load = F.size("shingles") * 8 / PAGE_BYTES if judged else F.lit(1 / PAGE)
+    side = lambda home: F.when(F.col("home") == F.lit(home), load)
+    counts = grouped.groupBy("g").agg(F.count(side(True)).alias("homes"), F.sum(side(True)).alias("hl"), F.count(side(False)).alias("guests"), F.sum(side(False)).alias("gl")).filter("homes + guests > 1 AND homes > 0")
+    pages = lambda c, n: F.when(F.col(n) > 0, F.greatest(F.ceil(F.round(F.col(c), 9)), F.lit(1))).otherwise(0).cast("int")
+    counts = cut(counts).select(F.col("g").alias("cg"), pages("hl", "homes").alias("hp"), pages("gl", "guests").alias("gp"))
     rows = grouped.join(counts, F.col("g") == F.col("cg"))
     draw = F.xxhash64("id", F.lit(7))
     page = F.when(F.col("home"), F.pmod(draw, F.col("hp"))).otherwise(F.col("hp") + F.pmod(draw, F.col("gp"))).cast("int")
@@ -197,7 +219,7 @@ def links(grouped: DataFrame, radius: int, every: bool = False) -> DataFrame:
     meet = rows.withColumn("page", page).select("g", "id", *words, "page", F.explode(others).alias("o"))
     meet = meet.select("g", F.least("page", "o").alias("p"), F.greatest("page", "o").alias("q"), "page", "id", *words)
     dealt = meet.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q")
-    find = _pairs if every else _forests
+    find = _judged(similarity) if judged else _forests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -223,8 +245,9 @@ def links(grouped: DataFrame, radius: int, every: bool = False) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _groups(held: list[pa.RecordBatch], radius: int) -> Iterator[tuple[pa.Table, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
-    """Of each group (run of equal g, p, q): the rows in order of bits set, and the pairs of their places, tile by tile."""
+def _groups(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, Callable[[int], Iterator[tuple[np.ndarray, np.ndarray]]]]]:
+    """Of each group (run of equal g, p, q): the rows in order of bits set, and a function from a radius to the pairs of their places
+    within it, tile by tile."""
     table = pa.Table.from_batches(held)
     g, p, q, page = (table.column(c).to_numpy() for c in ("g", "p", "q", "page"))
     words = np.column_stack([table.column(c).to_numpy() for c in table.column_names if c.startswith("w")]).view(np.uint64)
@@ -235,10 +258,14 @@ def _groups(held: list[pa.RecordBatch], radius: int) -> Iterator[tuple[pa.Table,
         order = np.argsort(np.bitwise_count(words[lo:hi, 0]), kind="stable") + lo
         w, own = words[order], page[order]
         if p[lo] == q[lo]:
-            yield table, order, near_pairs(w, w, radius, True)
+            yield table, order, partial(near_pairs, w, w, same=True)
         else:
-            one, two = np.flatnonzero(own == p[lo]), np.flatnonzero(own == q[lo])
-            yield table, order, ((one[x], two[y]) for x, y in near_pairs(w[one], w[two], radius, False))
+            yield table, order, partial(_between, w, np.flatnonzero(own == p[lo]), np.flatnonzero(own == q[lo]))
+
+
+def _between(w: np.ndarray, one: np.ndarray, two: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for x, y in near_pairs(w[one], w[two], radius, False):
+        yield one[x], two[y]
 
 
 def _links(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
@@ -246,23 +273,69 @@ def _links(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
 
 
 def _forests(held: list[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of whole groups."""
-    for table, order, pairs in _groups(held, radius):
-        ids, forest = table.column("id").to_numpy()[order], Forest(len(order))
-        for x, y in pairs:
-            forest.add(x, y)
-        root = forest.roots(np.arange(len(order)))
-        moved = np.flatnonzero(root != np.arange(len(order)))
-        yield _links(ids[moved], ids[root[moved]])
-
-
-def _pairs(held: list[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of whole groups whose labels differ."""
-    for table, order, pairs in _groups(held, radius):
-        ids, label = (table.column(c).to_numpy()[order] for c in ("id", "label"))
-        for x, y in pairs:
-            new = label[x] != label[y]
-            yield _links(np.minimum(ids[x], ids[y])[new], np.maximum(ids[x], ids[y])[new])
+    """Spanning forests of whole groups, of pairs within half of a wide radius first."""
+    for table, order, pairs in _groups(held):
+        ids, left, right = table.column("id").to_numpy()[order], [], []
+        forest = Forest(len(order))
+        for reach in (radius // 2, 3 * radius // 4, radius) if radius >= WIDE else (radius,):
+            for x, y in pairs(radius=reach):
+                p, q = forest.add(x, y)
+                left.append(p)
+                right.append(q)
+        if left:
+            yield _links(ids[np.concatenate(left)], ids[np.concatenate(right)])
+
+
+def _judged(similarity: float) -> Callable[[list[pa.RecordBatch], int], Iterator[pa.RecordBatch]]:
+    """Forests of the pairs of whole groups that are similar enough and connect what is not connected yet."""
+
+    def find(held: list[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+        for table, order, pairs in _groups(held):
+            ids, label = (table.column(c).to_numpy()[order] for c in ("id", "label"))
+            sets = table.column("shingles").combine_chunks()
+            sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+            values, offsets = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+            begin, end = offsets[:-1][order], offsets[1:][order]
+            size = end - begin
+            _, first, which = np.unique(label, return_index=True, return_inverse=True)
+            forest = Forest(len(order))
+            forest.add(np.arange(len(order)), first[which])
+            left, right = [], []
+            for x, y in pairs(radius=radius):
+                likely = (forest.roots(x) != forest.roots(y)) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1) & (size[x] > 0) & (size[y] > 0)
+                x, y = x[likely], y[likely]
+                for lo, hi in _runs(x):
+                    one, many = x[lo], y[lo:hi]
+                    many = many[forest.roots(many) != forest.roots(x[lo : lo + 1])]
+                    if len(many):
+                        same = _in_common(values[begin[one] : end[one]], [values[begin[k] : end[k]] for k in many.tolist()])
+                        near = many[same / (size[one] + size[many] - same) >= similarity]
+                        p, q = forest.add(np.full(len(near), one), near)
+                        left.append(p)
+                        right.append(q)
+            if left:
+                yield _links(ids[np.concatenate(left)], ids[np.concatenate(right)])
+
+    return find
+
+
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The runs of equal values."""
+    if len(x):
+        edge = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]).tolist()
+        yield from zip(edge[:-1], edge[1:], strict=True)
+
+
+def _in_common(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
+    """How many values of each of the ascending, not empty sets are in the first."""
+    out = []
+    for at in range(0, len(many), TILE):
+        part = many[at : at + TILE]
+        values = np.concatenate(part)
+        place = np.searchsorted(one, values)
+        place[place == len(one)] = 0
+        out.append(np.add.reduceat((one[place] == values).astype(np.int64), np.cumsum([0, *map(len, part[:-1])])))
+    return np.concatenate(out)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
@@ -308,6 +381,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.filter(common / (F.size("a_set") + F.size("b_set") - common) >= similarity).select("a", "b")
 
 
+def _unsettled(nodes: DataFrame, forest: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """The groups in which candidates may still connect what ``found`` has apart: g, home, id, words, label, shingles.
+
+    A group is what the forest of all candidates connects, if that is more than two nodes with more than one label; of two
+    nodes the only pair has been judged. The nodes of a group's commonest label are its visitors: among them
+    nothing is to be found out, and they meet each page of the others only.
+    """
+    family = components(forest, nodes.select(F.col("id").alias("node"), F.col("id").alias("label"))).select(F.col("node").alias("f_node"), F.col("label").alias("g"))
+    where = stored(found.join(family, F.col("node") == F.col("f_node")).select("node", "label", "g"))
+    sizes = where.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c"))
+    open_ = sizes.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("c"), F.max(F.struct("c", "label")).alias("m")).filter("kinds > 1 AND c > 2")
+    where = stored(where.join(open_.select(F.col("g").alias("o_g"), F.col("m.label").alias("common")), F.col("g") == F.col("o_g")).select("node", "label", "g", (F.col("label") != F.col("common")).alias("home")))
+    asked = where.join(nodes.drop("bands"), F.col("node") == F.col("id")).drop("node")
+    return asked.join(sets.withColumnRenamed("id", "s_id"), F.col("id") == F.col("s_id")).drop("s_id")
+
+
 def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 4, radius: int = 60) -> DataFrame:
     """One row of each near-duplicate group of docs: that with the smallest doc_id (of repeated rows, one).
 
@@ -316,8 +405,10 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words
     over the sets differ in at most 60 bits, compared tile by tile; each candidate is judged by the sets themselves. At
     a similarity of 0.8, 39 bits differ on average with a deviation of 6, and one pair in some 5,000 shares no band, so
     few pairs are missed; unrelated texts differ in 128 bits. Equal sets are one node. A spanning forest of
-    the candidates is judged first; then every candidate pair that this has left in different groups, so that a refused
-    link never hides another. Rows are told apart by doc_id and text: unlike texts that share a doc_id are judged each by
+    the candidates, near ones first, is judged first; then, in what it connects, every pair within 60 bits that is still
+    in different groups, so that a refused link never hides another. These are judged where they are found: tasks
+    get the sets of two pages and return forests, so families of texts that are alike but not alike enough cost
+    comparisons (and one copy of a page for each page of the smaller side), not rows. Rows are told apart by doc_id and text: unlike texts that share a doc_id are judged each by
     its own, and only rows equal in both are repeats. A row without doc_id stays, and represents no group. Null and
     empty texts are equal sets. Extra columns come along; an empty table gives an empty one.
     """
@@ -354,10 +445,9 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words
     sets = shingle_sets(forest)
     sure = cut(confirmed(forest, sets, similarity))
     found = cut(components(sure, own))
-    labelled = apart.join(found, F.col("id") == F.col("node")).drop("node")
-    more = cut(links(by_bands(labelled), radius, every=True))
+    more = cut(links(_unsettled(apart, forest, found, sets), radius, similarity))
     if not more.isEmpty():
-        found = components(sure.union(cut(confirmed(more, sets, similarity))), own)
+        found = components(sure.union(more), own)
     stay = found.join(nodes.select("id", "best"), F.col("node") == F.col("id")).groupBy("label").agg(F.min("best").alias("best"))
     stay = stay.select(F.col("best.doc_id").alias("b_id"), F.col("best.t0").alias("b0"), F.col("best.t1").alias("b1"))
     # What goes, and what stays but is repeated, as tables of known size: texts are only shuffled if those are too large for Spark
