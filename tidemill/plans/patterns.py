@@ -48,8 +48,8 @@ def pattern_bank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{BANK}, x AS (SELECT q.symbol, q.t, b.fs, b.fl, list_inner_product(q.u, b.u) / ((sqrt(list_inner_product(q.u, q.u)) + 1e-8) * (sqrt(list_inner_product(b.u, b.u)) + 1e-8)) AS sim FROM un q JOIN un b ON q.symbol = b.symbol AND NOT q.known AND b.known),
-k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY symbol, t ORDER BY sim DESC) <= 100),
-g AS (SELECT symbol, t, count(*) AS n, avg(fs) AS mean_short, median(fs) AS median_short, stddev_pop(fs) AS sd_short, avg(CASE WHEN fs > 0 THEN 1 ELSE 0 END) AS wins_short, avg(fl) AS mean_long, avg(CASE WHEN fl > 0 THEN 1 ELSE 0 END) AS wins_long, max(sim) AS nearest, avg(sim) AS similarity FROM k GROUP BY 1, 2 HAVING count(*) >= 30),
+kk AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY symbol, t ORDER BY sim DESC) <= 100),
+g AS (SELECT symbol, t, count(*) AS n, avg(fs) AS mean_short, median(fs) AS median_short, stddev_pop(fs) AS sd_short, avg(CASE WHEN fs > 0 THEN 1 ELSE 0 END) AS wins_short, avg(fl) AS mean_long, avg(CASE WHEN fl > 0 THEN 1 ELSE 0 END) AS wins_long, max(sim) AS nearest, avg(sim) AS similarity FROM kk GROUP BY 1, 2 HAVING count(*) >= 30),
 o AS (SELECT *, greatest(0, least(1, abs(mean_short) / (sd_short + 1e-4) * similarity)) AS confidence, CASE WHEN mean_short > 0.001 THEN 'long' WHEN mean_short < -0.001 THEN 'short' ELSE 'neutral' END AS direction, greatest(-1, least(1, mean_short / 0.01)) AS signal FROM g)
 SELECT symbol, t, n, direction, {_r(FIGURES)} FROM o""")
 def pattern_outlook(spark: SparkSession, d: str) -> DataFrame:
