@@ -66,3 +66,60 @@ def walk_forward(rows: DataFrame, rn: str, n: int, k: int = 5, gap: int = 12) ->
     r, a = F.col(rn), F.col("f.a")
     role = F.when((r >= a) & (r < a + size), "test").when(r < a - gap, "train")
     return d.select(rn, F.col("f.fold").alias("fold"), role.alias("role")).filter("role IS NOT NULL")
+
+
+def path_table(k: int = 6, tests: int = 2) -> list[tuple[int, int, int]]:
+    """(path, fold, combo): the combinations that test a fold, in order, go to paths 0, 1, ...; so each path has each fold once."""
+    seen = [0] * k
+    out = []
+    for i, combo in enumerate(combinations(range(k), tests)):
+        for j in combo:
+            out.append((seen[j], j, i))
+            seen[j] += 1
+    return out
+
+
+def backtest_paths(rows: DataFrame, rn: str, n: int, k: int = 6, tests: int = 2) -> DataFrame:
+    """Every row once for each back-test path, with its fold and the combination whose model tests it there: path, fold, combo.
+
+    There are as many paths as combinations that test one fold. ``combo`` counts as in ``combinatorial_folds``.
+    """
+    bounds = fold_bounds(n, k)
+    parts = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(j).alias("fold"), F.lit(i).alias("combo"), F.lit(bounds[j][0]).alias("a"), F.lit(bounds[j][1]).alias("b")) for p, j, i in path_table(k, tests)])
+    mine = F.filter(parts, lambda x: (F.col(rn) >= x["a"]) & (F.col(rn) < x["b"]))
+    d = rows.withColumn("_f", F.explode(mine))
+    return d.select(*rows.columns, *[F.col(f"_f.{c}").alias(c) for c in ("path", "fold", "combo")])
+
+
+def path_returns(paths: DataFrame, value: str, by: tuple[str, ...] = ("path",)) -> DataFrame:
+    """n, mean, sd (sample) and sharpe of a value along each path; sharpe is null where nothing varies."""
+    d = paths.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    return d.withColumn("sharpe", F.try_divide(F.col("mean"), F.col("sd")))
+
+
+#: Leading bits of a draw by which rows are counted before any is chosen.
+DRAW_BITS = 16
+
+
+def draw(key: Column, seed: int = 42) -> Column:
+    """A number below 2^60 that depends on the key and the seed only."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def exact_sample(rows: DataFrame, size: int, key: str, seed: int = 42) -> DataFrame:
+    """Exactly ``size`` rows (all, if there are fewer), those of the smallest draws of ``key``; the same ones however rows are dealt.
+
+    Rows are counted by the leading bits of their draws: that table of at most 2^16 counts gives the bucket in which the last row lies.
+    Buckets before it are taken whole, and only the rows of that one are put in order. Order among the rows is that of their own columns.
+    Rows with equal keys have equal draws; which of them is left out at the edge is not fixed.
+    """
+    d = rows.withColumn("_draw", draw(F.col(key), seed))
+    bucket = F.shiftright("_draw", 60 - DRAW_BITS)
+    counts = d.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = counts.withColumn("_before", before).filter((F.col("_before") < size) & (F.col("_before") + F.col("_n") >= size)).head()
+    if edge is None:
+        return rows if size > 0 else rows.limit(0)
+    whole = d.filter(bucket < edge["_b"])
+    last = d.filter(bucket == edge["_b"]).orderBy("_draw", key).limit(size - edge["_before"])
+    return whole.unionByName(last).drop("_draw")
