@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemill.plans import market, more, patterns, rules, sampling, series, states, votes  # noqa: F401
+from tidemill.plans import learning, market, more, patterns, rules, sampling, series, states, votes  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = [p.stem for p in Path(SF).glob("*.parquet")]
