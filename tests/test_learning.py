@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import adjustments as A
+from tidemill.operators import health as He
 from tidemill.operators import histories as H
 
 TRADES = "mode string, id long, hour int, symbol string, regime string, side string, strength string, agreed boolean, pnl double"
@@ -78,3 +79,18 @@ def test_snapshots(spark):
     bars = spark.createDataFrame([("a", t, 1.0) for t in range(4)] + [("b", 9, 1.0), ("c", 1, 1.0)], "symbol string, t long, close double")
     joined = H.gated_join(bars, hot.drop("scenarios"), least=2)
     assert {(r.symbol, r.t): (r.ext_score, r.ext_is_bullish, round(r.ext_ev, 9)) for r in joined.collect()} == {("a", 0): (0, 0, 0), ("a", 1): (0.5, 1, 0.8), ("a", 2): (0, 0, 0), ("a", 3): (0, 0, 0), ("b", 9): (0, 0, 0), ("c", 1): (0, 0, 0)}
+
+
+def test_health(spark):
+    rows = [("LIVE", 90, 1, 5.0)] + [("LIVE", 91 + k, 2 + k, -100.0) for k in range(5)] + [(" ", 100, 9, None), ("", 100, 10, 1.0), (None, 10, 11, 4.0), ("late", 200, 12, 1.0)]
+    counted = spark.createDataFrame([("LIVE", 57), ("unknown", 3), ("PAPER", 2)], "mode string, n long")
+    d = spark.createDataFrame(rows, "mode string, t long, id long, pnl double")
+    got = {r["mode"]: r for r in He.health(d, counted, F.lit(100), least=3).collect()}
+    assert set(got) == {"LIVE", "unknown", "PAPER"}
+    live, unknown, paper = got["LIVE"], got["unknown"], got["PAPER"]
+    assert (live.n, live.n_recent, live.hours_since, live.day_pnl, live.losing, live.n_mean) == (6, 6, 5.0, 0.0, 5, 6)
+    assert live.mean_recent == pytest.approx(-495 / 6) and live.issues == ["losing_streak", "low_value", "count_drift"]
+    assert (unknown.n, unknown.day_pnl, unknown.losing, unknown.issues) == (3, 1.0, 0, [])
+    assert (paper.n, paper.hours_since, paper.issues) == (0, None, ["no_trades"])
+    assert He.health(d.limit(0), counted.limit(0), F.lit(100)).collect() == []
+    assert He.schema_issues(d, "mode string, t int, price double") == ["type:t", "missing:price"]

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.storage import new_folder, stored
 from ..operators import adjustments as A
+from ..operators import health as HE
 from ..operators import histories as H
 from ..sources import tables as S
 from .market import BARS, RECORDS, SIGNALS, TRADES, out, query
@@ -83,3 +84,22 @@ def snapshot_features(spark: SparkSession, d: str) -> DataFrame:
     all_ = H.upsert_snapshots(new.withColumn("score", F.lit(9.0)), new)  # every stored one is replaced
     hot = H.one_hot(all_.withColumn("ev", H.expected(F.col("scenarios")))).drop("scenarios")
     return out(H.gated_join(S.hourly_bars(spark, d).select("symbol", "t"), hot), "symbol t ext_is_bullish ext_is_bearish", "ext_score ext_ev", 9)
+
+
+NOW = 474000  # the hour of the check: late in the events' month
+
+
+@query(f"""{TRADES}, x AS (SELECT CASE WHEN mode = '' THEN 'unknown' ELSE mode END || '/' || symbol AS mode, t, id, round(pnl - 150, 2) AS pnl FROM trades WHERE t <= {NOW}), c AS (SELECT mode, count(*) + 30 * (count(*) % 3) AS n FROM x GROUP BY 1),
+w AS (SELECT mode, max(row(t, id)) FILTER (pnl > 0) AS won FROM x GROUP BY 1), s AS (SELECT x.mode, count(*) FILTER (won IS NULL OR row(t, id) > won) AS losing FROM x JOIN w ON w.mode = x.mode GROUP BY 1),
+l AS (SELECT mode, pnl FROM x WHERE t > {NOW - 168} QUALIFY row_number() OVER (PARTITION BY mode ORDER BY t DESC, id DESC) <= 50), m AS (SELECT mode, count(*) AS n_mean, sum(CAST(pnl AS DECIMAL(18, 6)))::DOUBLE / count(*) AS mean_recent FROM l GROUP BY 1),
+a AS (SELECT mode, count(*) AS n, count(*) FILTER (t > {NOW - 48}) AS n_recent, CAST({NOW} - max(t) AS DOUBLE) AS hours_since, coalesce(sum(CAST(pnl AS DECIMAL(18, 6))) FILTER (t // 24 = {NOW // 24}), 0)::DOUBLE AS day_pnl FROM x GROUP BY 1),
+d AS (SELECT a.*, losing, coalesce(n_mean, 0) AS n_mean, mean_recent, c.n AS counted FROM a JOIN s ON s.mode = a.mode LEFT JOIN m ON m.mode = a.mode JOIN c ON c.mode = a.mode)
+SELECT mode, n, n_recent, hours_since, n_mean, losing, counted, round(day_pnl, 4) AS day_pnl, round(mean_recent, 4) AS mean_recent, concat_ws('|', CASE WHEN hours_since > 6 THEN 'quiet' END, CASE WHEN losing >= 5 THEN 'losing_streak' END, CASE WHEN day_pnl < -300 THEN 'daily_loss' END,
+  CASE WHEN n_mean >= 20 AND mean_recent <= 60 THEN 'low_value' END, CASE WHEN abs(counted - n) > 50 THEN 'count_drift' END) AS issues FROM d""")
+def health_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of each mode and symbol, late in the month, against counts that another log might have."""
+    name = F.concat_ws("/", F.when(F.col("mode") == "", "unknown").otherwise(F.col("mode")), "symbol")
+    t = S.trades(spark, d).withColumns({"mode": name, "pnl": F.round(F.col("pnl") - 150, 2)})
+    counted = t.filter(F.col("t") <= NOW).groupBy("mode").agg(F.count(F.lit(1)).alias("c")).select("mode", (F.col("c") + 30 * (F.col("c") % 3)).alias("n"))
+    h = HE.health(t, counted, F.lit(NOW), quiet_hours=6.0, limit=60.0)
+    return out(h.withColumn("issues", F.array_join("issues", "|")), "mode n n_recent hours_since n_mean losing counted issues", "day_pnl mean_recent", 4)
