@@ -83,3 +83,22 @@ def test_classifier_learns_and_handles_edges(spark):
     long_ = prose(r, 20_000)
     a, b = byte_cnn.score_texts([long_.encode(), (long_ + " %%% ###" * 20_000).encode()], model)
     assert b < a
+
+
+def test_url_model_on_held_out_words(spark):
+    """Hosts of the labelled table whose words the model has not seen joined that way: a fifth of the pairs, by hash."""
+    from zlib import crc32
+
+    from tidemill.llm import queries, url_filter
+
+    rows = [(r.url, r.blocked) for r in queries.labelled_urls(spark).collect() if r.url]
+    word = lambda u: u.split("://", 1)[1].split("/", 1)[0].removeprefix("www.").removeprefix("m.").split(".")[0]
+    held = [r for r in rows if crc32(word(r[0]).encode()) % 5 == 0]
+    seen = [r for r in rows if crc32(word(r[0]).encode()) % 5]
+    model = url_filter.fit(spark.createDataFrame(seen, "url string, blocked int"))
+    got = url_filter.filter_urls(spark.createDataFrame(held, "url string, blocked int"), (), model).select("blocked", "verdict").collect()
+    right = sum((r.verdict == "block") == bool(r.blocked) for r in got) / len(got)
+    blocked = [r for r in got if r.blocked]
+    assert len(got) > 40 and blocked and right >= 0.85, (len(got), right)
+    assert sum(r.verdict == "block" for r in blocked) / len(blocked) >= 0.7
+    print("held out", len(got), right, sum(r.verdict == "block" for r in blocked) / len(blocked))
