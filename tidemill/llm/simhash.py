@@ -425,10 +425,10 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words
     reps = nodes.select("id", F.col("best.doc_id").alias("b_id"), F.col("best.t0").alias("b0"), F.col("best.t1").alias("b1"))
 
     def shingle_sets(pairs: DataFrame) -> DataFrame:
-        # Stored as a table: its size is known, so the texts are only shuffled if it is too large for Spark to broadcast.
+        # What is asked grows with the texts, so they are shuffled whatever its size: plans are alike at every size.
         asked = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), F.col("id") == F.col("i"), "left_semi")
         asked = stored(asked)
-        texts = known.select("doc_id", "text").withColumns(digests).join(asked, (F.col("doc_id") == F.col("b_id")) & (F.col("t0") == F.col("b0")) & (F.col("t1") == F.col("b1")))
+        texts = known.select("doc_id", "text").withColumns(digests).join(asked.hint("merge"), (F.col("doc_id") == F.col("b_id")) & (F.col("t0") == F.col("b0")) & (F.col("t1") == F.col("b1")))
         # By the keys of the join: where that shuffled the texts, they lie right for this.
         texts = texts.dropDuplicates(["b_id", "b0", "b1"]).select("id", "text")
 
@@ -450,8 +450,8 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words
         found = components(sure.union(more), own)
     stay = found.join(nodes.select("id", "best"), F.col("node") == F.col("id")).groupBy("label").agg(F.min("best").alias("best"))
     stay = stay.select(F.col("best.doc_id").alias("b_id"), F.col("best.t0").alias("b0"), F.col("best.t1").alias("b1"))
-    # What goes, and what stays but is repeated, as tables of known size: texts are only shuffled if those are too large for Spark
-    # to broadcast; repeated rows alone are grouped.
+    # What goes, and what stays but is repeated, as tables. What goes grows with the texts, so they are shuffled once for it at every
+    # size; repeated rows alone are grouped.
     keys = known.select("doc_id", *[c.alias(k) for k, c in digests.items()]).groupBy("doc_id", "t0", "t1").agg(F.count(F.lit(1)).alias("c"))
     k0, k1, i_, i0, i1 = (spare_name(docs, f"_key_{k}") for k in range(5))
     keys = keys.join(stay, (F.col("doc_id") == F.col("b_id")) & (F.col("t0") == F.col("b0")) & (F.col("t1") == F.col("b1")), "left")
@@ -459,7 +459,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words
     marked = cut(keys.filter("c > 1 OR NOT stays"))
     here = (F.col("doc_id") == F.col(i_)) & (F.col(k0) == F.col(i0)) & (F.col(k1) == F.col(i1))
     keyed = known.withColumns({k0: digests["t0"], k1: digests["t1"]})
-    single = keyed.join(stored(marked.select(i_, i0, i1)), here, "left_anti").drop(k0, k1)
+    single = keyed.join(stored(marked.select(i_, i0, i1)).hint("merge"), here, "left_anti").drop(k0, k1)
     again = stored(marked.filter("stays").select(i_, i0, i1))
     repeated = keyed.join(again, here, "left_semi").dropDuplicates(["doc_id", k0, k1]).drop(k0, k1)
     return single.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL"))
