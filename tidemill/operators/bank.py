@@ -85,15 +85,17 @@ def probed(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     return usable(rows, "v").filter(F.size("v") == centres.shape[1]).mapInPandas(near, f"{schema}, list int")
 
 
-def build(found: DataFrame, path: str, lists: int = 16, by: str = "symbol", order: str = "t", least: int = 148, sample_rows: int = SAMPLE_ROWS) -> None:
+def build(found: DataFrame, path: str, lists: int = 16, by: str = "symbol", order: str = "t", least: int = 148, sample_rows: int = SAMPLE_ROWS, normalise: bool = True) -> None:
     """Store the patterns of ``patterns`` whose later return is known: normalising figures, centres, and the vectors by list.
 
-    Groups of fewer than ``least`` bars are left out. Ids are hashes of group and time.
+    Groups of fewer than ``least`` bars are left out. Ids are hashes of group and time. Without ``normalise`` vectors are only made unit-long,
+    so similarities are those of the vectors as they are.
     """
     spark = found.sparkSession
     enough = found.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(F.col(by).alias("_by"))
     known = found.filter("known").join(enough, F.col(by).eqNullSafe(F.col("_by")), "left_semi").drop("known").withColumn("id", F.xxhash64(by, order))
-    normalising(known, by).write.mode("overwrite").parquet(f"{path}/stats")
+    as_is = known.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("_d")).select(by, "n", F.array_repeat(F.lit(0.0), F.col("_d")).alias("mean"), F.array_repeat(F.lit(1.0), F.col("_d")).alias("sd"))
+    (normalising(known, by) if normalise else as_is).write.mode("overwrite").parquet(f"{path}/stats")
     rows = normalised(known, spark.read.parquet(f"{path}/stats"), by)
     centres = fit_lists(rows, lists, sample_rows)
     spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "list int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")

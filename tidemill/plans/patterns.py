@@ -67,7 +67,7 @@ def index_search(spark: SparkSession, d: str) -> DataFrame:
     e = S.load(spark, d, "embeddings")
     rows = e.select(F.lit("all").alias("symbol"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(0.0).alias("fwd_short"), F.lit(0.0).alias("fwd_long"), F.lit(True).alias("known"))
     path = new_folder(spark, "bank")
-    B.build(rows, path)
+    B.build(rows, path, normalise=False)
     found = B.search(spark, path, rows.filter("t % 20 = 0").select(F.col("t").alias("query"), "symbol", "vector"), 11, probes=12)
     ids = spark.read.parquet(f"{path}/vectors").select(F.col("id").alias("neighbour"), F.col("t").alias("vec_id"))
     found = found.join(ids, "neighbour").filter("vec_id <> query").withColumn("neighbour", F.col("vec_id")).select("query", "neighbour", "similarity")
