@@ -22,7 +22,7 @@ DAY = 86_400
 
 @dataclass(frozen=True)
 class PauseRules:
-    """When live trading stops and starts again; times in seconds.
+    """When live orders stop and start again; times in seconds.
 
     It stops at a poll whose latest ``streak`` live trades, of the latest ``keep`` within ``window``, all failed to win. It
     starts again when fewer than ``streak`` such trades are left; ``settle`` after the stop, when ``live_wins`` of the latest
@@ -93,11 +93,11 @@ def pause_polls(trades: DataFrame, by: str, rules: PauseRules) -> DataFrame:
 
 
 def loss_pauses(trades: DataFrame, by: str = "symbol", rules: PauseRules = PauseRules()) -> DataFrame:  # noqa: B008  frozen
-    """Stops and starts of live trading of each key: by, at (poll), event, reason, seconds (a start's distance from its stop).
+    """Stops and starts of live orders of each key: by, at (poll), event, reason, seconds (a start's distance from its stop).
 
     ``trades``: by, at (whole seconds), id, mode, pnl; those of modes other than LIVE and PAPER do not count, nor rows without
-    a time. Polls that could stop trading and lie more than ``hard`` after the last such poll begin a stretch, since by
-    then trading runs whatever happened before; each stretch is folded on its own. The streaming twin is
+    a time. Polls that could stop orders and lie more than ``hard`` after the last such poll begin a stretch, since by
+    then orders run whatever happened before; each stretch is folded on its own. The streaming twin is
     ``streaming.pauses.stream_loss_pauses``.
     """
     stops = (F.col("live") >= rules.streak) & (F.col("wins") == 0)
@@ -124,7 +124,7 @@ def loss_pauses(trades: DataFrame, by: str = "symbol", rules: PauseRules = Pause
 def value_pauses(trades: DataFrame, by: str = "symbol", every: int = 600, keep: int = 50, least: int = 20, limit: float = -0.5, window: int = 7 * DAY) -> DataFrame:
     """Stops and starts by the mean result of the latest live trades: by, at, event, n, mean.
 
-    At a poll live trading stops if at least ``least`` of the latest ``keep`` trades are no older than ``window`` and their mean
+    At a poll live orders stop if at least ``least`` of the latest ``keep`` trades are no older than ``window`` and their mean
     is at most ``limit``, and runs if not; only changes are returned. What counts is the poll alone, so there is no fold.
     """
     live = trades.filter("mode = 'LIVE' AND at IS NOT NULL AND pnl IS NOT NULL")

@@ -17,7 +17,7 @@ STATE = "next long, since long, live_at array<bigint>, live_won array<boolean>,
 
 class LossPauses(StatefulProcessor):
     """One key's pauses. New trades wait until the watermark has passed the poll that sees them; a timer stands for the next poll
-    that can change anything: the one after a waiting trade, or the next one while trading is stopped or has just started."""
+    that can change anything: the one after a waiting trade, or the next one while orders are stopped or have just started."""
 
     def __init__(self, rules: PauseRules) -> None:
         self.rules = rules
