@@ -99,3 +99,25 @@ def test_recall_of_the_index_query(spark):
     assert B.recall(got, exact).head().recall >= 0.9
     near = got.join(exact.select("query", "neighbour", F.col("similarity").alias("s")), ["query", "neighbour"])
     assert near.filter("abs(similarity - s) > 1e-6").count() == 0
+
+
+def test_tops_hold_few_products_and_take_ties_by_id():
+    r = np.random.default_rng(4)
+    bank = r.permutation(400)
+    b = V._unit(np.where((bank % 4 == 0)[:, None], 1.0, r.normal(size=(400, 6))))  # a hundred equal vectors
+    q, queries = b[:50], bank[:50]
+    s = np.round(q @ b.T, 9)
+    want = [(int(i), int(n)) for row, i in zip(s, queries, strict=True) for n in [x for _, x in sorted(zip(-row, bank, strict=True)) if x != i][:7]]
+    for products in (1 << 20, 900, 90):
+        query, neighbour, similarity, nine = V.tops(queries, q, bank, b, 7, products)
+        rank = np.lexsort((neighbour, -nine))
+        assert sorted(want) == sorted(zip(query.tolist(), neighbour.tolist(), strict=True))
+        assert len(rank) == 350 and np.allclose(similarity * 1e9, nine, atol=1)
+    assert [len(x) for x in V.tops(queries, q, bank[:1], b[:1], 7)] == [49] * 4
+
+
+def test_many_equal_vectors_are_neighbours_in_order_of_id(spark):
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 else [float(i), 1.0, -2.0]) for i in range(300)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.neighbour) for r in V.nearest(e, e.filter("vec_id = 100"), 10).collect())
+    assert [n for _, n in got] == [i for i in range(300) if i % 3 and i != 100][:10]

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of the bank and queries that meet in one task.
-BANK_ROWS, QUERY_ROWS = 1 << 16, 1 << 12
+#: Rows of the bank and queries that meet in one task, at most; their entries, at most; products that it holds at once.
+BANK_ROWS, QUERY_ROWS, BLOCK_ENTRIES, PRODUCTS = 1 << 15, 1 << 13, 1 << 21, 1 << 20
+#: Below every similarity in units of the ninth digit.
+LEAST = np.iinfo(np.int64).min
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -21,37 +23,72 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
 
+def _vectors(table: pa.Table, column: str = "v") -> np.ndarray:
+    """The vectors of a not empty table, of one length and without nulls, as unit-long rows."""
+    x = np.concatenate([c.flatten().to_numpy() for c in table.column(column).chunks])
+    return _unit(x.reshape(table.num_rows, -1))
+
+
+def tops(queries: np.ndarray, q: np.ndarray, bank: np.ndarray, b: np.ndarray, k: int, products: int = PRODUCTS) -> tuple[np.ndarray, ...]:
+    """query, neighbour, similarity, nine: of the bank's unit vectors ``b`` the k most similar to each of ``q``, itself left out.
+
+    ``nine`` is the similarity in whole units of the ninth digit, by which rows are ranked; of equal ones those of lower ids are taken,
+    however many there are. Only ``products`` similarities are held at once: queries go in slices, and so does a bank that is larger.
+    """
+    order = np.argsort(bank, kind="stable")
+    bank, b = bank[order], b[order]
+    found: list[tuple[np.ndarray, ...]] = []
+    width = min(len(bank), products)
+    step = max(1, products // width)
+    for at in range(0, len(queries), step):
+        ids = queries[at : at + step]
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]  # place of the query, neighbour, similarity, nine
+        for lo in range(0, len(bank), width):
+            s = q[at : at + step] @ b[lo : lo + width].T
+            own = ids[:, None] == bank[None, lo : lo + width]
+            nine = (np.copysign(np.floor(np.abs(s) * 1e9 + 0.5), s)).astype(np.int64)
+            nine[own] = LEAST
+            least = np.partition(nine, nine.shape[1] - min(k, nine.shape[1]), axis=1)[:, -min(k, nine.shape[1])]
+            more, tied = nine > least[:, None], nine == least[:, None]
+            tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= (k - more.sum(axis=1))[:, None]
+            row, col = np.nonzero((more | tied) & ~own)
+            best = [np.concatenate(x) for x in zip(best, (row, bank[lo + col], s[row, col], nine[row, col]), strict=True)]
+        if lo:  # more than one slice of the bank
+            rank = np.lexsort((best[1], -best[3], best[0]))
+            best = [x[rank] for x in best]
+            kept = np.arange(len(rank)) - np.searchsorted(best[0], best[0]) < k
+            best = [x[kept] for x in best]
+        found.append((ids[best[0]], *best[1:]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def best_in_groups(bank: DataFrame, queries: DataFrame, k: int, on: list[str]) -> DataFrame:
     """query, neighbour, similarity, rank: of the bank rows (id, v, on) in a query's groups the k most similar ones.
 
     Both sides of a group (query, v, on) are cut into blocks by a hash, as many as their counts ask for, and every block of queries
-    meets every block of the bank in a task of its own by one matrix product. A task hands on its own k best of each query, so what
-    is shuffled after that is k rows a task and query. A row is no neighbour of its own; vectors meet those of their length.
+    meets every block of the bank in a task of its own by matrix products of bounded slices. A task hands on its own k best of each
+    query, so what is shuffled after that is k rows a task and query. A row is no neighbour of its own; vectors meet those of their length.
     """
     bank, queries = (usable(x, "v").withColumn("_len", F.size("v")) for x in (bank, queries))
     on = [*on, "_len"]
-    counts = bank.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / BANK_ROWS).alias("_bs")).join(queries.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("_qs")), on)
+    blocks = lambda d, rows, name: d.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(BLOCK_ENTRIES) / F.col("_len"))))).alias(name))
+    counts = blocks(bank, BANK_ROWS, "_bs").join(blocks(queries, QUERY_ROWS, "_qs"), on)
     block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
     b = bank.join(counts, on).select(*on, "id", "v", block("id", "_bs").alias("_b"), spread("_qs").alias("_q"))
     q = queries.join(counts, on).select(*on, "query", "v", block("query", "_qs").alias("_q"), spread("_bs").alias("_b"))
+    names = ["query", "neighbour", "similarity", "nine"]
+    schema = pa.schema([("query", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64()), ("nine", pa.int64())])
 
-    def tops(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "neighbour": [], "similarity": []}).astype({"query": "int64", "neighbour": "int64"})
-        ids, own = left["query"].to_numpy(), right["id"].to_numpy()
-        s = _unit(np.stack(left.v.to_numpy()).astype(np.float64)) @ _unit(np.stack(right.v.to_numpy()).astype(np.float64)).T
-        s[ids[:, None] == own[None, :]] = -np.inf
-        take = min(k + 8, s.shape[1])  # ties at the edge are settled by id below
-        top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-        sim = np.take_along_axis(s, top, 1)
-        keep = np.isfinite(sim).ravel()
-        return pd.DataFrame({"query": np.repeat(ids, take)[keep], "neighbour": own[top].ravel()[keep], "similarity": sim.ravel()[keep]})
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        return pa.table(dict(zip(names, tops(left.column("query").to_numpy(), _vectors(left), right.column("id").to_numpy(), _vectors(right), k), strict=True)), schema=schema)
 
     keys = [*on, "_q", "_b"]
-    found = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(tops, "query long, neighbour long, similarity double")
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    found = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, "query long, neighbour long, similarity double, nine long")
+    w = Window.partitionBy("query").orderBy(F.desc("nine"), "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("nine")
 
 
 def nearest(bank: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
