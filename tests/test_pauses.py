@@ -196,3 +196,23 @@ def test_stream_of_alerts_equals_the_table(spark, rocks, tmp_path):
     rows = [*alert_rows(), ("z", START + 10**7)]
     got = replay(spark, tmp_path, rows, "symbol string, ts timestamp", lambda s: SP.stream_cooled_alerts(s, "symbol", 1_800), 5)
     assert sorted(g for g in got if g[0] != "z") == plain_alerts(rows[:-1], 1_800)
+
+
+def test_stretches_that_are_folded_together_are_those_of_the_loop(spark, monkeypatch):
+    monkeypatch.setattr(P, "STRETCHES", 3)
+    r = random.Random(11)
+    rows = [(k % 3, START + 30 * k, k, r.choice([None, float("nan"), *[r.random() * 0.41] * 8])) for k in range(1_500)]
+    rows = [(None if key == 2 else key, *x) for key, *x in rows]
+    d = spark.createDataFrame(rows, "symbol long, at long, id long, confidence double")
+    none = spark.createDataFrame([], "symbol long, at long, id long, pnl double")
+    got = {(x.symbol, x.id): (x.holds, round(x.minimum, 9), x.taken) for x in P.adaptive_confidence(d, none, patience=20).collect()}
+    want = {}
+    for key in (0, 1, None):
+        holds = 0
+        for symbol, _, i, c in rows:
+            if symbol == key:
+                c = 0.0 if c is None or c != c else c
+                minimum = max(0.40 - (holds - 20) * 0.005, 0.25) if holds > 20 else 0.40
+                want[key, i] = (holds, round(minimum, 9), c >= minimum)
+                holds = 0 if c >= minimum else holds + 1
+    assert got == want

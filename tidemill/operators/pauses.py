@@ -7,10 +7,12 @@ such places, and between two of them a stretch is folded on its own, so the stre
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,8 @@ from pyspark.sql.window import Window
 from .asof import asof_join
 
 DAY = 86_400
+#: Stretches of decisions that are folded one after another.
+STRETCHES = 4_096
 
 
 @dataclass(frozen=True)
@@ -186,23 +190,31 @@ def adaptive_confidence(decisions: DataFrame, outcomes: DataFrame, by: str = "sy
     """
     if base < lowest:
         raise ValueError("base must not be below lowest")
-    d = strictness(decisions.select(by, "at", "id", "confidence"), outcomes, by, base, **strict)
+    known = F.coalesce(F.nanvl(F.col("confidence").cast("double"), F.lit(0.0)), F.lit(0.0))
+    d = strictness(decisions.select(by, "at", "id", known.alias("confidence")), outcomes, by, base, **strict)
     before = Window.partitionBy(by).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("stretch", F.coalesce(F.sum((F.coalesce(F.col("confidence"), F.lit(0.0)) >= F.col("floor")).cast("int")).over(before), F.lit(0)))
+    d = d.withColumn("stretch", F.coalesce(F.sum((F.col("confidence") >= F.col("floor")).cast("int")).over(before), F.lit(0)))
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        holds, out = 0, []
-        for confidence, floor in zip(pdf.confidence.fillna(0.0), pdf["floor"], strict=True):
-            minimum = max(floor - (holds - patience) * decay, lowest) if holds > patience else floor
-            taken = confidence >= minimum
-            out.append((holds, minimum, taken))
-            holds = 0 if taken else holds + 1
-        made = pd.DataFrame(out, columns=["holds", "minimum", "taken"], index=pdf.index)
-        return pd.concat([pdf[[by, "at", "id", "floor"]], made], axis=1)
-
-    return d.groupBy(by, "stretch").applyInPandas(fold, f"`{by}` {kinds[by]}, at {kinds['at']}, id {kinds['id']}, floor double, holds long, minimum double, taken boolean")
+    # Each stretch ends with a decision that is taken, so the stretches of a block follow each other without a break.
+    d = d.withColumn("block", F.floor(F.col("stretch") / STRETCHES)).repartition(by, "block").sortWithinPartitions(by, "block", "at", "id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, holds = None, 0
+        for batch in batches:
+            out = []
+            for key in zip(*(batch.column(c).to_pylist() for c in (by, "block", "confidence", "floor")), strict=True):
+                if key[:2] != last:
+                    last, holds = key[:2], 0
+                confidence, floor = key[2:]
+                minimum = max(floor - (holds - patience) * decay, lowest) if holds > patience else floor
+                taken = confidence >= minimum
+                out.append((holds, minimum, taken))
+                holds = 0 if taken else holds + 1
+            if out:
+                made = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.float64(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (by, "at", "id", "floor")), *made], names=[by, "at", "id", "floor", "holds", "minimum", "taken"])
+
+    return d.select(by, "block", "at", "id", "confidence", "floor").mapInArrow(fold, f"`{by}` {kinds[by]}, at {kinds['at']}, id {kinds['id']}, floor double, holds long, minimum double, taken boolean")
 
 
 def pause_spans(events: DataFrame, by: str = "symbol") -> DataFrame:
