@@ -121,3 +121,17 @@ def test_many_equal_vectors_are_neighbours_in_order_of_id(spark):
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted((r["rank"], r.neighbour) for r in V.nearest(e, e.filter("vec_id = 100"), 10).collect())
     assert [n for _, n in got] == [i for i in range(300) if i % 3 and i != 100][:10]
+
+
+def test_long_vectors_meet_in_smaller_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_ENTRIES", 200)  # blocks of 25 rows of 8 entries
+    r = np.random.default_rng(6)
+    x = r.normal(size=(240, 8))
+    rows = [(i, x[i].tolist(), i % 2) for i in range(240)]
+    bank = spark.createDataFrame(rows, "id long, v array<double>, list int")
+    queries = spark.createDataFrame(rows[::3], "query long, v array<double>, list int")
+    got = V.best_in_groups(bank, queries, 5, ["list"]).collect()
+    s = unit(x) @ unit(x).T
+    for q in range(0, 240, 3):
+        want = [n for n in np.argsort(-s[q], kind="stable").tolist() if n != q and n % 2 == q % 2][:5]
+        assert [n for _, n in sorted((g["rank"], g.neighbour) for g in got if g["query"] == q)] == want
