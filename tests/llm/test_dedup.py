@@ -1,10 +1,12 @@
 import hashlib
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
-from tidemill.llm import components, simhash, suffix_dedup
+from tidemill.llm import components, decontaminate, simhash, suffix_dedup
 
 from .helpers import covered_bytes, documents, prose, rng
 
@@ -42,6 +44,36 @@ def test_kernel_survives_hash_collisions(monkeypatch):
         assert not (got & ~want).any()
 
 
+def test_kernel_holds_bounded_strings(monkeypatch):
+    r = np.random.default_rng(3)
+    word = lambda n: r.integers(97, 123, n, dtype=np.uint8).tobytes()
+    heads, tails = [word(30) for _ in range(60)], [word(34) for _ in range(50)]
+    texts = [heads[i] + b"anchor" + tails[j] for i in range(60) for j in range(50)]  # each half is shared, no whole; every string over both halves is open
+    group, lo, hi = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.full(len(texts), 30)
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 1 << 12, raising=False)
+    tracemalloc.start()
+    who, a, b = suffix_dedup.covered(texts, group, lo, hi, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    times = Counter((o, t[30 - o : 70 - o]) for t in texts for o in range(31))
+    want = {(i, k) for i, t in enumerate(texts) for o in range(31) if times[o, t[30 - o : 70 - o]] > 1 for k in range(30 - o, 70 - o)}
+    assert {(i, k) for i, x, y in zip(who.tolist(), a.tolist(), b.tolist(), strict=True) for k in range(30 + x, 30 + y)} == want
+    assert peak < 24 << 20
+
+
+def test_strip_and_leak_test_run_once(spark):
+    d = documents(spark, [(1, "some text"), (2, "other text")])
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+    assert steps(suffix_dedup.strip_documents(d)) == 0  # before, a filter moved below it ran it twice
+    tests = spark.createDataFrame([(0, "some words of a test that is long enough")], "item_id long, text string")
+    assert steps(decontaminate.drop_leaks(d, tests)) == 1
+
+
+def test_powers_of_a_large_text_are_not_kept():
+    suffix_dedup._powers(3 << 20)
+    assert all(len(p) <= 1 << 20 for p in suffix_dedup._POW.values())
+
+
 def test_strip_documents_keeps_columns(spark):
     r = rng(5)
     shared = prose(r, 60)

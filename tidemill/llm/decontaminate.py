@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -309,14 +308,16 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: int = SEED_TOKENS,
 def _leak_test(shared: Broadcast, least: int, coverage: float) -> Callable[[Column], Column]:
     """A function of a text column: whether some test of the block leaks into the text."""
 
-    @F.pandas_udf("boolean")
-    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            bad = np.zeros(len(s), bool)
-            table = pa.RecordBatch.from_arrays([pa.array(s, pa.string())], names=["t"])
-            for first, texts in _packs(table, "t"):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            bad = np.zeros(len(column), bool)
+            for first, texts in _packs(pa.RecordBatch.from_arrays([column], names=["t"]), "t"):
                 for i, *_ in match_texts(texts, shared.value, least, coverage):
                     bad[first + i] = True
-            yield pd.Series(bad)
+            yield pa.array(bad)
+
+    @F.arrow_udf("boolean")
+    def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(run)(batches)
 
     return leaks

@@ -15,24 +15,29 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest as digest
 
-from .common import byte_texts, cut, fresh_path, slices, tidy
+from .common import byte_texts, cut, fresh_path, slices, spare_name, tidy
 
 K = 64
-#: Window starts hashed at once; a longer text is hashed in overlapping pieces.
-PIECE = 1 << 20
+#: Window starts hashed at once; a longer text is hashed in overlapping pieces. A task holds about 100 bytes for each.
+PIECE = 1 << 18
 #: Low bits of a hash that give way to the place in the buffer: among equal rest the leftmost wins.
 PLACE_BITS = 21
-#: Contexts sorted at once, in bytes; a group of equal anchors is never split.
-SORT_BYTES = 6 << 20
+#: Contexts sorted at once, in bytes; a group of equal anchors is never split. A task holds about 50 bytes for each.
+SORT_BYTES = 1 << 20
+#: Strings that one round of ``covered`` looks at, or one place's, if these are more.
+STRINGS = 1 << 18
+#: Powers that a worker keeps for later tasks; more are made anew. Bytes hashed in one go.
+KEPT_POWERS, STEP = 1 << 20, 1 << 16
 #: Anchors with more different contexts than this are resolved by the distributed plan in ``_hot``.
 HOT = 20_000
 
@@ -45,13 +50,15 @@ _POW: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64."""
-    if len(_POW.get("up", ())) < n:
+    held = _POW
+    if len(held.get("up", ())) < n:
         size = max(n, 1 << 16)
+        held = _POW if size <= KEPT_POWERS else {}
         for name, b in (("up", BASE), ("down", BASE_INVERSE)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
-            _POW[name] = np.multiply.accumulate(p)
-    return _POW["up"][:n], _POW["down"][:n]
+            held[name] = np.multiply.accumulate(p, out=p)
+    return held["up"][:n], held["down"][:n]
 
 
 class PrefixHash:
@@ -61,7 +68,10 @@ class PrefixHash:
         self.buf = buf
         up, self.down = _powers(len(buf) + 1)
         self.sum = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(TABLE[buf] * up[: len(buf)], out=self.sum[1:])
+        for at in range(0, len(buf), STEP):
+            part = TABLE[buf[at : at + STEP]] * up[at : min(at + STEP, len(buf))]
+            part[0] += self.sum[at]
+            np.cumsum(part, out=self.sum[at + 1 : at + 1 + len(part)])
 
     def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return (self.sum[start + size] - self.sum[start]) * self.down[start]
@@ -264,15 +274,13 @@ def covered(bufs: list[bytes], group: np.ndarray, lo: np.ndarray, hi: np.ndarray
     # Starts between both limits that no neighbour has settled: sort the strings themselves, place by place.
     low, high = np.maximum(lo[one], length - far), np.minimum(hi[one], near)
     open_ = np.flatnonzero(single & (low <= high))
-    if len(open_):
-        n = high[open_] - low[open_] + 1
-        who = np.repeat(open_, n)
-        off = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + low[who]
-        settled = np.zeros(len(who), bool)
+    asked = [np.zeros((0, 2), np.int64)]
+    for own in np.split(open_, np.flatnonzero(np.diff(np.cumsum(high[open_] - low[open_] + 1) // STRINGS)) + 1) if len(open_) else []:
+        n = high[own] - low[own] + 1
         row = np.full(len(one), -1)
-        row[open_] = np.cumsum(n) - n
+        row[own] = np.cumsum(n) - n
         # Mark spans of settled starts with running sums.
-        mark = np.zeros(len(who) + 1, np.int64)
+        mark = np.zeros(n.sum() + 1, np.int64)
         for a in (x, y):
             mine = np.flatnonzero(hit & (row[a] >= 0))
             a_, top = a[mine], np.minimum(left[mine], high[a[mine]])
@@ -280,27 +288,28 @@ def covered(bufs: list[bytes], group: np.ndarray, lo: np.ndarray, hi: np.ndarray
             live = bottom <= top
             np.add.at(mark, row[a_[live]] + bottom[live] - low[a_[live]], 1)
             np.add.at(mark, row[a_[live]] + top[live] - low[a_[live]] + 1, -1)
-        settled = np.cumsum(mark)[:-1] > 0
-        asked = np.unique(np.column_stack([g[who[~settled]], off[~settled]]), axis=0) if (~settled).any() else np.zeros((0, 2), np.int64)
-        if len(asked):
-            from_, to = np.searchsorted(g, asked[:, 0], "left"), np.searchsorted(g, asked[:, 0], "right")
-            step = max(1, int(2_000_000 // max(1, (to - from_).max())))
-            for s in range(0, len(asked), step):
-                cnt = to[s : s + step] - from_[s : s + step]
-                num = np.repeat(np.arange(len(cnt)), cnt)
-                item = np.arange(len(num)) - np.repeat(np.cumsum(cnt) - cnt, cnt) + from_[s : s + step][num]
-                o = asked[s : s + step, 1][num]
-                fits = (lo[one][item] <= o) & (o <= hi[one][item])
-                num, item, o = num[fits], item[fits], o[fits]
-                pos = anchor[item] - o
-                by = merge_sort(ph, pos, np.full(len(pos), length), num)
-                p, q = by[:-1], by[1:]
-                eq = (num[p] == num[q]) & (ph.of(pos[p], length) == ph.of(pos[q], length))
-                p, q = p[eq], q[eq]
-                true = _equal_bytes(buf, pos[p], pos[q], np.full(len(p), length))
-                bad |= set(g[item[p[~true]]].tolist())
-                for a in (p[true], q[true]):
-                    found.append((one[item[a]], -o[a], length - o[a]))
+        todo = np.flatnonzero(np.cumsum(mark)[:-1] == 0)
+        who = own[np.searchsorted(row[own], todo, "right") - 1]
+        asked.append(np.unique(np.column_stack([g[who], todo - row[who] + low[who]]), axis=0))
+    asked = np.unique(np.concatenate(asked), axis=0)
+    if len(asked):
+        from_, to = np.searchsorted(g, asked[:, 0], "left"), np.searchsorted(g, asked[:, 0], "right")
+        for rows in np.split(np.arange(len(asked)), np.flatnonzero(np.diff(np.cumsum(to - from_) // STRINGS)) + 1):
+            cnt = to[rows] - from_[rows]
+            num = np.repeat(np.arange(len(cnt)), cnt)
+            item = np.arange(len(num)) - np.repeat(np.cumsum(cnt) - cnt, cnt) + from_[rows][num]
+            o = asked[rows, 1][num]
+            fits = (lo[one][item] <= o) & (o <= hi[one][item])
+            num, item, o = num[fits], item[fits], o[fits]
+            pos = anchor[item] - o
+            by = merge_sort(ph, pos, np.full(len(pos), length), num)
+            p, q = by[:-1], by[1:]
+            eq = (num[p] == num[q]) & (ph.of(pos[p], length) == ph.of(pos[q], length))
+            p, q = p[eq], q[eq]
+            true = _equal_bytes(buf, pos[p], pos[q], np.full(len(p), length))
+            bad |= set(g[item[p[~true]]].tolist())
+            for a in (p[true], q[true]):
+                found.append((one[item[a]], -o[a], length - o[a]))
     who, a, b = (np.concatenate([f[i] for f in found]) for i in range(3))
     if bad:
         # Two different strings had one hash: these groups are done by comparing the strings.
@@ -376,6 +385,33 @@ def _kinds(keyed: DataFrame, length: int, k: int) -> DataFrame:
     return rows.filter("total > 1").select(F.col("h").alias("kh"), F.col("c").alias("kc"), (F.col("n") > 1).alias("many"), (F.col("kinds") > 1).alias("mixed"), F.col("kinds"))
 
 
+def sorted_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """What ``covered`` finds in contexts (h, KEY, at, lo, hi, ctx) sorted by h, a few whole groups at once: KEY, a, b."""
+
+    def flush(t: pa.Table) -> pa.RecordBatch:
+        h, doc, th, tn, at, lo, hi = (t.column(c).to_numpy() for c in ("h", *KEY, "at", "lo", "hi"))
+        group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
+        who, a, b = covered(t.column("ctx").to_pylist(), group, lo.astype(np.int64), hi.astype(np.int64), length)
+        return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(th[who]), pa.array(tn[who]), pa.array((at[who] + a).astype(np.int32)), pa.array((at[who] + b).astype(np.int32))], names=[*KEY, "a", "b"])
+
+    held, size = [], 0
+    for batch in slices(batches):
+        held.append(batch)
+        size += batch.column("ctx").nbytes
+        if size > SORT_BYTES:
+            t = pa.Table.from_batches(held)
+            h = t.column("h").to_numpy()
+            whole = int(np.searchsorted(h, h[-1], "left"))  # sorted by h: the last group may go on
+            if whole:
+                yield flush(t.slice(0, whole))
+                held = t.slice(whole).combine_chunks().to_batches()
+                size = sum(x.column("ctx").nbytes for x in held)
+    if held:
+        t = pa.Table.from_batches(held)
+        if t.num_rows:
+            yield flush(t)
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HOT) -> DataFrame:
     """doc, th, tn (KEY), spans (array of start and end, in bytes, unmerged): what repeats in each text that has repeats.
 
@@ -421,31 +457,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = K, hot: int = HO
 
     contexts = with_text.mapInArrow(tidy(context), "h long, doc long, th long, tn long, at int, lo short, hi short, hot boolean, ctx binary")
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(t: pa.Table) -> pa.RecordBatch:
-            h, doc, th, tn, at, lo, hi = (t.column(c).to_numpy() for c in ("h", *KEY, "at", "lo", "hi"))
-            group = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
-            who, a, b = covered(t.column("ctx").to_pylist(), group, lo.astype(np.int64), hi.astype(np.int64), length)
-            return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(th[who]), pa.array(tn[who]), pa.array((at[who] + a).astype(np.int32)), pa.array((at[who] + b).astype(np.int32))], names=[*KEY, "a", "b"])
-
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.column("ctx").nbytes
-            if size > SORT_BYTES:
-                t = pa.Table.from_batches(held)
-                h = t.column("h").to_numpy()
-                whole = int(np.searchsorted(h, h[-1], "left"))  # sorted by h: the last group may go on
-                if whole:
-                    yield flush(t.slice(0, whole))
-                    held = t.slice(whole).combine_chunks().to_batches()
-                    size = sum(x.column("ctx").nbytes for x in held)
-        if held:
-            t = pa.Table.from_batches(held)
-            if t.num_rows:
-                yield flush(t)
-
-    spans = whole.unionByName(contexts.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(sort), "doc long, th long, tn long, a int, b int"))
+    spans = whole.unionByName(contexts.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(tidy(partial(sorted_spans, length=length)), "doc long, th long, tn long, a int, b int"))
     if not kinds.filter(F.col("kinds") > hot).isEmpty():
         spans = spans.unionByName(_hot(contexts.filter("hot").drop("hot"), length))
     return spans.groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
@@ -501,25 +513,26 @@ def strip_documents(docs: DataFrame, length: int = 200, k: int = K, hot: int = H
     A character of which a run took a part goes whole. Rows of whose text nothing but white space is left are dropped,
     rows without repeats are untouched, null texts among them.
     """
-    joined = docs.withColumns(dict(zip(KEY, _key(), strict=True))).join(_other(repeated_spans(docs, length, k, hot)), _same(), "left")
-
-    @F.pandas_udf("string")
-    def strip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, spans in batches:
-            yield pd.Series([t if s is None else _strip_rows(t.encode(), s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    joined = docs.withColumns(dict(zip(KEY, _key(), strict=True))).join(_other(repeated_spans(docs, length, k, hot)), _same(), "left").select(*docs.columns, "spans")
+    names, flag = docs.columns, spare_name(docs, "_cut")
+    place = [c.lower() for c in names].index("text")
 
-    cut_out = joined.withColumn("text", strip(F.col("text"), F.col("spans").cast("array<struct<a:bigint,b:bigint>>"))).filter(F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            *columns, spans = batch.columns
+            texts = columns[place].to_pylist()
+            for r in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                texts[r] = _strip(texts[r].encode(), spans.slice(r, 1).flatten())[0].decode("utf-8", "ignore")
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays([*columns, spans.is_valid()], names=[*names, flag])
+
+    # One Python step that no filter on its result can be moved below, which would run it twice and with twice the workers.
+    cut_out = joined.mapInArrow(tidy(strip), StructType([*docs.schema, StructField(flag, BooleanType())])).filter(~F.col(flag) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        cut_out = cut_out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        cut_out = cut_out.withColumn("n_chars", F.when(~F.col(flag), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return cut_out.select(*docs.columns)
 
 
-def _strip_rows(text: bytes, spans: list) -> str:
-    a = pa.array([s["a"] for s in spans], pa.int64())
-    b = pa.array([s["b"] for s in spans], pa.int64())
-    return _strip(text, pa.StructArray.from_arrays([a, b], ["a", "b"]))[0].decode("utf-8", "ignore")
-
-
 def _strip(text: bytes, spans: pa.StructArray) -> tuple[bytes, int]:
     """The text without the union of its spans, and the number of maximal runs that went."""
     if not len(spans):
