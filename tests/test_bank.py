@@ -1,6 +1,9 @@
 """The pattern bank against plain numpy, and retrieval in blocks and lists against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +119,30 @@ def test_tops_hold_few_products_and_take_ties_by_id():
     assert [len(x) for x in V.tops(queries, q, bank[:1], b[:1], 7)] == [49] * 4
 
 
+def test_a_bank_in_order_is_not_copied():
+    r = np.random.default_rng(5)
+    b, q = r.normal(size=(1 << 14, 64)), r.normal(size=(10, 64))
+    tracemalloc.start()
+    V.tops(np.arange(10), q, np.arange(100, 100 + len(b)), b, 5, products=1 << 14)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < b.nbytes / 2
+
+
+def test_rows_of_lists_are_written_in_slices():
+    r = np.random.default_rng(6)
+    v, centres = r.normal(size=(10_000, 32)), r.normal(size=(16, 32))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v.tolist())], names=["id", "v"])
+    before, most, seen = pa.total_allocated_bytes(), 0, []
+    for part in B.in_lists(iter([batch]), centres, 12):
+        most = max(most, pa.total_allocated_bytes() - before)
+        seen.append((part.column("id").to_numpy(), part.column("list").to_numpy()))
+        assert part.column("v")[12].as_py() == v[seen[-1][0][12]].tolist()
+    assert most < 12 * v.nbytes / 5
+    near = np.argsort(((v[:, None] - centres) ** 2).sum(2), axis=1, kind="stable")[:, :12]
+    assert (np.concatenate([x[0] for x in seen]) == np.arange(len(v)).repeat(12)).all() and (np.concatenate([x[1] for x in seen]) == near.ravel()).all()
+
+
 def test_many_equal_vectors_are_neighbours_in_order_of_id(spark):
     rows = [(i, [1.0, 2.0, 3.0] if i % 3 else [float(i), 1.0, -2.0]) for i in range(300)]
     e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

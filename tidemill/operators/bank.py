@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .vectors import best_in_groups, usable
+from .vectors import ROWS, best_in_groups, usable
 
 #: The features of a signature, in order (fixed values).
 SIGNATURE = (
@@ -67,22 +68,22 @@ def fit_lists(rows: DataFrame, lists: int, sample_rows: int = SAMPLE_ROWS, seed:
     return np.array(KMeans(k=lists, seed=seed, maxIter=20).fit(few).clusterCenters())
 
 
+def in_lists(batches: Iterator[pa.RecordBatch], centres: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches (``v`` and others), each for the ``probes`` lists next to it, with ``list``; written a few rows at a time."""
+    half, take = (centres**2).sum(axis=1) / 2, min(probes, len(centres))
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            closeness = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1) @ centres.T - half
+            top = np.argsort(-closeness, axis=1, kind="stable")[:, :take]
+            out = part.take(pa.array(np.repeat(np.arange(part.num_rows), take)))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(top.ravel().astype(np.int32))], names=[*part.schema.names, "list"])
+
+
 def probed(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     """A row for each of the ``probes`` lists whose centres are next to the row's ``v``, with ``list``."""
-    names = rows.columns
-
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        half = (centres**2).sum(axis=1) / 2
-        for pdf in batches:
-            if len(pdf):
-                closeness = np.stack(pdf.v.to_numpy()) @ centres.T - half
-                take = min(probes, len(centres))
-                top = np.argsort(-closeness, axis=1, kind="stable")[:, :take]
-                out = pdf.loc[pdf.index.repeat(take)].reset_index(drop=True)
-                yield out[names].assign(list=top.ravel().astype(np.int32))
-
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return usable(rows, "v").filter(F.size("v") == centres.shape[1]).mapInPandas(near, f"{schema}, list int")
+    return usable(rows, "v").filter(F.size("v") == centres.shape[1]).mapInArrow(partial(in_lists, centres=centres, probes=probes), f"{schema}, list int")
 
 
 def build(found: DataFrame, path: str, lists: int = 16, by: str = "symbol", order: str = "t", least: int = 148, sample_rows: int = SAMPLE_ROWS, normalise: bool = True) -> None:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of the bank and queries that meet in one task, at most; their entries, at most; products that it holds at once.
-BANK_ROWS, QUERY_ROWS, BLOCK_ENTRIES, PRODUCTS = 1 << 15, 1 << 13, 1 << 21, 1 << 20
+BANK_ROWS, QUERY_ROWS, BLOCK_ENTRIES, PRODUCTS = 1 << 15, 1 << 13, 1 << 21, 1 << 18
+#: Rows that are read from Arrow, or written, at once.
+ROWS = 500
 #: Below every similarity in units of the ninth digit.
 LEAST = np.iinfo(np.int64).min
 
@@ -23,10 +25,15 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
 
-def _vectors(table: pa.Table, column: str = "v") -> np.ndarray:
-    """The vectors of a not empty table, of one length and without nulls, as unit-long rows."""
-    x = np.concatenate([c.flatten().to_numpy() for c in table.column(column).chunks])
-    return _unit(x.reshape(table.num_rows, -1))
+def _vectors(table: pa.Table, place: np.ndarray, column: str = "v") -> np.ndarray:
+    """The vectors of a not empty table, of one length and without nulls, as unit-long rows: row i at ``place[i]``. They are copied once."""
+    x, at = np.empty((table.num_rows, len(table.column(column)[0]))), 0
+    for chunk in table.column(column).chunks:
+        for lo in range(0, len(chunk), ROWS):
+            rows = chunk.slice(lo, ROWS).flatten().to_numpy().reshape(-1, x.shape[1])
+            x[place[at : at + len(rows)]] = _unit(rows)
+            at += len(rows)
+    return x
 
 
 def tops(queries: np.ndarray, q: np.ndarray, bank: np.ndarray, b: np.ndarray, k: int, products: int = PRODUCTS) -> tuple[np.ndarray, ...]:
@@ -34,9 +41,11 @@ def tops(queries: np.ndarray, q: np.ndarray, bank: np.ndarray, b: np.ndarray, k:
 
     ``nine`` is the similarity in whole units of the ninth digit, by which rows are ranked; of equal ones those of lower ids are taken,
     however many there are. Only ``products`` similarities are held at once: queries go in slices, and so does a bank that is larger.
+    A bank in order of its ids is not copied.
     """
-    order = np.argsort(bank, kind="stable")
-    bank, b = bank[order], b[order]
+    if (bank[1:] < bank[:-1]).any():
+        order = np.argsort(bank, kind="stable")
+        bank, b = bank[order], b[order]
     found: list[tuple[np.ndarray, ...]] = []
     width = min(len(bank), products)
     step = max(1, products // width)
@@ -83,7 +92,11 @@ def best_in_groups(bank: DataFrame, queries: DataFrame, k: int, on: list[str]) -
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        return pa.table(dict(zip(names, tops(left.column("query").to_numpy(), _vectors(left), right.column("id").to_numpy(), _vectors(right), k), strict=True)), schema=schema)
+        ids = right.column("id").to_numpy()
+        order, place = np.argsort(ids, kind="stable"), np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        found = tops(left.column("query").to_numpy(), _vectors(left, np.arange(left.num_rows)), ids[order], _vectors(right, place), k)
+        return pa.table(dict(zip(names, found, strict=True)), schema=schema)
 
     keys = [*on, "_q", "_b"]
     found = q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, "query long, neighbour long, similarity double, nine long")
